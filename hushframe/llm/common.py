@@ -69,7 +69,7 @@ def put_file(uri: str, write) -> int:
     files, path = file_system(uri)
     files.create_dir(posixpath.dirname(path), recursive=True)
     temporary = f"{path}.{uuid.uuid4().hex}.part"
-    with files.open_output_stream(temporary) as out:
+    with files.open_output_stream(temporary, compression=None) as out:
         write(out)
     size = files.get_file_info(temporary).size
     files.move(temporary, path)

@@ -210,7 +210,7 @@ def read_archives(spark: SparkSession, paths: list[str], payloads: bool = True,
             for path in batch["path"]:
                 fs, name = file_system(path)
                 out, held = [], 0
-                with fs.open_input_stream(name) as source:
+                with fs.open_input_stream(name, compression=None) as source:
                     frames, k = read_frames(source), -1
                     while True:
                         try:
