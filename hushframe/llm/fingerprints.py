@@ -4,8 +4,7 @@ A document's terms are its words, weighted by how often they occur. For each of
 draws, from its own hash, ``r`` and ``c`` from Gamma(2, 1) and ``b`` from the unit interval; with weight
 ``w`` it stands at ``t = floor(ln w / r + b)`` and ``ln a = ln c - r (t - b + 1)``. The term with the least
 ``a`` is kept, with its ``t``. Two texts keep the same pair with the probability of their generalised
-Jaccard similarity, so the share of equal samples estimates it. The Gamma numbers come by inverse
-distribution from 16 and 12 bits of the hash, as look-ups in literal arrays made by rule.
+Jaccard similarity, so the share of equal samples estimates it.
 
 Words are hashed and counted inside each row; rows are exploded to (term, weight) and a hash aggregate
 keeps the minima. Documents are dealt once, to slices of the id's order; that one exchange also serves
@@ -25,42 +24,14 @@ from pyspark.sql import functions as F
 
 from hushframe.llm.common import make_importable, table
 
-SAMPLES = 64
+SAMPLES = 32
 #: Rows of a slice, about, and how many slices there may be: their list is broadcast.
 SLICE_ROWS = 1000
 MOST_SLICES = 20_000
 QUANTILES = 64
-R_BITS, C_BITS = 12, 16
 SPLIT = r"[\x20\x09-\x0D]+"
 
 
-def gamma_quantiles(bits: int) -> list[float]:
-    """Gamma(2, 1) at the middles of 2^bits equal shares: solves 1 - (1 + x) e^-x = p by Newton's method."""
-    out, x = [], 1e-3
-    n = 1 << bits
-    for k in range(n):
-        p = (k + 0.5) / n
-        for _ in range(60):
-            step = (1 - (1 + x) * math.exp(-x) - p) / (x * math.exp(-x))
-            x = max(x - step, x / 4)
-            if abs(step) < 1e-13 * x:
-                break
-        out.append(x)
-    return out
-
-
-_tables: dict[str, str] = {}
-
-
-def _tables_sql() -> tuple[str, str]:
-    """The two tables as SQL that the optimizer folds into array literals."""
-    if not _tables:
-        literal = lambda values: "cast(split('" + ",".join(f"{v:.9g}" for v in values) + "', ',') as array<double>)"
-        _tables["r"] = literal(gamma_quantiles(R_BITS))
-        _tables["c"] = literal([math.log(v) for v in gamma_quantiles(C_BITS)])
-    return _tables["r"], _tables["c"]
-
-
 def weighted_terms(text: Column) -> Column:
     """``array<struct<h: bigint, w: double>>``: hashes of a text's words, and the logs of their counts."""
     words = F.filter(F.split(text, SPLIT), lambda x: x != "")
@@ -75,28 +46,22 @@ def runs(sorted_hashes: str) -> Column:
     )
 
 
-def minima(samples: int) -> list[Column]:
-    """One aggregate a sample over rows ``h, w``: the least a in the upper bits, the kept pair below."""
+def signature_columns(samples: int) -> list[Column]:
+    """One aggregate a sample over rows ``h, w``: the least a in the upper bits, the kept pair below.
+
+    Two hashes give five uniform numbers; the product of two makes a Gamma(2, 1) by its negative log.
+    """
     out = []
     for k in range(samples):
-        h = f"xxhash64(h, {k})"
-        r = f"__r[cast({h} & {(1 << R_BITS) - 1} as int)]"
-        c = f"__c[cast(shiftright({h}, {R_BITS}) & {(1 << C_BITS) - 1} as int)]"
-        b = f"(cast(shiftright({h}, {R_BITS + C_BITS}) & 16777215 as double) / 16777216d)"
-        out.append((k, r, c, b))
-    return out
-
-
-def signature_columns(samples: int) -> tuple[list[Column], list[str]]:
-    r_table, c_table = _tables_sql()
-    aggregates = []
-    for k, r, c, b in minima(samples):
-        r, c = r.replace("__r", r_table), c.replace("__c", c_table)
+        first, second = f"xxhash64(h, {2 * k})", f"xxhash64(h, {2 * k + 1})"
+        r = f"(-ln((cast({first} & 1048575L as double) + 0.5d) * (cast(shiftright({first}, 20) & 1048575L as double) + 0.5d) * {2.0**-40}d))"
+        b = f"(cast(shiftrightunsigned({first}, 40) as double) * {2.0**-24}d)"
+        log_c = f"ln(-ln((cast({second} & 2147483647L as double) + 0.5d) * (cast(shiftrightunsigned({second}, 33) as double) + 0.5d) * {2.0**-62}d))"
         t = f"floor(w / {r} + {b})"
-        a = f"({c} - {r} * ({t} - {b} + 1d))"
-        packed = f"shiftleft(cast(({a} + 64d) * 16777216d as bigint), 31) | ((shiftright(h, 31) ^ ({t} * 2654435761)) & 2147483647)"
-        aggregates.append(F.expr(f"min({packed})").alias(f"m{k}"))
-    return aggregates, [f"m{k}" for k in range(samples)]
+        a = f"({log_c} - {r} * ({t} - {b} + 1d))"
+        packed = f"shiftleft(cast(({a} + 64d) * 16777216d as bigint), 31) | ((shiftright(h, 31) ^ ({t} * 2654435761L)) & 2147483647L)"
+        out.append(F.expr(f"min({packed})").alias(f"m{k}"))
+    return out
 
 
 def sliced(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -142,9 +107,8 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     starts = sorted_.withColumn("p", runs("s"))
     keys = ["slice", "again", "id", "hash", "row", "n_chars", "sha", "which"]
     exploded = starts.select(*keys, F.explode(F.expr("transform(p, (i, j) -> struct(s[i] as h, coalesce(try_element_at(p, j + 2), size(s)) - i as n))")).alias("x")).select(*keys, F.col("x.h").alias("h"), F.log(F.col("x.n").cast("double")).alias("w"))
-    aggregates, names = signature_columns(samples)
-    made = exploded.groupBy(*keys).agg(*aggregates)
-    kept = made.select(*keys, F.array(*[F.col(m).bitwiseAND(F.lit(2147483647)).cast("int") for m in names]).alias("sig"))
+    made = exploded.groupBy(*keys).agg(*signature_columns(samples))
+    kept = made.select(*keys, F.array(*[F.col(f"m{k}").bitwiseAND(F.lit(2147483647)).cast("int") for k in range(samples)]).alias("sig"))
     after = Window.partitionBy("slice").orderBy(*order, F.asc("which"))
     share = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x) / float(samples)
     near = kept.select("*", F.lead("sig", 1).over(after).alias("edited_sig"), F.lead("sig", 2).over(after).alias("next_sig")).filter("which = 0 and again = 0")
