@@ -3,7 +3,7 @@ splicing replacements. Offsets count code points; ``utf16_offset`` converts."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,49 +23,63 @@ def is_blank(text: Column) -> Column:
     return ~F.coalesce(text, F.lit("")).rlike(f"[^{SPACE_JAVA}]")
 
 
-def find_all(text: Column, pattern: str, group: int = 0) -> Column:
+def literal(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def find_all(text: str, pattern: str, group: int = 0) -> Column:
     """``array<struct<m, s, g>>``: each match, its offset, and its group's text.
 
-    What lies between matches, by ``split``, gives the offsets.
+    ``text`` is a column's name or SQL: the expression is given to Spark as one SQL text, which is much
+    quicker to build than node by node. What lies between matches, by ``split``, gives the offsets.
     """
-    matches, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.zip_with(F.slice(between, 1, F.size(matches)), matches, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("m")))
-    groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
-    pairs = F.zip_with(pairs, groups, lambda x, g: F.struct(x["gap"].alias("gap"), x["m"].alias("m"), g.alias("g")))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<m: string, s: int, g: string>>)").alias("out"))
-    step = lambda acc, x: F.struct((acc["at"] + x["gap"] + F.length(x["m"])).alias("at"), F.concat(acc["out"], F.array(F.struct(x["m"].alias("m"), (acc["at"] + x["gap"]).alias("s"), x["g"].alias("g")))).alias("out"))
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    p = literal(pattern)
+    found = f"regexp_extract_all({text}, {p}, 0)"
+    groups = f"regexp_extract_all({text}, {p}, {group})" if group else found
+    return F.expr(
+        f"""aggregate(zip_with(zip_with({found}, {groups}, (m, g) -> struct(m, g)), slice(split({text}, {p}, -1), 1, size({found})), (x, gap) -> struct(x.m as m, x.g as g, gap)),
+        struct(0 as at, cast(array() as array<struct<m: string, s: int, g: string>>) as out),
+        (acc, x) -> struct(acc.at + length(x.gap) + length(x.m) as at, concat(acc.out, array(struct(x.m as m, acc.at + length(x.gap) as s, x.g as g))) as out),
+        acc -> acc.out)"""
+    )
 
 
 def span(text: Column, category: str, start: Column, end: Column, confidence: float) -> Column:
     return F.struct(text.alias("text"), F.lit(category).alias("category"), start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(float(confidence)).alias("confidence"))
 
 
-def pattern_spans(text: Column, p: Pattern) -> Column:
+def spans_of(found: Column, category: str, confidence: float, offset: Callable[[Column], Column] | None = None) -> Column:
+    """Matches' groups as spans."""
+    at = offset or (lambda x: x["s"])
+    return F.transform(found, lambda x: span(x["g"], category, at(x), at(x) + F.length(x["g"]), confidence))
+
+
+def guarded(text: str, made: Column, needs: Sequence[str] = (), hint: str = "") -> Column:
+    """Spans if the text holds one of some literals and a simple pattern; else none, without looking."""
+    asked = [" or ".join(f"contains({text}, {literal(n)})" for n in needs)] if needs else []
+    asked += [f"{text} rlike {literal(hint)}"] if hint else []
+    return F.when(F.expr(" and ".join(f"({a})" for a in asked)), made).otherwise(no_spans()) if asked else made
+
+
+def pattern_spans(text: str, p: Pattern) -> Column:
     """Spans of one pattern. A group's offset is its first place within the match."""
     found = find_all(text, p.java, p.group)
     if p.check:
         found = F.filter(found, lambda x: CHECKS[p.check](x["g"]))
-    at = (lambda x: x["s"] + F.instr(x["m"], x["g"]) - 1) if p.group else (lambda x: x["s"])
-    made = F.transform(found, lambda x: span(x["g"], p.category, at(x), at(x) + F.length(x["g"]), 1.0))
-    if not p.needs:
-        return made
-    needed = F.contains(text, F.lit(p.needs[0]))
-    for literal in p.needs[1:]:
-        needed = needed | F.contains(text, F.lit(literal))
-    return F.when(needed, made).otherwise(no_spans())
+    at = (lambda x: x["s"] + F.instr(x["m"], x["g"]) - 1) if p.group else None
+    return guarded(text, spans_of(found, p.category, 1.0, at), p.needs, p.hint)
 
 
-def regex_spans(text: Column, categories: tuple[str, ...] | None = None) -> Column:
+def regex_spans(text: str, categories: tuple[str, ...] | None = None) -> Column:
     """Spans of all active patterns, in order of precedence."""
     parts = [pattern_spans(text, p) for p in PATTERNS if categories is None or p.category in categories]
     return F.concat(*parts) if parts else no_spans()
 
 
-def custom_spans(text: Column, source: str, category: str) -> Column:
+def custom_spans(text: str, source: str, category: str) -> Column:
     """Spans of a user's pattern; empty matches don't count."""
-    found = F.filter(find_all(text, source), lambda x: F.length(x["m"]) > 0)
-    return F.transform(found, lambda x: span(x["m"], category, x["s"], x["s"] + F.length(x["m"]), 1.0))
+    return spans_of(F.filter(find_all(text, source), lambda x: F.length(x["m"]) > 0), category, 1.0)
 
 
 def resolve(spans: Column) -> Column:

@@ -12,7 +12,8 @@ from hushframe.config import Config
 from hushframe.functions.categories import NER_CATEGORIES, SPANS
 from hushframe.functions.dictionary import dictionary_spans
 from hushframe.functions.detect import Detector
-from hushframe.functions.ner import ner_spans
+from hushframe.functions.ner import bracket_ranges, claimed_apart, claimed_spans, name_spans
+from hushframe.functions.patterns import PATTERNS
 from hushframe.functions.spans import custom_spans, drop_allowed, is_blank, no_spans, regex_spans, resolve
 
 
@@ -26,31 +27,45 @@ def span_udf(find: Callable[[str], list[tuple]]):
     return run
 
 
-def candidates(text: Column, config: Config, plugins: Sequence = (), provider: Callable | None = None) -> Column:
-    """All stages' spans in order of precedence. Inactive categories cost nothing: they aren't planned."""
-    active = config.active
-    parts = [dictionary_spans(text, config.all_dictionary, active), regex_spans(text, active)]
-    parts += [custom_spans(text, p.pattern, p.target) for p in config.all_patterns if p.target in active]
-    if config.heuristic_ner and set(active) & set(NER_CATEGORIES):
-        parts.append(ner_spans(text, active, config.surnames))
-    if plugins:
-        parts.append(span_udf(Detector(config, plugins).from_plugins)(text))
-    if provider is not None and config.provider_enabled:
-        parts.append(span_udf(Detector(config, (), provider).from_provider)(text))
-    return F.concat(*parts)
-
-
-def analyze_column(text: Column, config: Config, plugins: Sequence = (), provider: Callable | None = None) -> Column:
-    found = drop_allowed(resolve(candidates(text, config, plugins, provider)), config.allowlist)
-    return F.when(is_blank(text), no_spans()).otherwise(found)
-
-
 def analyze(df: DataFrame, config: Config | None = None, text: str = "text", output: str = "spans", plugins: Sequence = (), provider: Callable | None = None) -> DataFrame:
     """``df`` with an array of spans: a narrow transformation, without a shuffle.
 
-    Null and blank texts have no spans. The configuration's ``enabled`` and passthrough don't matter here.
+    Stages are columns of their own, so that what several rules use (bracket ranges, claimed spans) is
+    computed once a row; inactive categories cost nothing, as they aren't planned. Null and blank texts
+    have no spans. The configuration's ``enabled`` and passthrough don't matter here.
     """
-    return df.withColumn(output, analyze_column(F.col(text), config or Config(), plugins, provider))
+    config = config or Config()
+    active, t, column = config.active, "__text", F.col(text)
+    parts: list[Column] = []
+    out = df.withColumn(t, column)
+
+    def stage(name: str, spans: Column) -> Column:
+        nonlocal out
+        out = out.withColumn(name, spans)
+        return F.col(name)
+
+    if config.all_dictionary:
+        parts.append(stage("__dictionary", dictionary_spans(t, config.all_dictionary, active)))
+    if any(p.category in active for p in PATTERNS):
+        parts.append(stage("__patterns", regex_spans(t, active)))
+    own = [custom_spans(t, p.pattern, p.target) for p in config.all_patterns if p.target in active]
+    if own:
+        parts.append(stage("__custom", F.concat(*own)))
+    if config.heuristic_ner and set(active) & set(NER_CATEGORIES):
+        ranges = stage("__ranges", bracket_ranges(t))
+        claimed = stage("__claimed", claimed_spans(t, ranges, active))
+        parts.append(claimed)
+        if "NAME" in active:
+            names = stage("__names", name_spans(t, ranges, config.surnames))
+            parts.append(claimed_apart(names, claimed))
+    if plugins:
+        parts.append(stage("__plugins", span_udf(Detector(config, plugins).from_plugins)(column)))
+    if provider is not None and config.provider_enabled:
+        parts.append(stage("__provider", span_udf(Detector(config, (), provider).from_provider)(column)))
+    found = stage("__found", F.concat(*parts) if parts else no_spans())
+    spans = F.when(is_blank(column), no_spans()).otherwise(drop_allowed(resolve(found), config.allowlist))
+    made = out.withColumn(output, spans)
+    return made.drop(*[c for c in made.columns if c.startswith("__") and c not in df.columns and c != output])
 
 
 def exploded(df: DataFrame, keys: Sequence[str], spans: str = "spans") -> DataFrame:
