@@ -35,12 +35,14 @@ def find_all(text: str, pattern: str, group: int = 0) -> Column:
     quicker to build than node by node. What lies between matches, by ``split``, gives the offsets.
     """
     p = literal(pattern)
-    found = f"regexp_extract_all({text}, {p}, 0)"
-    groups = f"regexp_extract_all({text}, {p}, {group})" if group else found
+    pairs = f"zip_with(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), (gap, m) -> struct(gap, m))"
+    if group:
+        pairs = f"zip_with({pairs}, regexp_extract_all({text}, {p}, {group}), (x, g) -> struct(x.gap as gap, x.m as m, g))"
+    # The piece after the last match has no match beside it and goes.
     return F.expr(
-        f"""aggregate(zip_with(zip_with({found}, {groups}, (m, g) -> struct(m, g)), slice(split({text}, {p}, -1), 1, size({found})), (x, gap) -> struct(x.m as m, x.g as g, gap)),
+        f"""aggregate(filter({pairs}, x -> x.m is not null),
         struct(0 as at, cast(array() as array<struct<m: string, s: int, g: string>>) as out),
-        (acc, x) -> struct(acc.at + length(x.gap) + length(x.m) as at, concat(acc.out, array(struct(x.m as m, acc.at + length(x.gap) as s, x.g as g))) as out),
+        (acc, x) -> struct(acc.at + length(x.gap) + length(x.m) as at, concat(acc.out, array(struct(x.m as m, acc.at + length(x.gap) as s, {"x.g" if group else "x.m"} as g))) as out),
         acc -> acc.out)"""
     )
 
