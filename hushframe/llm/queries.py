@@ -40,4 +40,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL has no tokenizer, no XXH64 and no learning, so only the archives' digests have a counterpart."""
+    from hushframe.llm.warc import MIN_REVISIT
+
+    return {
+        "op1_warc": f"""
+            SELECT page_id, payload_bytes, payload_digest,
+                   CASE WHEN payload_bytes >= {MIN_REVISIT} AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+                   CASE WHEN payload_bytes >= {MIN_REVISIT} AND page_id < last THEN last END AS refers_to
+            FROM (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last
+                  FROM (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages))""",
+    }
