@@ -34,6 +34,8 @@ WORDS = 4
 #: Fingerprints a shard should hold, about, and those from which it is parted again.
 SHARD = 64
 PART_ABOVE = 2048
+#: Parts that the rows of a label in common are dealt to.
+SALTS = 8
 
 
 def fingerprint(text: str | None, words: int = WORDS, seed: int = 42) -> int:
@@ -195,15 +197,24 @@ def links(nodes: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
     return sharded.repartition("shard").sortWithinPartitions("shard").mapInPandas(run, "a long, b long").distinct()
 
 
+def looked_up(rows: DataFrame, key: str, found: DataFrame, name: str, value: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the ``value`` of the ``found`` row whose ``name`` is its ``key``. A key that many rows
+    share is salted by their ``node``; the looked-up side, of one row a name, is repeated for each salt."""
+    left = rows.withColumn("__salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    right = found.select(F.col(name).alias("__name"), F.col(value).alias("__value"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__s"))
+    return left.join(right, (F.col(key) == F.col("__name")) & (F.col("__salt") == F.col("__s")), how).drop("__salt", "__name", "__s")
+
+
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """``node, label`` for all nodes with links; equal labels: connected. Min-label steps with pointer jumping."""
-    edges = stored(spark, edges.select("a", "b").union(edges.select("b", "a")), "links")
-    labels = stored(spark, edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    both = edges.select(F.col("a").alias("node"), "b").union(edges.select(F.col("b").alias("node"), F.col("a").alias("b")))
+    edges = stored(spark, both, "links")
+    labels = stored(spark, edges.groupBy("node").agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     while True:
-        near = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("m"))
-        stepped = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
-        above = stepped.select(F.col("node").alias("n"), F.col("label").alias("up"))
-        jumped = stepped.join(above, stepped["label"] == above["n"], "left").select("node", "was", F.coalesce("up", "label").alias("label"))
+        near = looked_up(edges, "b", labels, "node", "label").groupBy("node").agg(F.min("__value").alias("m"))
+        stepped = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
+        above = stepped.join(stepped.select(F.col("label").alias("node")).distinct(), "node", "left_semi")
+        jumped = looked_up(stepped, "label", above.withColumnRenamed("label", "up"), "node", "up", "left").select("node", "was", F.coalesce("__value", "label").alias("label"))
         made = stored(spark, jumped, "labels")
         labels = made.select("node", "label")
         if made.filter("was <> label").limit(1).count() == 0:
