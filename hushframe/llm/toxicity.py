@@ -11,7 +11,7 @@ Fitting uses at most ``MAX_FIT`` labelled documents, chosen by hash; counts are
 documents are, and only words frequent enough in them come to the driver.
 
 Defined cases: null and empty texts score as texts without matches; documents without label are scored;
-contradicting labels count each; no labels, or labels of one kind, give an empty lexicon and score 0 for
+contradicting labels count each; equal texts with one label count once; no labels, or labels of one kind, give an empty lexicon and score 0 for
 all; repeated rows are each scored; empty tables give no rows; extra columns are ignored.
 """
 
@@ -35,7 +35,12 @@ MAX_FIT = 20_000
 FOLDS = 5
 #: An entry needs so many toxic documents, and log odds of at least so much.
 MIN_DOCS = 5
-MIN_ODDS = 2.5
+MIN_ODDS = 2.0
+#: And this share of the toxic documents: a handful of near copies with a wrong label reaches less.
+MIN_PART = 0.01
+#: Evidence in nats that a term's documents are toxic more often than others by chance: words are tried
+#: by the hundred thousand, beginnings with several endings are few.
+MIN_EVIDENCE, MIN_STEM_EVIDENCE = 9.0, 9.0
 #: A word beginning needs so many different words, and this length or more.
 MIN_ENDINGS = 6
 STEMS = (4, 5, 6)
@@ -139,14 +144,21 @@ def terms_of(text: str | None) -> set[str]:
     return {f" {w} " for w in words} | {f" {w[:n]}" for w in words for n in STEMS if len(w) > n}
 
 
+def evidence(bad: int, good: int, share: float) -> float:
+    """Log likelihood of a term's own share of toxic documents against the share among all."""
+    own = bad / (bad + good)
+    return bad * math.log(own / share) + (good * math.log((1 - own) / (1 - share)) if good else 0.0)
+
+
 def choose(counts: Iterable[tuple[str, int, int, int]], toxic: int, clean: int, exceptions: Sequence[str] = EXCEPTIONS) -> dict[str, float]:
     """Entries and weights from ``term, toxic documents, clean documents, different words``."""
     odds = {}
     for term, bad, good, words in counts:
-        if bad < MIN_DOCS or (term[-1] != " " and words < MIN_ENDINGS):
+        if bad < max(MIN_DOCS, MIN_PART * toxic) or (term[-1] != " " and words < MIN_ENDINGS):
             continue
         value = math.log((bad + 0.5) / (toxic + 1)) - math.log((good + 0.5) / (clean + 1))
-        if value >= MIN_ODDS:
+        sure = evidence(bad, good, toxic / (toxic + clean))
+        if value >= MIN_ODDS and sure >= (MIN_EVIDENCE if term[-1] == " " else MIN_STEM_EVIDENCE):
             odds[term] = value
     kept: dict[str, float] = {}
     for term in sorted(odds, key=lambda t: (len(t.rstrip()), t)):
@@ -155,15 +167,14 @@ def choose(counts: Iterable[tuple[str, int, int, int]], toxic: int, clean: int,
     return kept
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> tuple[float, float]:
-    """Slope and bias by Newton's method; classes weigh alike."""
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
+def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4) -> tuple[float, float]:
+    """Slope and bias by Newton's method. Labels count as they are, so 0.5 is where errors are fewest."""
     a = np.stack([x, np.ones_like(x)], axis=1)
     w = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        gradient = a.T @ (weight * (p - y)) + penalty * len(y) * w * [1, 0]
-        hessian = (a * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ a + np.diag([penalty * len(y), 1e-9])
+        gradient = a.T @ (p - y) + penalty * len(y) * w * [1, 0]
+        hessian = (a * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ a + np.diag([penalty * len(y), 1e-9])
         step = np.linalg.solve(hessian, gradient)
         w -= step
         if np.abs(step).max() < 1e-8:
@@ -177,7 +188,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, exceptions:
     known = known.filter("id is not null and toxic in (0, 1)").filter(crc_of_id(F.col("id")) % FOLDS != 0).distinct()
     n = known.count()
     drawn = known.filter(uniform(F.col("id"), seed=11) <= min(1.0, max_fit / max(1, n)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(drawn, "id").select("text", "toxic").persist()
+    # Copies of a text say no more than one of them.
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(drawn, "id").groupBy(F.xxhash64("text"), "toxic").agg(F.first("text").alias("text")).select("text", "toxic").persist()
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
