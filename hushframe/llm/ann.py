@@ -1,8 +1,8 @@
 """Approximate nearest neighbours: a forest of random-projection trees, then exact reranking.
 
 Trees are grown on a bounded sample (``SAMPLE`` vectors at most, chosen by hash); every vector is then put
-in its leaf of each tree. A query walks all trees through one priority queue, ordered by how far it
-lies from the splits it crossed, until its leaves are expected to hold ``search_k`` vectors. Leaves are
+in its leaf of each tree. A query walks all trees through one priority queue, ordered by the
+sum of squared distances to the splits it crossed, until its leaves are expected to hold ``search_k`` vectors. Leaves are
 joined to the queries that reached them by key, and candidates are reranked by exact Euclidean distance.
 
 Equal vectors are one node with the smallest ids that could be among a query's nearest, so a vector that
@@ -28,9 +28,12 @@ from hushframe.llm.common import make_importable, stored, table, uniform
 K = 10
 EVERY = 100
 SAMPLE = 20_000
-TREES = 12
+TREES = 24
 LEAF = 64
-SEARCH_K = 12_000
+#: Vectors that a query's leaves should hold, repeats among trees included: a share of the table, and at
+#: least so many. The share keeps recall alike at every size, also where vectors have no structure at all.
+SEARCH_SHARE = 0.4
+SEARCH_LEAST = 20_000
 
 
 class Tree:
@@ -100,7 +103,7 @@ class RandomProjectionForest:
                 continue
             side, kids = float(sides[t][node]), self.trees[t].children[node]
             heapq.heappush(queue, (far, t, kids[side >= 0]))
-            heapq.heappush(queue, (max(far, abs(side)), t, kids[side < 0]))
+            heapq.heappush(queue, (far + side * side, t, kids[side < 0]))
         return found
 
 
@@ -145,7 +148,7 @@ def valid_vectors(table_: DataFrame, id_column: str = "vec_id", vector_column: s
     return fine.filter(F.size("vector") == (sizes[0]["d"] if sizes else 0))
 
 
-def nearest(table_: DataFrame, every: int = EVERY, k: int = K, trees: int = TREES, leaf: int = LEAF, search_k: int = SEARCH_K, sample: int = SAMPLE, seed: int = 7) -> DataFrame:
+def nearest(table_: DataFrame, every: int = EVERY, k: int = K, trees: int = TREES, leaf: int = LEAF, search_share: float = SEARCH_SHARE, search_least: int = SEARCH_LEAST, sample: int = SAMPLE, seed: int = 7) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest found of each row whose id ``every`` divides."""
     spark = table_.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -171,6 +174,7 @@ def nearest(table_: DataFrame, every: int = EVERY, k: int = K, trees: int = TREE
     count = nodes.count()
     if not count:
         return spark.createDataFrame([], schema)
+    search_k = max(search_least, int(search_share * count))
     drawn = nodes.select("node", "vector").filter(uniform(F.col("node"), seed=seed) <= min(1.0, sample / count)).orderBy(uniform(F.col("node"), seed=seed)).limit(sample).toPandas()
     points = np.array(drawn.sort_values("node")["vector"].tolist()).reshape(len(drawn), -1)
     if not len(points):
