@@ -136,6 +136,7 @@ def tokenised(docs: DataFrame, folder: str, window: int, end_id: int, tokenizer:
                     out, held = [], 0
             if out:
                 yield frame(out)
+        ids.forget()  # a pipeline's other stages run in the same worker
 
     names = ["doc_id", "part", "n", "rest", "rank", "whole", "bytes_each", "ids"]
     frame = lambda out: pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})

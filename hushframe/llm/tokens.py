@@ -14,7 +14,7 @@ import numpy as np
 #: Python also splits at these; the tokenizer doesn't, so texts that hold them are encoded directly.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-MAX_CACHED = 1_000_000
+MAX_CACHED = 500_000
 
 
 def default_path(name: str = "word_bpe_49k.json") -> str:
@@ -70,12 +70,17 @@ class TextEncoder:
             pass
         if len(known) > self.max_cached:
             known.clear()
+        if len(self.parts) > self.max_cached:
             self.parts.clear()
         for w in words:
             if w not in known:
                 known[w] = self._word(w)
         return b"".join(map(known.__getitem__, words))
 
+    def forget(self) -> None:
+        """Frees what is cached."""
+        self.words, self.parts = {}, {}
+
     def encode(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.encode_bytes(text), "<u4")
 
