@@ -5,6 +5,7 @@ import pytest
 from hushframe.config import Config, CustomCategory, CustomPattern, DictionaryEntry
 from hushframe.functions.categories import CATEGORIES
 from hushframe.functions.detect import Detector, iban, luhn, my_number, select
+from hushframe.functions.ner_data import SURNAMES
 from hushframe.operators.analyze import analyze
 
 ALL = Config(categories=CATEGORIES)
@@ -112,3 +113,14 @@ def test_no_active_category(spark):
 def test_clashing_columns(spark):
     df = spark.createDataFrame([("a@b.co", 1, "x")], "text string, spans int, __found string")
     assert len(analyze(df, ALL, output="pii").collect()[0]["pii"]) == 1
+
+
+def test_all_surnames_of_the_reference(spark):
+    """Names beyond the commonest 120: full names, and a surname alone after other Han letters."""
+    cases = [("久保田健一が来た", ["久保田健一"], 1), ("内藤花子は休み", ["内藤花子"], 1), ("昨日北村さんと", ["北村"], 0.9), ("今日岸さんと", ["岸"], 0.9), ("前川様", ["前川"], 0.9)]
+    rows = analyze(spark.createDataFrame([(t,) for t, _, _ in cases], "text string"), ALL).collect()
+    for (text, names, sure), r in zip(cases, rows, strict=True):
+        found = [s for s in r["spans"] if s["category"] == "NAME"]
+        assert [s["text"] for s in found] == names and all(s["confidence"] == sure for s in found if sure < 1)
+        assert [s[0] for s in Detector(ALL).analyze(text) if s[1] == "NAME"] == names
+    assert len(set(SURNAMES)) == 368
