@@ -197,24 +197,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, exceptions:
         return Lexicon({})
 
     def count(batches):
-        bad, good, endings = Counter(), Counter(), {}
+        bad, good = Counter(), Counter()
         for batch in batches:
             for text, label in zip(batch["text"], batch["toxic"], strict=True):
-                terms = terms_of(text)
-                (bad if label else good).update(terms)
-                if label:
-                    for t in terms:
-                        if t[-1] == " ":
-                            for k in STEMS:
-                                if len(t) - 2 > k and len(held := endings.setdefault(t[: k + 1], set())) < 4 * MIN_ENDINGS:
-                                    held.add(t)
-        made = [(t, n_bad, good[t], len(endings.get(t, ()))) for t, n_bad in bad.items()] + [(t, 0, n_good, 0) for t, n_good in good.items() if t not in bad]
+                (bad if label else good).update(terms_of(text))
+        made = [(t, n_bad, good[t]) for t, n_bad in bad.items()] + [(t, 0, n_good) for t, n_good in good.items() if t not in bad]
         for lo in range(0, len(made), 50_000):
-            yield pd.DataFrame(made[lo : lo + 50_000], columns=["term", "bad", "good", "words"])
+            yield pd.DataFrame(made[lo : lo + 50_000], columns=["term", "bad", "good"])
 
-    counted = rows.mapInPandas(count, "term string, bad long, good long, words int").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.max("words").alias("words"))
+    counted = rows.mapInPandas(count, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).persist()
+    # Each different word of toxic documents is one row by now, wherever its documents are.
+    begun = F.explode(F.array(*[F.when(F.length("term") - 2 > k, F.substring("term", 1, k + 1)) for k in STEMS])).alias("term")
+    endings = counted.filter("bad > 0 and endswith(term, ' ')").select(begun).filter("term is not null").groupBy("term").agg(F.count("*").alias("words"))
     odds = F.log((F.col("bad") + 0.5) / (toxic + 1)) - F.log((F.col("good") + 0.5) / (clean + 1))
-    frequent = counted.filter((F.col("bad") >= MIN_DOCS) & (odds >= MIN_ODDS)).collect()  # at most max_fit's words, few in practice
+    frequent = counted.filter((F.col("bad") >= MIN_DOCS) & (odds >= MIN_ODDS)).join(endings, "term", "left").fillna(0, ["words"]).collect()  # at most max_fit's words, few in practice
+    counted.unpersist()
     weights = choose([(r["term"], r["bad"], r["good"], r["words"]) for r in frequent], toxic, clean)
     lexicon = Lexicon(weights, tuple(exceptions))
     if weights:

@@ -291,3 +291,20 @@ def test_toxicity_without_labels(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     labels = spark.read.parquet(f"{small}/labels.parquet").filter("toxic = 0")
     assert toxicity.fit(docs, labels).weights == {}
+
+
+def test_op2_counts_endings_across_partitions(spark):
+    """A beginning with an ending of its own in each toxic document is an entry, however the documents are dealt."""
+    docs = [(k, f"plain talk number {k} vequ{'abcdefghijkl'[k % 12] * 2} here" if k % 2 else f"plain talk number {k} here") for k in range(200)]
+    labels = spark.createDataFrame([(k, 1, k % 2) for k, _ in docs], "doc_id long, quality int, toxic int")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    found = []
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for parts in (1, 60):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            found.append(toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), labels).weights)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found[0] == found[1] and set(found[0]) == {" vequ"}
