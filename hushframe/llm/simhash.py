@@ -15,6 +15,10 @@ and aren't broadcast, as their size has no bound.
 Defined cases: null text counts as empty; equal fingerprints are one node, however many rows have them; a
 null ``doc_id`` joins its component but never names it, unless it has no other; repeated rows are all
 returned; empty tables give no rows; extra columns are ignored.
+
+The pipeline's stage links otherwise: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or
+more, found by MinHash bands and each compared exactly. SimHash of a small radius finds few of them, and a
+radius that finds most would compare nearly all texts.
 """
 
 from __future__ import annotations
@@ -36,23 +40,34 @@ SHARD = 64
 PART_ABOVE = 2048
 #: Parts that the rows of a label in common are dealt to.
 SALTS = 8
+#: The pipeline's stage: words of a shingle, and the least Jaccard similarity of two texts that are linked.
+SHINGLE, SIMILARITY = 5, 0.8
+#: MinHash bands and values in each: a pair of similarity 0.8 shares no band once in 300,000 times.
+BANDS, BAND = 24, 4
+FACTORS = np.random.default_rng(64).integers(0, 1 << 63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def fingerprint(text: str | None, words: int = WORDS, seed: int = 42) -> int:
-    """The 64-bit SimHash of a whole text."""
+def shingle_hashes(text: str | None, words: int, seed: int = 42) -> list[int]:
+    """XXH64 of each shingle of a text, repeats included."""
     import xxhash
 
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters, ASCII white space
     if not found:
-        return 0
+        return []
     joined = b" ".join(found)
     if len(found) <= words:
-        hashes = [xxhash.xxh64_intdigest(joined, seed)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], seed) for a, b in zip(starts[: len(found) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
+        return [xxhash.xxh64_intdigest(joined, seed)]
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    digest = xxhash.xxh64_intdigest
+    return [digest(joined[a:b], seed) for a, b in zip(starts[: len(found) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
+
+
+def fingerprint(text: str | None, words: int = WORDS, seed: int = 42) -> int:
+    """The 64-bit SimHash of a whole text."""
+    hashes = shingle_hashes(text, words, seed)
+    if not hashes:
+        return 0
     raw = np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8)
     counts = np.zeros(64, np.int64)
     for lo in range(0, len(raw), 65_536):
@@ -244,10 +259,82 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: str | None) -> np.ndarray:
+    """The distinct hashes of a text's shingles of ``SHINGLE`` words, sorted."""
+    return np.unique(np.array(shingle_hashes(text, SHINGLE), np.uint64))
+
+
+def band_keys(found: np.ndarray) -> list[int]:
+    """A signed key for each band: of the least values of a set under ``BAND`` multipliers of its own."""
+    import xxhash
+
+    least = np.full(len(FACTORS), ~np.uint64(0))
+    for lo in range(0, len(found), 4096):
+        np.minimum(least, np.multiply.outer(FACTORS, found[lo : lo + 4096]).min(axis=1), out=least)
+    raw = least.tobytes()
+    keys = [xxhash.xxh64_intdigest(raw[8 * BAND * k : 8 * BAND * (k + 1)], k) for k in range(BANDS)]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets' Jaccard similarity is ``SIMILARITY`` or more; empty sets are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= SIMILARITY * (len(a) + len(b) - both) - 1e-9
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` of nodes whose texts are alike."""
+
+    def run(batches):
+        last, held = None, None
+        for batch in batches:
+            keep = []
+            for a, text_a, text_b in zip(batch["a"], batch["text_a"], batch["text_b"], strict=True):
+                if a != last:
+                    last, held = a, shingle_set(text_a)
+                keep.append(alike(held, shingle_set(text_b)))
+            yield batch.loc[keep, ["a", "b"]]
+
+    with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    with_both = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    return with_both.select("a", "b", "text_a", "text_b").sortWithinPartitions("a").mapInPandas(run, "a long, b long")
+
+
+def similar(texts: DataFrame) -> DataFrame:
+    """``node, label`` of the nodes with links among ``node, text`` (a row a node). Texts that share a MinHash band
+    are compared exactly: first with the least node of each bucket, then all pairs of a bucket that aren't connected yet."""
+    spark = texts.sparkSession
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(t) for t in batch["text"]]
+            yield pd.DataFrame({"node": batch["node"], "size": [len(x) for x in sets], "keys": [band_keys(x) for x in sets]})
+
+    near_size = lambda a, b: F.least(a, b) >= SIMILARITY * F.greatest(a, b) - 1e-9
+    bucket = Window.partitionBy("bucket")
+    banded = texts.select("node", "text").mapInPandas(run, "node long, size int, keys array<long>").select(F.explode("keys").alias("bucket"), "node", "size")
+    shared = stored(spark, banded.withColumn("n", F.count("*").over(bucket)).withColumn("least", F.min(F.struct("node", "size")).over(bucket)).filter("n > 1").drop("n"), "buckets")
+    held = stored(spark, texts.select("node", "text").join(shared.select("node").distinct(), "node", "left_semi"), "candidates")
+    stars = stored(spark, shared.filter((F.col("node") != F.col("least.node")) & near_size(F.col("size"), F.col("least.size"))).select(F.col("least.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    found = stored(spark, verified(stars, held), "links")
+    labels = components(spark, found)
+    apart = shared.drop("least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    apart = stored(spark, apart.withColumn("lo", F.min("label").over(bucket)).withColumn("hi", F.max("label").over(bucket)).filter("lo <> hi").drop("lo", "hi"), "apart")
+    one, other = (apart.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "size", "label")]) for x in "ab")
+    rest = one.join(other, "bucket").filter((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & near_size(F.col("size_a"), F.col("size_b")))
+    rest = rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    more = stored(spark, verified(stored(spark, rest, "pairs"), held), "links")
+    return components(spark, found.union(more))
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage: of each component the document with the smallest id stays (one row, if it is repeated)."""
+    """Stage: of each component of similar texts the document with the smallest id stays (one row, if it is repeated)."""
     make_importable(spark)
-    found = near_duplicates(docs.select("doc_id", "text")).filter("doc_id <=> component_id").select("doc_id", "label").distinct()
-    kept = docs.alias("d").join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id"))).select("d.*", F.col("f.label").alias("__label"))
+    rows = docs.withColumn("__node", F.xxhash64(F.coalesce("text", F.lit(""))))
+    texts = stored(spark, rows.groupBy(F.col("__node").alias("node")).agg(F.first("text").alias("text")), "distinct")
+    found = similar(texts).withColumnRenamed("label", "__label")
+    labelled = rows.join(found, rows["__node"] == found["node"], "left").withColumn("__label", F.coalesce("__label", "__node"))
+    first = labelled.groupBy("__label").agg(F.min("doc_id").alias("__first"))
+    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("__first")))
     order = Window.partitionBy("doc_id", "__label").orderBy(F.xxhash64("text"))
-    return kept.withColumn("__place", F.row_number().over(order)).filter("__place = 1").drop("__place", "__label")
+    return kept.withColumn("__place", F.row_number().over(order)).filter("__place = 1").select(docs.columns)

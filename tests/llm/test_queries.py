@@ -308,3 +308,25 @@ def test_op2_counts_endings_across_partitions(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert found[0] == found[1] and set(found[0]) == {" vequ"}
+
+
+def test_pipeline_near_dedup_against_brute_force(spark, tmp_path):
+    """Of texts with Jaccard similarities from 0.5 to 1 the stage keeps the first of each component of links at 0.8."""
+    rng, docs = np.random.default_rng(8), []
+    for _ in range(60):
+        base = [f"w{k}" for k in rng.integers(0, 3000, int(rng.integers(40, 250)))]
+        for share in (0, 0.004, 0.01, 0.02, 0.04, 0.08):
+            docs.append(" ".join(f"x{k}" if rng.random() < share else w for k, w in enumerate(base)))
+    docs += ["", None, " ", "a b", "A  b", "a b c"]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for t in docs)]
+    forest, links = simhash.Forest(), 0
+    for i in range(len(docs)):
+        for j in range(i):
+            union = len(sets[i] | sets[j])
+            if 5 * len(sets[i] & sets[j]) >= 4 * union:
+                forest.join(i, j)
+                links += 1
+    assert links > 200
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(5)
+    kept = simhash.one_of_each(spark, df, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted({forest.root(i) for i in range(len(docs))})
