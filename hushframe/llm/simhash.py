@@ -327,14 +327,17 @@ def similar(texts: DataFrame) -> DataFrame:
     return components(spark, found.union(more))
 
 
+def first_of(rows: DataFrame, key: str) -> DataFrame:
+    """Of the rows with the same key the one with the smallest ``doc_id``, null last, then by text and all columns."""
+    order = Window.partitionBy(key).orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.xxhash64(*rows.columns))
+    return rows.withColumn("__place", F.row_number().over(order)).filter("__place = 1").drop("__place")
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage: of each component of similar texts the document with the smallest id stays (one row, if it is repeated)."""
+    """Stage: of each component of similar texts the document with the smallest id stays (one row, if it is repeated).
+    Rows carry their text's hash, and then their component, so ids needn't tell them apart."""
     make_importable(spark)
-    rows = docs.withColumn("__node", F.xxhash64(F.coalesce("text", F.lit(""))))
-    texts = stored(spark, rows.groupBy(F.col("__node").alias("node")).agg(F.first("text").alias("text")), "distinct")
-    found = similar(texts).withColumnRenamed("label", "__label")
+    rows = stored(spark, first_of(docs.withColumn("__node", F.xxhash64(F.coalesce("text", F.lit("")))), "__node"), "distinct")
+    found = similar(rows.select(F.col("__node").alias("node"), "text")).withColumnRenamed("label", "__label")
     labelled = rows.join(found, rows["__node"] == found["node"], "left").withColumn("__label", F.coalesce("__label", "__node"))
-    first = labelled.groupBy("__label").agg(F.min("doc_id").alias("__first"))
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("__first")))
-    order = Window.partitionBy("doc_id", "__label").orderBy(F.xxhash64("text"))
-    return kept.withColumn("__place", F.row_number().over(order)).filter("__place = 1").select(docs.columns)
+    return first_of(labelled, "__label").select(docs.columns)

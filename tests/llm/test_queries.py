@@ -330,3 +330,13 @@ def test_pipeline_near_dedup_against_brute_force(spark, tmp_path):
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(5)
     kept = simhash.one_of_each(spark, df, str(tmp_path)).collect()
     assert sorted(r["doc_id"] for r in kept) == sorted({forest.root(i) for i in range(len(docs))})
+
+
+def test_pipeline_near_dedup_tells_rows_with_one_id_apart(spark, tmp_path):
+    """Null and repeated ids with different texts: each text stays once, in its own row."""
+    rng = np.random.default_rng(4)
+    different = [" ".join(rng.choice(WORDS, 40)) for _ in range(9)]
+    docs = [(None, t) for t in different[:4]] + [(5, t) for t in different[4:7]] + [(6, different[7]), (7, different[7]), (None, different[8]), (9, different[8])]
+    kept = simhash.one_of_each(spark, spark.createDataFrame(docs + docs, "doc_id long, text string").repartition(3), str(tmp_path)).collect()
+    order = lambda r: (r[1], r[0] or 0)
+    assert sorted(map(tuple, kept), key=order) == sorted(docs[:8] + docs[10:], key=order)
