@@ -1,19 +1,21 @@
 """URL filtering by mined association rules.
 
-A URL becomes a small set of tokens: its host's labels with their place, its path's words, its suffix,
-its query's keys. Spark's FP-growth mines the tokens of labelled pages together with their class
-(quality 0 is bad); rules ``tokens -> bad`` stay if support and confidence reach their thresholds and no
-rule with fewer of the same tokens is as confident. Rules are matched by an inverted index: each is filed
+A URL becomes a set of tokens: its host's labels with their place, its path's words, its query's keys. Spark's
+FP-growth mines the tokens of labelled pages together with their class (quality 0 is bad); rules ``tokens ->
+bad`` stay if support, confidence and evidence reach their thresholds and no rule with fewer of the same tokens is
+as confident. No token is cut off. What bounds the mining is support, in share and in pages, and that of tokens
+found on exactly the same pages only the first takes part, as the others add nothing to any rule. Rules are matched by an inverted index: each is filed
 under its rarest token, so a URL looks only at rules of its own tokens. Listed rules come first: they
 fit a host and its subdomains where the path starts with the rule's, and the longest wins.
 
 Defined cases: null URLs, and those without ``://``, have an empty host and path and fit no listed rule; pages
-without label are judged, not mined; no labelled pages means no mined rules, and all is allowed; repeated
+without label are judged, not mined; contradicting labels of a page count each; no labelled pages means no mined rules, and all is allowed; repeated
 rows are each judged; empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Sequence
 
@@ -21,30 +23,32 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import lower_ascii, make_importable, table
+from hushframe.llm.common import lower_ascii, make_importable, stored, table
 
 #: Verdict and place (host/path) of the listed rules.
 LISTED = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-MIN_SUPPORT = 0.002
+#: A rule needs this share of the labelled pages, and so many of them, to be bad pages with its tokens.
+MIN_SUPPORT, MIN_PAGES = 0.002, 5
 MIN_CONFIDENCE = 0.5
-MAX_TOKENS = 12
+#: In nats, that a rule's pages are bad more often than others by chance: token sets are tried by the thousand.
+MIN_EVIDENCE = 9.0
 BAD = "class=bad"
 
 
 def tokens_of(url: str | None) -> list[str]:
-    """At most ``MAX_TOKENS`` tokens; digits only ever count as ``#``, so ids of single pages don't matter."""
+    """All tokens; digits only ever count as ``#``, so ids of single pages don't matter."""
     if not url or "://" not in url:
         return []
     rest = url.split("://", 1)[1]
     host, path, query = re.match(r"([^/?#]*)([^?#]*)\??([^#]*)", rest).groups()
     labels = host.lower().split(".")
-    out = [f"host{-k}={x}" for k, x in enumerate(reversed(labels)) if x][:4]
+    out = {f"host{-k}={x}" for k, x in enumerate(reversed(labels)) if x}
     parts = [re.sub(r"\d+", "#", x.lower()) for x in path.split("/") if x]
-    out += [f"path={x}" for x in parts if x != "#"][:4]
-    out += [f"key={x.split('=', 1)[0].lower()}" for x in query.split("&") if x][:3]
+    out |= {f"path={x}" for x in parts if x != "#"}
+    out |= {f"key={x.split('=', 1)[0].lower()}" for x in query.split("&") if x}
     if "#" in rest:
-        out.append("fragment")
-    return sorted(set(out))[:MAX_TOKENS]
+        out.add("fragment")
+    return sorted(out)
 
 
 class RuleIndex:
@@ -77,20 +81,37 @@ def prune(rules: Sequence[tuple[tuple[str, ...], float]]) -> list[tuple[tuple[st
     return kept
 
 
+def evidence(bad: float, pages: float, share: float) -> float:
+    """Log likelihood of a rule's own share of bad pages against the share among all."""
+    own = bad / pages
+    return bad * math.log(own / share) + ((pages - bad) * math.log((1 - own) / (1 - share)) if bad < pages else 0.0)
+
+
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[tuple[tuple[str, ...], float]]:
-    """Rules from ``url, bad``: their number is bounded by the support threshold and ``MAX_TOKENS``."""
+    """Rules ``tokens, confidence`` from rows ``url, bad``. What comes to the driver is the rules that reach the thresholds."""
     from pyspark.ml.fpm import FPGrowth
 
     @F.pandas_udf("array<string>")
-    def items(urls: pd.Series, bad: pd.Series) -> pd.Series:
-        return pd.Series([[*tokens_of(u), *([BAD] if b else [])] for u, b in zip(urls, bad, strict=True)])
+    def items(urls: pd.Series) -> pd.Series:
+        return urls.map(tokens_of, na_action=None)
 
-    made = labelled.select(items("url", "bad").alias("items")).filter(F.size("items") > 0)
-    if made.limit(1).count() == 0:
+    spark = labelled.sparkSession
+    made = stored(spark, labelled.select(items("url").alias("tokens"), F.col("bad").alias("bad"), F.monotonically_increasing_id().alias("page")).filter(F.size("tokens") > 0), "url-tokens")
+    sizes = made.agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad")).collect()[0]
+    if not sizes["n"] or not sizes["bad"] or sizes["bad"] == sizes["n"]:
         return []
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence, numPartitions=max(16, labelled.rdd.getNumPartitions())).fit(made)
-    rules = model.associationRules.filter(F.col("consequent")[0] == BAD).select(F.sort_array("antecedent").alias("tokens"), "confidence").collect()
-    return prune([(tuple(r["tokens"]), float(r["confidence"])) for r in rules])
+    share = sizes["bad"] / sizes["n"]
+    least = max(MIN_PAGES, math.ceil(min_support * sizes["n"]))
+    # Tokens on exactly the same pages have equal numbers and sums of hashes.
+    single = made.select(F.explode("tokens").alias("token"), "page", "bad").groupBy("token").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"), F.sum(F.xxhash64("page").cast("decimal(38,0)")).alias("pages"))
+    chosen = single.filter(F.col("bad") >= least).groupBy("n", "bad", "pages").agg(F.min("token").alias("token")).select("token")
+    kept = made.select("page", "bad", F.explode("tokens").alias("token")).join(chosen, "token").groupBy("page", "bad").agg(F.collect_list("token").alias("kept"))
+    rows = made.select("page", "bad").join(kept.select("page", "kept"), "page", "left").select(F.concat(F.coalesce("kept", F.array().cast("array<string>")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
+    rows = stored(spark, rows, "url-items")
+    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / sizes["n"], minConfidence=min_confidence, numPartitions=max(16, spark.sparkContext.defaultParallelism)).fit(rows)
+    rules = model.associationRules.filter((F.col("consequent")[0] == BAD) & (F.col("lift") > 1)).select(F.sort_array("antecedent").alias("tokens"), "confidence", "support").collect()
+    sure = [(tuple(r["tokens"]), float(r["confidence"])) for r in rules if evidence(r["support"] * sizes["n"], r["support"] * sizes["n"] / r["confidence"], share) >= MIN_EVIDENCE]
+    return prune(sure)
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -111,7 +132,7 @@ def listed_rule(host: Column, path: Column, listed: Sequence[tuple[str, str]] =
 
 def judge(pages: DataFrame, labels: DataFrame, listed: Sequence[tuple[str, str]] = LISTED, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """``page_id, host, path, rule, verdict, confidence`` for each page; confidence: the mined rule's."""
-    known = labels.select(F.col("doc_id").alias("id"), (F.col("quality") == 0).alias("bad")).filter("id is not null and bad is not null").distinct()
+    known = labels.select(F.col("doc_id").cast("long").alias("id"), (F.col("quality") == 0).alias("bad")).filter("id is not null and bad is not null").distinct()
     rules = mine(pages.select("page_id", "url").join(known, F.col("page_id") == F.col("id")).select("url", "bad"), min_support, min_confidence)
     index = RuleIndex(rules)
 
