@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 import zlib
 
 import numpy as np
@@ -150,21 +151,65 @@ def edited(text, follow):
     return text[: len(text) - half] + follow[:half]
 
 
+def xx(value, *seeds):
+    """XXH64 of a text or long, and of whole numbers with the last value as seed, as Spark has it; unsigned."""
+    import xxhash
+
+    out = xxhash.xxh64_intdigest(value.encode() if isinstance(value, str) else value.to_bytes(8, "little"), 42)
+    for s in seeds:
+        out = xxhash.xxh64_intdigest(s.to_bytes(4, "little"), out)
+    return out
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def sampled(text):
+    """The fingerprint by the definition: every term drawn for every sample."""
+    from collections import Counter
+
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+    counts = Counter(xx(w) for w in words) or {0: 1}
+    out = []
+    for k in range(fingerprints.SAMPLES):
+        found = []
+        for h, n in counts.items():
+            first, second = xx(h, 2 * k), xx(h, 2 * k + 1)
+            r = -math.log(((first & 0xFFFFF) + 0.5) * ((first >> 20 & 0xFFFFF) + 0.5) * 2.0**-40)
+            c = -math.log(((second & 0x7FFFFFFF) + 0.5) * ((second >> 33) + 0.5) * 2.0**-62)
+            b = (first >> 40) * 2.0**-24
+            t = math.floor(math.log(n) / r + b)
+            found.append((math.log(c) - r * (t - b + 1), (signed(h) >> 31 ^ t * 2654435761) & 0x7FFFFFFF))
+        out.append(min(found)[1])
+    return out
+
+
 def test_op6(spark, small):
     rows = Q["op6_fingerprints"](spark, small).collect()
-    docs = [(i, t) for i, t in documents(spark, small) if i not in (None, 7)]
-    by = {r["doc_id"]: r for r in rows}
-    assert len(rows) == len(docs) + 3
-    order = sorted(docs, reverse=True)
-    one = {i: t for i, t in docs}
-    for (i, t), (j, u) in zip(order, order[1:], strict=False):
-        if 7 in (i - 1, j) or i == 8:
-            continue
-        assert by[i]["n_chars"] == len(t) and by[i]["edited_sha256"] == hashlib.sha256(edited(t, u).encode()).hexdigest()
-        assert (by[i]["fingerprint"] == by[j]["fingerprint"]) == (by[i]["near_next"] == 1.0)
-    assert by[1]["fingerprint"] == by[2]["fingerprint"] and by[0]["near_next"] is not None
-    last = next(r for r in rows if r["doc_id"] is None)
-    assert last["edited_sha256"] == hashlib.sha256(edited("null id text here now", one[max(one)]).encode()).hexdigest()
+    docs = documents(spark, small)
+    assert len(rows) == len(docs)
+    order = sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, signed(xx(d[1]))), reverse=True)
+    want = []
+    for (i, t), (_, u) in zip(order, [*order[1:], order[0]], strict=True):
+        a, b, c = sampled(t), sampled(edited(t, u)), sampled(u)
+        share = lambda x, y: sum(p == q for p, q in zip(x, y, strict=True)) / len(x)
+        text = lambda x: "".join(f"{v:08x}" for v in x)
+        want.append((i, len(t), hashlib.sha256(edited(t, u).encode()).hexdigest(), text(a), text(b), pytest.approx(share(a, b)), pytest.approx(share(a, c))))
+    assert sorted((tuple(r) for r in rows), key=str) == sorted(want, key=str)
+
+
+def test_op6_slices_a_shared_id(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "SLICE_ROWS", 40)
+    rows = [(7, f"text {k}") for k in range(900)] + [(k, f"other {k}") for k in range(100, 400)] + [(None, f"none {k}") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sliced, total = fingerprints.sliced(docs)
+    assert total == len(rows) and sliced.filter("again = 0").count() == len(rows)
+    assert max(r["count"] for r in sliced.groupBy("slice").count().collect()) < 120
+    order = sorted(rows, key=lambda d: (d[0] is not None, d[0] or 0, signed(xx(d[1]))), reverse=True)
+    want = [(i, hashlib.sha256(edited(t, u).encode()).hexdigest()) for (i, t), (_, u) in zip(order, [*order[1:], order[0]], strict=True)]
+    got = [(r["doc_id"], r["edited_sha256"]) for r in fingerprints.fingerprints(docs).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
 
 
 def test_op6_estimates_generalised_jaccard(spark):
@@ -254,6 +299,41 @@ def test_op9_mines_rules(spark):
     assert all(got[k] == ("block" if k % 3 == 0 else "allow") for k in range(300))
 
 
+def test_op9_against_brute_force(spark):
+    from itertools import combinations
+
+    rng = np.random.default_rng(2)
+    urls = [f"http://{'abc'[int(rng.integers(3))]}.{'xy'[int(rng.integers(2))]}.org/{'pq'[int(rng.integers(2))]}/{k}?{'uv'[int(rng.integers(2))]}=1" for k in range(240)]
+    bad = [bool(rng.random() < (0.9 if "/p/" in u and "a." in u else 0.1)) for u in urls]
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")
+    labels = spark.createDataFrame([(k, int(not b)) for k, b in enumerate(bad) if k < 200], "doc_id long, quality int")
+    sets, marks = [frozenset(url_filters.tokens_of(u)) for u in urls], bad[:200]
+    extents = {}
+    for t in sorted(set().union(*sets[:200])):
+        extents.setdefault(tuple(t in s for s in sets[:200]), t)
+    rules, share = [], sum(marks) / 200
+    for size in range(1, 7):
+        for some in combinations(sorted(extents.values()), size):
+            hit = [m for s, m in zip(sets, marks, strict=False) if s.issuperset(some)]
+            if sum(hit) >= url_filters.MIN_PAGES and sum(hit) / len(hit) >= max(url_filters.MIN_CONFIDENCE, share) and url_filters.evidence(sum(hit), len(hit), share) >= url_filters.MIN_EVIDENCE:
+                rules.append((frozenset(some), sum(hit) / len(hit)))
+    assert rules
+    got = {r["page_id"]: (r["verdict"], r["confidence"]) for r in url_filters.judge(pages, labels, listed=()).collect()}
+    for k, s in enumerate(sets):
+        sure = max((c for some, c in rules if some <= s), default=None)
+        assert got[k] == ("allow", None) if sure is None else got[k][0] == "block" and got[k][1] == pytest.approx(sure)
+
+
+def test_op9_keeps_all_tokens_and_needs_pages(spark):
+    long = "http://a.b.c.d.e.f/" + "/".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)) + "/porn?" + "&".join(f"k{chr(97 + k)}=1" for k in range(20)) + "&adult=1"
+    assert {"host-5=a", "path=porn", "key=adult"} <= set(url_filters.tokens_of(long)) and len(url_filters.tokens_of(long)) == 328
+    rows = [(k, long) for k in range(10)] + [(k, f"http://g{k}.org/x?adult=0") for k in range(10, 14)] + [(k, f"http://h{k}.org/y") for k in range(14, 200)]
+    labels = [(k, 0, 0) for k in range(14)] + [(k, 1, 0) for k in range(14, 200)] + [(14, 0, 0)]
+    pages = spark.createDataFrame([*rows, (500, "http://q.net/porn"), (501, "http://z.q/" + "p/" * 50_000), (502, "http://h20.org/y/adult")], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_filters.judge(pages, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), listed=()).collect()}
+    assert all(got[k] == "block" for k in range(14)) and all(got[k] == "allow" for k in range(14, 200)) and got[501] == got[502] == "allow"
+
+
 def test_op10(spark, small):
     rows = Q["op10_mixing"](spark, small).collect()
     sizes = {}
@@ -269,6 +349,31 @@ def test_op10(spark, small):
     assert sorted(map(key, rows)) == sorted(map(key, Q["op10_mixing"](spark, small).collect()))
 
 
+def test_mixing_with_repeated_rows(spark):
+    """Rows equal in all columns, in id only, in text only, and with null ids; the stage returns what the mix takes."""
+    rng = np.random.default_rng(8)
+    rows = [(k % 40, f"text number {k % 20} " + "word " * (k % 7), "a", k) for k in range(400)]
+    rows += [(5, "the same row each time", "b", 1)] * 300 + [(k, "one text", "b", 2) for k in range(50)]
+    rows += [(None, " ".join(rng.choice(WORDS, 9)), None, 3) for _ in range(60)] + [(None, None, None, 4)] * 7 + [(9, "", "c", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int").repartition(5)
+    for share in (0.3, 0.7, 1.0, 1.5, 1.9):
+        made = mixing.mix(docs, share=share).collect()
+        got = mixing.copied(docs, share=share)
+        assert len(made) == len(rows) and got.columns == docs.columns
+        got = got.collect()
+        assert len(got) == sum(r["copies"] for r in made)
+        want, have = {}, {}
+        for r in made:
+            want.setdefault((r["doc_id"], r["source"], r["content"]), []).append(r["copies"])
+        hashes = {t: h for t, h in docs.selectExpr("text", "xxhash64(text)").distinct().collect()}
+        for r in got:
+            have[(r["doc_id"], r["source"], hashes[r["text"]])] = have.get((r["doc_id"], r["source"], hashes[r["text"]]), 0) + 1
+        assert have == {k: sum(v) for k, v in want.items() if sum(v)} and all(max(v) - min(v) <= 1 for v in want.values())
+        for source in ("a", "b", "c", None):
+            own = [r for r in made if r["source"] == source]
+            assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own) / 2 and all(r["taken"] <= 2 * r["size"] for r in own)
+
+
 def test_pipeline(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     stages = dict(corpus_pipeline.STAGES)
