@@ -79,6 +79,18 @@ def regex_spans(text: str, categories: tuple[str, ...] | None = None) -> Column:
     return F.concat(*parts) if parts else no_spans()
 
 
+def compiles(pattern: str) -> bool:
+    """Whether Spark can use a user's pattern; those it can't are left out, as they are by the Python detector."""
+    from pyspark.errors import IllegalArgumentException
+    from pyspark.sql import SparkSession
+
+    try:
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException:
+        return False
+    return True
+
+
 def custom_spans(text: str, source: str, category: str) -> Column:
     """Spans of a user's pattern; empty matches don't count."""
     return spans_of(F.filter(find_all(text, source), lambda x: F.length(x["m"]) > 0), category, 1.0)

@@ -14,7 +14,7 @@ from hushframe.functions.dictionary import dictionary_spans
 from hushframe.functions.detect import Detector
 from hushframe.functions.ner import bracket_ranges, claimed_apart, claimed_spans, name_spans
 from hushframe.functions.patterns import PATTERNS
-from hushframe.functions.spans import custom_spans, drop_allowed, is_blank, no_spans, regex_spans, resolve
+from hushframe.functions.spans import compiles, custom_spans, drop_allowed, is_blank, no_spans, regex_spans, resolve
 
 
 def span_udf(find: Callable[[str], list[tuple]]):
@@ -32,7 +32,7 @@ def analyze(df: DataFrame, config: Config | None = None, text: str = "text", out
 
     Stages are columns of their own, so that what several rules use (bracket ranges, claimed spans) is
     computed once a row; inactive categories cost nothing, as they aren't planned. Null and blank texts
-    have no spans. The configuration's ``enabled`` and passthrough don't matter here.
+    have no spans. Custom patterns that aren't valid are ignored. The configuration's ``enabled`` and passthrough don't matter here.
     """
     config = config or Config()
     active, t, column = config.active, "__text", F.col(text)
@@ -48,7 +48,7 @@ def analyze(df: DataFrame, config: Config | None = None, text: str = "text", out
         parts.append(stage("__dictionary", dictionary_spans(t, config.all_dictionary, active)))
     if any(p.category in active for p in PATTERNS):
         parts.append(stage("__patterns", regex_spans(t, active)))
-    own = [custom_spans(t, p.pattern, p.target) for p in config.all_patterns if p.target in active]
+    own = [custom_spans(t, p.pattern, p.target) for p in config.all_patterns if p.target in active and compiles(p.pattern)]
     if own:
         parts.append(stage("__custom", F.concat(*own)))
     if config.heuristic_ner and set(active) & set(NER_CATEGORIES):
@@ -68,6 +68,19 @@ def analyze(df: DataFrame, config: Config | None = None, text: str = "text", out
     return made.drop(*[c for c in made.columns if c.startswith("__") and c not in df.columns and c != output])
 
 
-def exploded(df: DataFrame, keys: Sequence[str], spans: str = "spans") -> DataFrame:
-    """One row a span."""
-    return df.select(*keys, F.explode(spans).alias("__span")).select(*keys, "__span.*")
+def exploded(df: DataFrame, keys: Sequence[str], spans: str | Column = "spans") -> DataFrame:
+    """One row a span: ``keys`` and ``x``, the span.
+
+    Rows without spans go after the explode, not before: a plain ``explode`` makes Spark infer a filter on the
+    array's size and push it below the projections, and then all detectors would run twice.
+    """
+    return df.select(*keys, F.explode_outer(spans).alias("x")).filter("x is not null")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores if the input has fewer files than there are cores; else as read.
+
+    Detection is narrow and costs far more than moving the text, so a table of one row group would keep one core busy.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +30,3 @@ def rates(df: DataFrame, masked: str, redact: str, keep: str, *by: str) -> DataF
     lost, present = redaction(F.col(masked), F.col(keep))
     return df.groupBy(*by).agg((F.sum(gone) / F.sum(wanted)).alias("redacted"), (1 - F.sum(lost) / F.sum(present)).alias("kept"))
 
-
-def columns_present(df: DataFrame, names: Sequence[str]) -> list[str]:
-    return [n for n in names if n in df.columns]

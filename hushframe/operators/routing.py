@@ -9,7 +9,6 @@ from hushframe.operators.sessions import trimmed
 
 # The paths whose bodies are masked, and their providers.
 PATHS = {"/v1/messages": "anthropic", "/v1/chat/completions": "openai"}
-HOSTS = {"anthropic": "api.anthropic.com", "openai": "api.openai.com"}
 
 
 def path_of(url: Column) -> Column:

@@ -18,7 +18,7 @@ from hushframe.functions.dictionary import dictionary_spans
 from hushframe.functions.patterns import BY_NAME
 from hushframe.functions.spans import pattern_spans, resolve, splice, utf16_offset
 from hushframe.operators import content, mask, reports, routing, sessions
-from hushframe.operators.analyze import analyze, span_udf
+from hushframe.operators.analyze import analyze, exploded, span_udf, spread
 from hushframe.operators.mapping import letters_column, restore_column
 from hushframe.operators.provider import chunk_blocks, parse_detections, strip_honorific
 from hushframe.plans import oracle as O
@@ -26,6 +26,8 @@ from hushframe.streaming.restore import events_of, restore_chunks
 
 Query = Callable[[SparkSession, str], DataFrame]
 TABLES = "region nation customer supplier part orders lineitem events documents pages conversations".split()
+#: Tables whose texts cost more to search than to move.
+LONG_TEXTS = ("documents", "pages")
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
 
@@ -37,7 +39,8 @@ def shared(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Rows of SQL over the tables it names."""
     for name in TABLES:
         if name in sql:
-            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+            rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+            (spread(rows) if name in LONG_TEXTS else rows).createOrReplaceTempView(name)
     return spark.sql(sql)
 
 
@@ -49,7 +52,7 @@ def add(name: str, run: Query, sql: str | None = None) -> None:
 
 def rows_of(df: DataFrame, spans, keys: Sequence[str] = ("id",), category: bool = False) -> DataFrame:
     """``keys, value, start_at, end_at`` and, if asked for, ``category``."""
-    e = df.select(*keys, F.explode(spans).alias("x"))
+    e = exploded(df, keys, spans)
     return e.select(*keys, F.col("x.text").alias("value"), *([F.col("x.category").alias("category")] if category else []), F.col("x.start").alias("start_at"), F.col("x.end").alias("end_at"))
 
 

@@ -106,6 +106,21 @@ def test_settings(spark):
     assert found == [s[0] for s in Detector(config).analyze(text)]
 
 
+def test_invalid_patterns_are_ignored(spark):
+    config = Config(categories=(), custom_patterns=(CustomPattern("BAD", "(a"), CustomPattern("GOOD", "b+")))
+    rows = analyze(spark.createDataFrame([("(a abb",)], "text string"), config).collect()
+    assert [tuple(s)[:2] for s in rows[0]["spans"]] == [("bb", "GOOD")] == [s[:2] for s in Detector(config).analyze("(a abb")]
+
+
+def test_spans_are_found_once(spark, sf_dir):
+    """No filter with a detector in it, and a table of one file is dealt to all cores."""
+    from hushframe.plans.catalog import flagship
+
+    plan = flagship(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line.split("[")[0]]
+    assert filters and not any("RLIKE" in f or "regexp" in f for f in filters) and plan.count("sk-") <= 2 and "Repartition 4" in plan
+
+
 def test_no_active_category(spark):
     assert analyze(spark.createDataFrame([("a@b.co",)], "text string"), Config(categories=())).collect()[0]["spans"] == []
 
