@@ -37,12 +37,14 @@ def make_importable(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; a local one where that is unset (tests)."""
+    """A fresh folder below ``spark.checkpoint.dir``; a local one where that is unset and Spark is local (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = found.get() if found.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = f"file://{tempfile.mkdtemp(prefix='hushframe-')}"
         spark.sparkContext.setCheckpointDir(base)
     return posixpath.join(base, f"hushframe-{name}-{uuid.uuid4().hex[:12]}")
@@ -90,6 +92,3 @@ def uniform(*cols: Column, seed: int) -> Column:
     h = F.xxhash64(F.lit(seed), *cols)
     return (F.shiftrightunsigned(h, 11).cast("double") + 0.5) / float(1 << 53)
 
-
-def columns_of_documents(df: DataFrame) -> list[str]:
-    return ["doc_id", "text", "lang", "source", "n_chars"] if set(df.columns) >= {"doc_id", "text", "lang", "source", "n_chars"} else df.columns
