@@ -47,6 +47,8 @@ BANDS, BAND = 24, 4
 #: A pair in a band's bucket is compared exactly if so many of the bands' values agree in a byte: of those of similarity 0.8
 #: three in a million don't, of those of similarity 0.5 three in a hundred do.
 AGREED = 58
+#: Parts that a text's shingles are dealt to by their hashes; what two texts have in common is bounded part by part.
+PARTS = 64
 FACTORS = np.random.default_rng(64).integers(0, 1 << 63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -327,10 +329,45 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return with_both.select("a", "b", "text_a", "text_b").sortWithinPartitions("a").mapInPandas(run, "a long, b long")
 
 
+def owned(texts: DataFrame) -> DataFrame:
+    """``node, owned, at`` of ``node, text``: how many of a node's shingles no other node has (none: no row), in all and by part."""
+
+    def run(batches):
+        nodes, sets, n = [], [], 0
+        for batch in batches:
+            for node, text in zip(batch["node"], batch["text"], strict=True):
+                found = shingle_set(text).view(np.int64)
+                nodes.append(np.full(len(found), node))
+                sets.append(found)
+                n += len(found)
+                if n > 200_000:
+                    yield pd.DataFrame({"node": np.concatenate(nodes), "h": np.concatenate(sets)})
+                    nodes, sets, n = [], [], 0
+        if n:
+            yield pd.DataFrame({"node": np.concatenate(nodes), "h": np.concatenate(sets)})
+
+    owners = texts.select("node", "text").mapInPandas(run, "node long, h long").groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("other"))
+    parts = owners.filter("node = other").groupBy("node", F.expr(f"cast(h & {PARTS - 1} as int)").alias("part")).agg(F.count("*").cast("int").alias("n"))
+    return parts.groupBy("node").agg(F.sum("n").alias("owned"), F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("at"))
+
+
+def may_link(a: str, b: str, common: str = "least(common{a}, common{b})") -> Column:
+    """Whether two nodes' sizes, and a bound of the shingles in ``common``, allow the similarity: texts need to have
+    ``SIMILARITY / (1 + SIMILARITY)`` of their sizes' sum in common. ``a`` and ``b`` are what columns' names end with."""
+    least = f"{common} >= {SIMILARITY / (1 + SIMILARITY)} * (size{{a}} + size{{b}}) - 1e-9"
+    return F.expr(f"least(size{{a}}, size{{b}}) >= {SIMILARITY} * greatest(size{{a}}, size{{b}}) - 1e-9 and {least}".format(a=a, b=b))
+
+
+#: At most so many shared shingles of two nodes are the same: in each part the fewer of both.
+BY_PART = "aggregate(zip_with(parts{a}, parts{b}, (x, y) -> least(x, y)), 0, (x, y) -> x + y)"
+
+
 def similar(texts: DataFrame) -> DataFrame:
     """``node, label`` of the nodes with links among ``node, text`` (a row a node). Texts that share a MinHash band
-    are compared exactly: first with the least node of each bucket, then those pairs of a bucket that aren't connected yet
-    and whose sketches agree enough."""
+    are compared exactly. A node is linked only if at least ``SIMILARITY`` of its shingles occur in other nodes, so all others
+    go first. In each bucket the node with the least share of shingles of its own, likely the one that the others are edits
+    of, is compared with all others; then those pairs of a bucket that aren't connected yet, and whose sketches and shared
+    shingles, counted by part, allow it."""
     spark = texts.sparkSession
 
     def run(batches):
@@ -338,21 +375,33 @@ def similar(texts: DataFrame) -> DataFrame:
             sets = [shingle_set(t) for t in batch["text"]]
             values = [band_values(x) for x in sets]
             sketches = np.array([sketch(x) for x in values], np.int64).reshape(-1, len(SKETCH))
-            yield pd.DataFrame({"node": batch["node"], "size": [len(x) for x in sets], "keys": [band_keys(x) for x in values]} | {c: sketches[:, k] for k, c in enumerate(SKETCH)})
+            parts = [np.bincount((x & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS).astype(np.int32) for x in sets]
+            yield pd.DataFrame({"node": batch["node"], "size": [len(x) for x in sets], "keys": [band_keys(x) for x in values], "parts": parts} | {c: sketches[:, k] for k, c in enumerate(SKETCH)})
+
+    def with_bucket(rows: DataFrame, *found: Column) -> DataFrame:
+        """Rows of buckets of two or more rows, with values gathered over their bucket."""
+        of = rows.groupBy("bucket").agg(F.count("*").alias("n"), *found).filter("n > 1").select("bucket", F.struct("*").alias("of"))
+        return looked_up(rows, "bucket", of, "bucket", "of").withColumnRenamed("__value", "of")
 
-    near_size = lambda a, b: F.least(a, b) >= SIMILARITY * F.greatest(a, b) - 1e-9
-    bucket = Window.partitionBy("bucket")
-    sketched = stored(spark, texts.select("node", "text").mapInPandas(run, "node long, size int, keys array<long>, " + ", ".join(f"{c} long" for c in SKETCH)), "sketches")
-    banded = sketched.select(F.explode("keys").alias("bucket"), "node", "size")
-    shared = stored(spark, banded.withColumn("n", F.count("*").over(bucket)).withColumn("least", F.min(F.struct("node", "size")).over(bucket)).filter("n > 1").drop("n"), "buckets")
+    sketched = stored(spark, texts.select("node", "text").mapInPandas(run, "node long, size int, keys array<long>, parts array<int>, " + ", ".join(f"{c} long" for c in SKETCH)), "sketches")
+    banded = with_bucket(sketched.select(F.explode("keys").alias("bucket"), "node", "size"))
+    shared = stored(spark, banded.select("bucket", "node", "size"), "buckets")
     held = stored(spark, texts.select("node", "text").join(shared.select("node").distinct(), "node", "left_semi"), "candidates")
-    stars = stored(spark, shared.filter((F.col("node") != F.col("least.node")) & near_size(F.col("size"), F.col("least.size"))).select(F.col("least.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    nodes = sketched.drop("keys").join(shared.select("node").distinct(), "node", "left_semi").join(owned(held), "node", "left")
+    nodes = nodes.withColumn("common", F.col("size") - F.coalesce("owned", F.lit(0))).filter(F.col("common") >= SIMILARITY * F.col("size") - 1e-9)
+    nodes = stored(spark, nodes.withColumn("parts", F.expr("transform(parts, (n, k) -> n - coalesce(at[k], 0))")).drop("owned", "at"), "nodes")
+    common = stored(spark, shared.join(nodes.select("node", "common"), "node"), "common")
+    centre = F.min(F.struct((1 - F.col("common") / F.greatest("size", F.lit(1))).alias("own"), "node", "size", "common")).alias("centre")
+    near = with_bucket(common, centre).select("node", "size", "common", *[F.col(f"of.centre.{c}").alias(f"{c}_c") for c in ("node", "size", "common")])
+    stars = near.filter((F.col("node") != F.col("node_c")) & may_link("", "_c")).select(F.least("node", "node_c").alias("a"), F.greatest("node", "node_c").alias("b"))
+    stars = stored(spark, stars.distinct(), "pairs")
     found = stored(spark, verified(stars, held), "links")
     labels = components(spark, found)
-    apart = shared.drop("least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    apart = stored(spark, apart.withColumn("lo", F.min("label").over(bucket)).withColumn("hi", F.max("label").over(bucket)).filter("lo <> hi").drop("lo", "hi").join(sketched.select("node", *SKETCH), "node"), "apart")
-    one, other = (apart.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "size", "label", *SKETCH)]) for x in "ab")
-    rest = one.join(other, "bucket").filter((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & near_size(F.col("size_a"), F.col("size_b")) & (agreed("_a", "_b") >= AGREED))
+    apart = common.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    apart = with_bucket(apart, F.min("label").alias("lo"), F.max("label").alias("hi")).filter("of.lo <> of.hi").drop("of")
+    apart = stored(spark, apart.join(nodes.select("node", "parts", *SKETCH), "node"), "apart")
+    one, other = (apart.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "size", "common", "label", "parts", *SKETCH)]) for x in "ab")
+    rest = one.join(other, "bucket").filter((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & may_link("_a", "_b") & (agreed("_a", "_b") >= AGREED) & may_link("_a", "_b", BY_PART))
     rest = rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     more = stored(spark, verified(stored(spark, rest, "pairs"), held), "links")
     return components(spark, found.union(more))
