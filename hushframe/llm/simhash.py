@@ -49,6 +49,8 @@ BANDS, BAND = 24, 4
 AGREED = 58
 #: Parts that a text's shingles are dealt to by their hashes; what two texts have in common is bounded part by part.
 PARTS = 64
+#: Rows of a group of a bucket; pairs are looked for between two groups at a time.
+BLOCK = 1024
 FACTORS = np.random.default_rng(64).integers(0, 1 << 63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -294,17 +296,6 @@ def sketch(least: np.ndarray) -> np.ndarray:
 SKETCH = [f"s{k}" for k in range(BANDS * BAND // 8)]
 
 
-def agreed(a: str, b: str) -> Column:
-    """How many bytes of two sketches agree; ``a`` and ``b`` are what their columns' names end with."""
-    parts = []
-    for c in SKETCH:
-        z = f"({c}{a} ^ {c}{b})"
-        for bits in (4, 2, 1):
-            z = f"({z} | shiftrightunsigned({z}, {bits}))"
-        parts.append(f"bit_count({z} & {0x0101010101010101}L)")
-    return F.lit(BANDS * BAND) - F.expr(" + ".join(parts))
-
-
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two sets' Jaccard similarity is ``SIMILARITY`` or more; empty sets are equal."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -358,8 +349,58 @@ def may_link(a: str, b: str, common: str = "least(common{a}, common{b})") -> Col
     return F.expr(f"least(size{{a}}, size{{b}}) >= {SIMILARITY} * greatest(size{{a}}, size{{b}}) - 1e-9 and {least}".format(a=a, b=b))
 
 
-#: At most so many shared shingles of two nodes are the same: in each part the fewer of both.
-BY_PART = "aggregate(zip_with(parts{a}, parts{b}, (x, y) -> least(x, y)), 0, (x, y) -> x + y)"
+def grouped(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The groups of rows with equal keys, one at a time, of batches in which these stand together."""
+    rest = None
+    for batch in batches:
+        rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        if not len(rows):
+            continue
+        cuts = np.flatnonzero((rows[keys] != rows[keys].shift()).any(axis=1)).tolist()  # the last group may go on
+        yield from (rows.iloc[lo:hi] for lo, hi in zip(cuts, cuts[1:], strict=False))
+        rest = rows.iloc[cuts[-1] :]
+    if rest is not None:
+        yield rest
+
+
+def possible(one: pd.DataFrame, other: pd.DataFrame) -> np.ndarray:
+    """Pairs of a node of ``one`` and one of ``other`` that aren't connected yet and that sizes, sketches and shared
+    shingles allow: in each part two nodes share at most the fewer of both."""
+    values = [[x[c].to_numpy() for c in ("node", "label", "size", "common")] for x in (one, other)]
+    (node_a, label_a, size_a, common_a), (node_b, label_b, size_b, common_b) = values
+    bytes_a, bytes_b = (np.ascontiguousarray(x[SKETCH].to_numpy(np.int64)).view(np.uint8) for x in (one, other))
+    parts_a, parts_b = (np.stack(x["parts"].to_numpy()) for x in (one, other))
+    found = []
+    for lo in range(0, len(node_a), 128):
+        at = slice(lo, lo + 128)
+        need = SIMILARITY / (1 + SIMILARITY) * np.add.outer(size_a[at], size_b) - 1e-9
+        fit = np.not_equal.outer(label_a[at], label_b) & (np.minimum.outer(common_a[at], common_b) >= need)
+        fit &= np.minimum.outer(size_a[at], size_b) >= SIMILARITY * np.maximum.outer(size_a[at], size_b) - 1e-9
+        i, j = np.nonzero(fit)
+        near = (bytes_a[i + lo] == bytes_b[j]).sum(axis=1) >= AGREED
+        i, j = i[near], j[near]
+        near = np.minimum(parts_a[i + lo], parts_b[j]).sum(axis=1) >= need[i, j]
+        i, j = node_a[i[near] + lo], node_b[j[near]]
+        found.append(np.stack([np.minimum(i, j), np.maximum(i, j)], axis=1))
+    return np.concatenate(found)
+
+
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """The distinct ``possible`` pairs ``a, b`` of each bucket's ``rows`` (``n``: how many it has). A bucket's rows are dealt to
+    groups of about ``BLOCK``, and each two groups meet in a task of their own, which gives only those pairs."""
+
+    def run(batches):
+        for rows in grouped(batches, ["bucket", "lo", "hi"]):
+            lo, hi = (rows[rows["mine"] == rows[at].iloc[0]] for at in ("lo", "hi"))
+            if len(lo) and len(hi):
+                found = np.unique(possible(lo, hi), axis=0)
+                yield pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+
+    count = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = rows.withColumn("mine", F.pmod(F.xxhash64("node"), count).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), count - 1)))
+    dealt = dealt.withColumn("lo", F.least("mine", "with")).withColumn("hi", F.greatest("mine", "with")).drop("with", "n")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number, as so few bytes would be put in one task
+    return dealt.repartition(tasks, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInPandas(run, "a long, b long").distinct()
 
 
 def similar(texts: DataFrame) -> DataFrame:
@@ -367,7 +408,7 @@ def similar(texts: DataFrame) -> DataFrame:
     are compared exactly. A node is linked only if at least ``SIMILARITY`` of its shingles occur in other nodes, so all others
     go first. In each bucket the node with the least share of shingles of its own, likely the one that the others are edits
     of, is compared with all others; then those pairs of a bucket that aren't connected yet, and whose sketches and shared
-    shingles, counted by part, allow it."""
+    shingles, counted by part, allow it (``in_blocks``)."""
     spark = texts.sparkSession
 
     def run(batches):
@@ -398,11 +439,8 @@ def similar(texts: DataFrame) -> DataFrame:
     found = stored(spark, verified(stars, held), "links")
     labels = components(spark, found)
     apart = common.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    apart = with_bucket(apart, F.min("label").alias("lo"), F.max("label").alias("hi")).filter("of.lo <> of.hi").drop("of")
-    apart = stored(spark, apart.join(nodes.select("node", "parts", *SKETCH), "node"), "apart")
-    one, other = (apart.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "size", "common", "label", "parts", *SKETCH)]) for x in "ab")
-    rest = one.join(other, "bucket").filter((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & may_link("_a", "_b") & (agreed("_a", "_b") >= AGREED) & may_link("_a", "_b", BY_PART))
-    rest = rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    apart = with_bucket(apart, F.min("label").alias("lo"), F.max("label").alias("hi")).filter("of.lo <> of.hi").withColumn("n", F.col("of.n")).drop("of")
+    rest = in_blocks(apart.join(nodes.select("node", "parts", *SKETCH), "node")).join(stars, ["a", "b"], "left_anti")
     more = stored(spark, verified(stored(spark, rest, "pairs"), held), "links")
     return components(spark, found.union(more))
 

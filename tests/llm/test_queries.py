@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -580,3 +581,30 @@ def test_pipeline_near_dedup_tells_rows_with_one_id_apart(spark, tmp_path):
     kept = simhash.one_of_each(spark, spark.createDataFrame(docs + docs, "doc_id long, text string").repartition(3), str(tmp_path)).collect()
     order = lambda r: (r[1], r[0] or 0)
     assert sorted(map(tuple, kept), key=order) == sorted(docs[:8] + docs[10:], key=order)
+
+
+@pytest.mark.parametrize("block", [3, 1024])
+def test_pipeline_near_dedup_pairs_of_blocks_are_those_of_buckets(spark, monkeypatch, block):
+    """Rows of a bucket meet group by group; what they give is what a loop over all pairs gives."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = np.random.default_rng(8)
+    base = rng.choice(WORDS, 60)
+    texts = [" ".join(np.where(rng.random(60) < 0.02, rng.choice(WORDS, 60), base)) for _ in range(40)] + [""]
+    rows, by_node = [], {}
+    for node, text in enumerate(texts):
+        found = simhash.shingle_set(text)
+        parts = np.bincount((found & np.uint64(simhash.PARTS - 1)).astype(np.int64), minlength=simhash.PARTS).tolist()
+        sketch = simhash.sketch(simhash.band_values(found)).tolist()
+        bucket, label = node // 25, node % 4
+        by_node[node] = (bucket, label, len(found), parts, np.array(sketch).view(np.uint8))
+        rows.append((bucket, node, len(found), len(found), label, 25, parts, *sketch))
+    columns = "bucket long, node long, size int, common int, label long, n long, parts array<int>, " + ", ".join(f"{c} long" for c in simhash.SKETCH)
+    got = {tuple(r) for r in simhash.in_blocks(spark.createDataFrame(rows, columns)).collect()}
+    expected = set()
+    for a, b in combinations(by_node, 2):
+        (bucket_a, label_a, size_a, parts_a, bytes_a), (bucket_b, label_b, size_b, parts_b, bytes_b) = by_node[a], by_node[b]
+        if bucket_a == bucket_b and label_a != label_b and 5 * min(size_a, size_b) >= 4 * max(size_a, size_b):
+            shared = sum(map(min, parts_a, parts_b))
+            if 9 * shared >= 4 * (size_a + size_b) and sum(bytes_a == bytes_b) >= simhash.AGREED:
+                expected.add((a, b))
+    assert got == expected and expected
