@@ -19,6 +19,9 @@ MODULES = {
     "op8_token_files": "token_files",
     "op9_url_filters": "url_filters",
     "op10_mixing": "mixing",
+    "op11_ball_kmeans": "ball_kmeans",
+    "op12_alignment": "alignment",
+    "op13_quality_ledger": "quality_ledger",
 }
 
 
@@ -40,7 +43,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL has no tokenizer, no XXH64 and no learning, so only the archives' digests have a counterpart."""
+    """SQL has no tokenizer, no XXH64 and no learning; where it has all that a query needs, its counterpart is here."""
+    from hushframe.llm import ball_kmeans, quality_ledger
     from hushframe.llm.warc import MIN_REVISIT
 
     return {
@@ -50,4 +54,6 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN payload_bytes >= {MIN_REVISIT} AND page_id < last THEN last END AS refers_to
             FROM (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last
                   FROM (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages))""",
+        "op11_ball_kmeans": ball_kmeans.oracle_sql(),
+        "op13_quality_ledger": quality_ledger.oracle_sql(),
     }
