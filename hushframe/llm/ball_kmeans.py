@@ -59,7 +59,7 @@ def first_centroids(vectors: DataFrame, k: int = K, seed: int = SEED) -> np.ndar
     """The k vectors whose ``seed:id`` has the smallest SHA-256, in that order."""
     name = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
     found = vectors.select(name.alias("name"), "vector").orderBy(F.asc_nulls_last("name"), "vector").limit(k).collect()
-    return np.array([r["vector"] for r in found], np.int64).reshape(len(found), -1)
+    return np.array([r["vector"] for r in found], np.int64)
 
 
 def squared(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
