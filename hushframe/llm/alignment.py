@@ -22,6 +22,8 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ B_FILE = "piece_bpe_32k.model"
 #: A block ends when its texts reach so many characters.
 BLOCK_CHARS = 8_000_000
 #: Aligned units that a worker keeps from block to block.
-MAX_UNITS = 200_000
+MAX_UNITS = 400_000
 NONE, A_END, B_END, BOTH = b".", b"a", b"b", b"="
 
 #: Only spaces after a visible character and before something part units: there both tokenizers always end a token.
@@ -44,31 +46,17 @@ _GROUP = re.compile(rb"[^=]*=")
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
-class Sequence:
-    """One text's tokens in both tokenizers, aligned by bytes."""
+class Aligned(NamedTuple):
+    """What a stretch of text gives: counts, its groups as ``a1,a2|b1;a3|b2,b3``, and its links as 64-bit pairs of ids."""
 
-    __slots__ = ("a", "b", "groups", "links")
+    n_a: int
+    n_b: int
+    n_groups: int
+    groups: str
+    links: bytes
 
-    def __init__(self, a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]):
-        self.a, self.b = a, b
-        labels = label_string(list(map(len, a_bytes)), list(map(len, b_bytes)))
-        self.groups: list[tuple[int, int]] = [(s.count(A_END) + 1, s.count(B_END) + 1) for s in _GROUP.findall(labels)]
-        marks = np.frombuffer(labels, np.uint8)
-        marks = marks[marks != NONE[0]]
-        at_a = np.cumsum((marks == A_END[0]) | (marks == BOTH[0])) - ((marks == A_END[0]) | (marks == BOTH[0]))
-        at_b = np.cumsum((marks == B_END[0]) | (marks == BOTH[0])) - ((marks == B_END[0]) | (marks == BOTH[0]))
-        self.links = (np.array(a, np.int64)[at_a] << 32) | np.array(b, np.int64)[at_b]
 
-    def spelled(self) -> str:
-        """Groups as ``a1,a2|b1;a3|b2,b3``."""
-        out, i, j = [], 0, 0
-        for n, m in self.groups:
-            out.append(",".join(map(str, self.a[i : i + n])) + "|" + ",".join(map(str, self.b[j : j + m])))
-            i, j = i + n, j + m
-        return ";".join(out)
-
-
-def label_string(a_lengths: list[int], b_lengths: list[int]) -> bytes:
+def label_string(a_lengths: np.ndarray, b_lengths: np.ndarray) -> bytes:
     """One label a byte: does a token of A, of B or of both end with it?"""
     a, b = np.cumsum(a_lengths), np.cumsum(b_lengths)
     labels = np.full(int(a[-1]) if len(a) else 0, NONE[0], np.uint8)
@@ -77,6 +65,19 @@ def label_string(a_lengths: list[int], b_lengths: list[int]) -> bytes:
     return labels.tobytes()
 
 
+def groups_of(labels: bytes) -> list[tuple[int, int]]:
+    """Tokens of A and of B in each span up to a both-label."""
+    return [(s.count(A_END) + 1, s.count(B_END) + 1) for s in _GROUP.findall(labels)]
+
+
+def links_of(labels: bytes, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each link's pair of ids and the byte that it ends with: every label closes the stretch that one token of each shares."""
+    marks = np.frombuffer(labels, np.uint8)
+    at = np.flatnonzero(marks != NONE[0])
+    in_a, in_b = marks[at] != B_END[0], marks[at] != A_END[0]
+    return (a[np.cumsum(in_a) - in_a] << 32) | b[np.cumsum(in_b) - in_b], at
+
+
 class Pair:
     """The two tokenizers, with each id's bytes."""
 
@@ -98,20 +99,44 @@ class Pair:
             self.a_bytes[number] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(m[1], 16)]) if (m := _BYTE_PIECE.fullmatch(p)) else p.replace("▁", " ").encode() for p in pieces]
+        self.names = list(map(str, range(max(len(self.a_bytes), len(self.b_bytes)))))
         #: Units may be encoded one by one only if no piece reaches over a space into what comes next.
+        self.a_sizes, self.b_sizes = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
         self.by_unit = not any("▁" in p.lstrip("▁") for p in pieces)
-        self.kept: dict[str, tuple | None] = {}  # facts of units met before
-
-    def align(self, texts: list[str]) -> list[Sequence | None]:
-        """None where the sequences don't both spell a space and the text."""
-        in_a = self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)
-        out: list[Sequence | None] = []
-        for text, ea, b in zip(texts, in_a, self.b.encode(texts, num_threads=1), strict=True):
-            a = ea.ids
-            a_bytes, b_bytes, spelt = [self.a_bytes[x] for x in a], [self.b_bytes[x] for x in b], (" " + text).encode()
-            fine = b"".join(a_bytes) == spelt == b"".join(b_bytes) and all(a_bytes) and all(b_bytes)
-            out.append(Sequence(a, b, a_bytes, b_bytes) if fine else None)
-        return out
+        self.kept: dict[str, Aligned | None] = {}  # units met before
+
+    def align(self, texts: list[str]) -> list[Aligned | None]:
+        """None where the sequences don't both spell a space and the text. All texts share one label string."""
+        a = [e.ids for e in self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+        b = self.b.encode(texts, num_threads=1)
+        spelt = [(" " + t).encode() for t in texts]
+        sizes, joined = np.fromiter(map(len, spelt), np.int64, len(spelt)), b"".join(spelt)
+        flat_a, flat_b = list(chain.from_iterable(a)), list(chain.from_iterable(b))
+        ids_a, ids_b = np.array(flat_a, np.int64), np.array(flat_b, np.int64)
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+        if not (self._spell(ids_a, n_a, flat_a, self.a_bytes, self.a_sizes, sizes, joined) and self._spell(ids_b, n_b, flat_b, self.b_bytes, self.b_sizes, sizes, joined)):
+            return [None] if len(texts) == 1 else [self.align([t])[0] for t in texts]
+        labels = label_string(self.a_sizes[ids_a], self.b_sizes[ids_b])
+        links, at = links_of(labels, ids_a, ids_b)
+        last = np.cumsum(sizes) - 1
+        cuts = [0, *np.searchsorted(at, last, side="right").tolist()]
+        groups, raw, i, j, parts = groups_of(labels), links.astype("<i8").tobytes(), 0, 0, []
+        names_a, names_b = [self.names[x] for x in flat_a], [self.names[x] for x in flat_b]
+        for p, q in groups:
+            parts.append(f"{names_a[i]}|{names_b[j]}" if p == q == 1 else ",".join(names_a[i : i + p]) + "|" + ",".join(names_b[j : j + q]))
+            i, j = i + p, j + q
+        both = np.flatnonzero(np.frombuffer(labels, np.uint8) == BOTH[0])
+        ends = np.searchsorted(both, last, side="right").tolist()
+        return [Aligned(x, y, h - g, ";".join(parts[g:h]), raw[8 * lo : 8 * hi]) for x, y, g, h, lo, hi in zip(n_a.tolist(), n_b.tolist(), [0, *ends[:-1]], ends, cuts[:-1], cuts[1:], strict=True)]
+
+    @staticmethod
+    def _spell(ids: np.ndarray, counts: np.ndarray, flat: list[int], known: list[bytes], lengths: np.ndarray, sizes: np.ndarray, joined: bytes) -> bool:
+        """Do the tokens spell all texts, each by its own, and is none of them empty?"""
+        each = lengths[ids]
+        if not len(each) or not counts.all() or not each.all() or int(each.sum()) != len(joined):
+            return False
+        ends = np.cumsum(each)[np.cumsum(counts) - 1]
+        return bool((ends == np.cumsum(sizes)).all()) and b"".join([known[x] for x in flat]) == joined
 
 
 _pairs: dict[tuple, Pair] = {}
@@ -124,17 +149,13 @@ def pair(a_path: str | None = None, b_path: str | None = None) -> Pair:
     return _pairs[a_path, b_path]
 
 
-def _facts(s: Sequence | None) -> tuple | None:
-    return None if s is None else (len(s.a), len(s.b), len(s.groups), s.spelled(), s.links)
-
-
 class _Block:
     """Documents being gathered into one row."""
 
     def __init__(self, tokenizers: Pair):
         self.tokenizers, self.kept = tokenizers, tokenizers.kept
         self.number: dict[str, int] = {}
-        self.facts: list[tuple] = []
+        self.facts: list[Aligned] = []
         self.docs: list[tuple] = []
         self.chars = 0
 
@@ -143,7 +164,7 @@ class _Block:
         new = [u for u in dict.fromkeys(units) if u not in self.number]
         asked = [u for u in new if u not in self.kept]
         if asked:
-            self.kept.update(zip(asked, map(_facts, self.tokenizers.align(asked)), strict=True))
+            self.kept.update(zip(asked, self.tokenizers.align(asked), strict=True))
         if any(self.kept[u] is None for u in new):
             return None
         for u in new:
@@ -164,17 +185,15 @@ class _Block:
             self.docs.append((doc_id, 0, 0, 0, 0, "", b""))
             return
         mine = [self.facts[k] for k in found]
-        digest = hashlib.sha256(";".join([m[3] for m in mine]).encode()).hexdigest()
-        self.docs.append((doc_id, sum(m[0] for m in mine), sum(m[1] for m in mine), sum(m[2] for m in mine), sum(len(m[4]) for m in mine), digest, found.astype("<i4").tobytes()))
+        n_a, n_b, n_groups, groups, links = zip(*mine, strict=True)
+        digest = hashlib.sha256(";".join(groups).encode()).hexdigest()
+        self.docs.append((doc_id, sum(n_a), sum(n_b), sum(n_groups), sum(map(len, links)) // 8, digest, found.astype("<i4").tobytes()))
 
     def row(self, block: int) -> pa.RecordBatch:
         """One row: documents, links of each unit as indexes into the block's pairs, and how often each pair occurs."""
-        times = np.zeros(len(self.facts), np.int64)
-        for d in self.docs:
-            used = np.frombuffer(d[6], "<i4")
-            times += np.bincount(used, minlength=len(times))
-        sizes = np.fromiter((len(f[4]) for f in self.facts), np.int64, len(self.facts))
-        links = np.concatenate([f[4] for f in self.facts]) if self.facts else np.zeros(0, np.int64)
+        times = np.bincount(np.frombuffer(b"".join(d[6] for d in self.docs), "<i4"), minlength=len(self.facts))
+        sizes = np.fromiter((len(f.links) // 8 for f in self.facts), np.int64, len(self.facts))
+        links = np.frombuffer(b"".join(f.links for f in self.facts), "<i8")
         pairs, at = np.unique(links, return_inverse=True)
         counts = np.bincount(at, weights=np.repeat(times, sizes), minlength=len(pairs)).astype(np.int64)
         doc = list(zip(*self.docs, strict=True))

@@ -218,12 +218,13 @@ def test_units_align_as_the_whole_text_does(text):
     parts = both.align(alignment._UNITS.split(text))
     if any(p is None for p in parts):  # the query asks the whole text then
         return
-    assert [x for p in parts for x in p.a] == whole.a and [x for p in parts for x in p.b] == whole.b
-    assert ";".join(p.spelled() for p in parts) == whole.spelled() and np.concatenate([p.links for p in parts]).tolist() == whole.links.tolist()
+    assert ";".join(p.groups for p in parts) == whole.groups and b"".join(p.links for p in parts) == whole.links
+    assert [sum(p[k] for p in parts) for k in range(3)] == list(whole[:3])
 
 
 def test_labels():
-    assert alignment.label_string([2, 2], [1, 3]) == b"ba.="
+    assert alignment.label_string(np.array([2, 2]), np.array([1, 3])) == b"ba.="
+    assert alignment.groups_of(b"ba.=.=") == [(2, 2), (1, 1)]
 
 
 # ---------------------------------------------------------------- quality ledger
