@@ -36,8 +36,10 @@ A_FILE = "byte_bpe_50k.json"
 B_FILE = "piece_bpe_32k.model"
 #: A block ends when its texts reach so many characters.
 BLOCK_CHARS = 8_000_000
-#: Aligned units that a worker keeps from block to block.
-MAX_UNITS = 400_000
+#: Of aligned units, a worker keeps those of the last so many, and of as many before them, from block to block.
+MAX_UNITS = 200_000
+#: Documents are aligned together until their texts reach so many characters.
+TOGETHER = 200_000
 NONE, A_END, B_END, BOTH = b".", b"a", b"b", b"="
 
 #: Only spaces after a visible character and before something part units: there both tokenizers always end a token.
@@ -103,40 +105,66 @@ class Pair:
         #: Units may be encoded one by one only if no piece reaches over a space into what comes next.
         self.a_sizes, self.b_sizes = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
         self.by_unit = not any("▁" in p.lstrip("▁") for p in pieces)
-        self.kept: dict[str, Aligned | None] = {}  # units met before
+        self.young: dict[str, Aligned | None] = {}
+        self.old: dict[str, Aligned | None] = {}
 
     def align(self, texts: list[str]) -> list[Aligned | None]:
-        """None where the sequences don't both spell a space and the text. All texts share one label string."""
-        a = [e.ids for e in self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
-        b = self.b.encode(texts, num_threads=1)
-        spelt = [(" " + t).encode() for t in texts]
-        sizes, joined = np.fromiter(map(len, spelt), np.int64, len(spelt)), b"".join(spelt)
-        flat_a, flat_b = list(chain.from_iterable(a)), list(chain.from_iterable(b))
-        ids_a, ids_b = np.array(flat_a, np.int64), np.array(flat_b, np.int64)
-        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
-        if not (self._spell(ids_a, n_a, flat_a, self.a_bytes, self.a_sizes, sizes, joined) and self._spell(ids_b, n_b, flat_b, self.b_bytes, self.b_sizes, sizes, joined)):
+        """None where the sequences don't both spell a space and the text.
+
+        Units that end visibly are aligned as one text: what is next to a unit doesn't change its tokens.
+        """
+        if len(texts) > 1 and any(t[-1].isspace() for t in texts):
+            return [self.align([t])[0] for t in texts]
+        whole = " ".join(texts)
+        a, b = self.a.encode(" " + whole, add_special_tokens=False).ids, self.b.encode(whole)
+        ids_a, ids_b, spelt = np.array(a, np.int64), np.array(b, np.int64), [len(t.encode()) + 1 for t in texts]
+        ends_a, ends_b, last = np.cumsum(self.a_sizes[ids_a]), np.cumsum(self.b_sizes[ids_b]), np.cumsum(spelt)
+        joined = (" " + whole).encode()
+        cuts_a, cuts_b = np.searchsorted(ends_a, last), np.searchsorted(ends_b, last)
+        fine = self._spell(a, self.a_bytes, joined) and self._spell(b, self.b_bytes, joined) and (ends_a[cuts_a] == last).all() and (ends_b[cuts_b] == last).all()
+        if not fine:
             return [None] if len(texts) == 1 else [self.align([t])[0] for t in texts]
         labels = label_string(self.a_sizes[ids_a], self.b_sizes[ids_b])
         links, at = links_of(labels, ids_a, ids_b)
-        last = np.cumsum(sizes) - 1
-        cuts = [0, *np.searchsorted(at, last, side="right").tolist()]
+        cuts = [0, *np.searchsorted(at, last).tolist()]
         groups, raw, i, j, parts = groups_of(labels), links.astype("<i8").tobytes(), 0, 0, []
-        names_a, names_b = [self.names[x] for x in flat_a], [self.names[x] for x in flat_b]
+        names_a, names_b = [self.names[x] for x in a], [self.names[x] for x in b]
         for p, q in groups:
             parts.append(f"{names_a[i]}|{names_b[j]}" if p == q == 1 else ",".join(names_a[i : i + p]) + "|" + ",".join(names_b[j : j + q]))
             i, j = i + p, j + q
         both = np.flatnonzero(np.frombuffer(labels, np.uint8) == BOTH[0])
-        ends = np.searchsorted(both, last, side="right").tolist()
-        return [Aligned(x, y, h - g, ";".join(parts[g:h]), raw[8 * lo : 8 * hi]) for x, y, g, h, lo, hi in zip(n_a.tolist(), n_b.tolist(), [0, *ends[:-1]], ends, cuts[:-1], cuts[1:], strict=True)]
+        ends = np.searchsorted(both, last).tolist()
+        n_a, n_b = np.diff(cuts_a + 1, prepend=0).tolist(), np.diff(cuts_b + 1, prepend=0).tolist()
+        return [Aligned(x, y, h - g, ";".join(parts[g:h]), raw[8 * lo : 8 * hi]) for x, y, g, h, lo, hi in zip(n_a, n_b, [0, *ends[:-1]], ends, cuts[:-1], cuts[1:], strict=True)]
 
     @staticmethod
-    def _spell(ids: np.ndarray, counts: np.ndarray, flat: list[int], known: list[bytes], lengths: np.ndarray, sizes: np.ndarray, joined: bytes) -> bool:
-        """Do the tokens spell all texts, each by its own, and is none of them empty?"""
-        each = lengths[ids]
-        if not len(each) or not counts.all() or not each.all() or int(each.sum()) != len(joined):
-            return False
-        ends = np.cumsum(each)[np.cumsum(counts) - 1]
-        return bool((ends == np.cumsum(sizes)).all()) and b"".join([known[x] for x in flat]) == joined
+    def _spell(ids: list[int], known: list[bytes], text: bytes) -> bool:
+        """Do the tokens spell the text, none of them empty?"""
+        spelt = [known[x] for x in ids]
+        return b"".join(spelt) == text and all(spelt)
+
+    def aligned(self, units: list[str]) -> dict[str, Aligned | None]:
+        """The same for units of a text, of which those met lately are remembered."""
+        found, asked = {}, []
+        for u in units:
+            known = self.young.get(u, False)
+            if known is False:
+                known = self.old.get(u, False)
+                if known is False:
+                    asked.append(u)
+                    continue
+                self.young[u] = known
+            found[u] = known
+        if asked:
+            new = dict(zip(asked, self.align(asked), strict=True))
+            self.young.update(new)
+            found.update(new)
+        return found
+
+    def grow_old(self, most: int) -> None:
+        """Forgets units that weren't met since the last ``most``."""
+        if len(self.young) > most:
+            self.old, self.young = self.young, {}
 
 
 _pairs: dict[tuple, Pair] = {}
@@ -153,41 +181,37 @@ class _Block:
     """Documents being gathered into one row."""
 
     def __init__(self, tokenizers: Pair):
-        self.tokenizers, self.kept = tokenizers, tokenizers.kept
+        self.tokenizers = tokenizers
         self.number: dict[str, int] = {}
         self.facts: list[Aligned] = []
         self.docs: list[tuple] = []
         self.chars = 0
 
-    def _numbers(self, units: list[str]) -> np.ndarray | None:
-        """Numbers of units in this block; None if one can't be aligned."""
-        new = [u for u in dict.fromkeys(units) if u not in self.number]
-        asked = [u for u in new if u not in self.kept]
-        if asked:
-            self.kept.update(zip(asked, self.tokenizers.align(asked), strict=True))
-        if any(self.kept[u] is None for u in new):
-            return None
-        for u in new:
-            self.number[u] = len(self.facts)
-            self.facts.append(self.kept[u])
-        return np.fromiter(map(self.number.__getitem__, units), np.int32, len(units))
-
-    def add(self, doc_id: int | None, text: str | None) -> None:
-        text = text or ""
-        self.chars += len(text)
-        found = None
-        if text:
-            if self.tokenizers.by_unit:
-                found = self._numbers(_UNITS.split(text))
-            if found is None:  # a unit failed: ask the whole text
-                found = self._numbers([text])
-        if found is None:
-            self.docs.append((doc_id, 0, 0, 0, 0, "", b""))
-            return
-        mine = [self.facts[k] for k in found]
-        n_a, n_b, n_groups, groups, links = zip(*mine, strict=True)
-        digest = hashlib.sha256(";".join(groups).encode()).hexdigest()
-        self.docs.append((doc_id, sum(n_a), sum(n_b), sum(n_groups), sum(map(len, links)) // 8, digest, found.astype("<i4").tobytes()))
+    def _register(self, units: list[str]) -> None:
+        """Numbers units of this block; those that can't be aligned get none."""
+        number = self.number
+        new = [u for u in dict.fromkeys(units) if u not in number]
+        if new:
+            for u, facts in self.tokenizers.aligned(new).items():
+                if facts is not None:
+                    number[u] = len(self.facts)
+                    self.facts.append(facts)
+
+    def add(self, docs: list[tuple[int | None, str | None]]) -> None:
+        units = [(_UNITS.split(t) if self.tokenizers.by_unit else [t]) if t else [] for _, t in docs]
+        self._register(list(chain.from_iterable(units)))
+        for (doc_id, text), mine in zip(docs, units, strict=True):
+            self.chars += len(text or "")
+            found = list(map(self.number.get, mine))
+            if None in found:  # a unit can't be aligned by itself: ask the whole text
+                self._register([text])
+                found = [self.number[text]] if text in self.number else []
+            if not found:
+                self.docs.append((doc_id, 0, 0, 0, 0, "", b""))
+                continue
+            n_a, n_b, n_groups, groups, links = zip(*map(self.facts.__getitem__, found), strict=True)
+            digest = hashlib.sha256(";".join(groups).encode()).hexdigest()
+            self.docs.append((doc_id, sum(n_a), sum(n_b), sum(n_groups), sum(map(len, links)) // 8, digest, np.array(found, "<i4").tobytes()))
 
     def row(self, block: int) -> pa.RecordBatch:
         """One row: documents, links of each unit as indexes into the block's pairs, and how often each pair occurs."""
@@ -220,21 +244,25 @@ def blocks(docs: DataFrame, a_path: str | None = None, b_path: str | None = None
 
         number = TaskContext.get().partitionId() << 40
         tokenizers = pair(a_path, b_path)
-        kept = tokenizers.kept
-        block = _Block(tokenizers)
+        block, waiting, chars = _Block(tokenizers), [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                block.add(doc_id, text.as_py())
+                waiting.append((doc_id, text.as_py()))
+                chars += len(waiting[-1][1] or "")
+                if chars < TOGETHER and len(waiting) < 1000:
+                    continue
+                block.add(waiting)
+                waiting, chars = [], 0
                 if block.chars >= block_chars:
                     yield block.row(number)
                     number += 1
-                    if len(kept) > max_units:
-                        kept.clear()
+                    tokenizers.grow_old(max_units)
                     block = _Block(tokenizers)
+        if waiting:
+            block.add(waiting)
         if block.docs:
             yield block.row(number)
-        if len(kept) > max_units:
-            kept.clear()
+        tokenizers.grow_old(max_units)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(gather, _BLOCK)

@@ -215,7 +215,9 @@ def test_units_align_as_the_whole_text_does(text):
     whole = both.align([text])[0] if text else None
     if whole is None:
         return
-    parts = both.align(alignment._UNITS.split(text))
+    units = alignment._UNITS.split(text)
+    parts = [both.align([u])[0] for u in units]
+    assert parts[::-1] == both.align(units[::-1])
     if any(p is None for p in parts):  # the query asks the whole text then
         return
     assert ";".join(p.groups for p in parts) == whole.groups and b"".join(p.links for p in parts) == whole.links
