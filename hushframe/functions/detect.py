@@ -12,10 +12,13 @@ import regex
 from hushframe.config import Config, DictionaryEntry
 from hushframe.functions import ner as R
 from hushframe.functions import ner_data as D
+from hushframe.functions.automaton import EntryMatcher
 from hushframe.functions.categories import NER_CATEGORIES
 from hushframe.functions.dictionary import CONFIDENCE, fold
 from hushframe.functions.patterns import PATTERNS, SPACE_CHARS
 
+#: More entries than these are looked for together.
+MANY_ENTRIES = 20
 Span = tuple[str, str, int, int, float]
 _PATTERNS = tuple((p, regex.compile(p.java)) for p in PATTERNS)
 _HONORIFIC, _LABELLED = regex.compile(R.HONORIFIC), regex.compile(R.LABELLED)
@@ -196,13 +199,15 @@ class Detector:
         self.config, self.plugins, self.provider = config, tuple(plugins), provider
         self.categories = config.active
         self.names = NameRules(config.surnames)
+        listed = [e for e in config.all_dictionary if e.category in self.categories]
+        self.entries = EntryMatcher(listed) if len(listed) > MANY_ENTRIES else None
 
     @property
     def idle(self) -> bool:
         return not self.categories and not self.plugins
 
     def dictionary(self, text: str) -> list[Span]:
-        return dictionary_spans(text, self.config.all_dictionary, self.categories)
+        return self.entries.spans(text) if self.entries else dictionary_spans(text, self.config.all_dictionary, self.categories)
 
     def patterns(self, text: str) -> list[Span]:
         out = regex_spans(text, self.categories)

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from hushframe.config import Config
 from hushframe.functions.categories import NER_CATEGORIES, SPANS
 from hushframe.functions.dictionary import dictionary_spans
-from hushframe.functions.detect import Detector
+from hushframe.functions.automaton import EntryMatcher
+from hushframe.functions.detect import MANY_ENTRIES, Detector
 from hushframe.functions.ner import bracket_ranges, claimed_apart, claimed_spans, name_spans
 from hushframe.functions.patterns import PATTERNS
+from hushframe.operators.dictionary_table import StoredDictionary, dictionary_column
 from hushframe.functions.spans import compiles, custom_spans, drop_allowed, is_blank, no_spans, regex_spans, resolve
 
 
@@ -27,12 +29,14 @@ def span_udf(find: Callable[[str], list[tuple]]):
     return run
 
 
-def analyze(df: DataFrame, config: Config | None = None, text: str = "text", output: str = "spans", plugins: Sequence = (), provider: Callable | None = None) -> DataFrame:
+def analyze(df: DataFrame, config: Config | None = None, text: str = "text", output: str = "spans", plugins: Sequence = (), provider: Callable | None = None, dictionary: StoredDictionary | None = None) -> DataFrame:
     """``df`` with an array of spans: a narrow transformation, without a shuffle.
 
     Stages are columns of their own, so that what several rules use (bracket ranges, claimed spans) is
     computed once a row; inactive categories cost nothing, as they aren't planned. Null and blank texts
     have no spans. Custom patterns that aren't valid are ignored. The configuration's ``enabled`` and passthrough don't matter here.
+    ``dictionary``: entries of a table, after those of the configuration; neither they nor more than ``MANY_ENTRIES`` of
+    the configuration's are part of the plan.
     """
     config = config or Config()
     active, t, column = config.active, "__text", F.col(text)
@@ -44,8 +48,13 @@ def analyze(df: DataFrame, config: Config | None = None, text: str = "text", out
         out = out.withColumn(name, spans)
         return F.col(name)
 
-    if config.all_dictionary:
-        parts.append(stage("__dictionary", dictionary_spans(t, config.all_dictionary, active)))
+    listed = [e for e in config.all_dictionary if e.category in active]
+    if len(listed) > MANY_ENTRIES:
+        parts.append(stage("__dictionary", span_udf(EntryMatcher(listed).spans)(column)))
+    elif listed:
+        parts.append(stage("__dictionary", dictionary_spans(t, tuple(listed), active)))
+    if dictionary is not None:
+        parts.append(stage("__listed", dictionary_column(column, dictionary)))
     if any(p.category in active for p in PATTERNS):
         parts.append(stage("__patterns", regex_spans(t, active)))
     own = [custom_spans(t, p.pattern, p.target) for p in config.all_patterns if p.target in active and compiles(p.pattern)]

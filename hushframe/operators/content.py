@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.config import Config
-from hushframe.operators.mapping import MAPPING, Mapping, restore_text
-from hushframe.operators.mask import Masker, _packed
+from hushframe.operators.mapping import MAPPING, Mapping, RowMapping, restore_column, restore_text
+from hushframe.operators.mask import Masker, _packed, number_rows
+from hushframe.operators.sessions import TTL_SECONDS, acquire
+from hushframe.operators.storage import stored
 
 LEAVES = "array<struct<section: string, msg_idx: int, path: string, role: string, text: string>>"
 
@@ -118,7 +120,16 @@ def invalid_json(df: DataFrame, body: str = "body") -> DataFrame:
     return df.filter(F.try_parse_json(F.col(body)).isNull())
 
 
-def mask_requests(df: DataFrame, config: Config | None = None, body: str = "body", plugins: Sequence = (), provider: Callable | None = None) -> DataFrame:
+def masked_body(body: str | None, masker: Masker, mapping: Mapping) -> str | None:
+    """One body masked into a session's mapping, as compact JSON; None if it isn't a JSON object."""
+    found = parsed(body)
+    if found is None or not masker.config.is_enabled:
+        return body if found is not None else None
+    made = walk_request(found, lambda t, llm: masker.mask(t, mapping, llm)[0])
+    return json.dumps(made, ensure_ascii=False, separators=(",", ":"))
+
+
+def mask_requests(df: DataFrame, config: Config | None = None, body: str = "body", plugins: Sequence = (), provider: Callable | None = None, mapping_class: type[Mapping] = Mapping) -> DataFrame:
     """``df`` with ``masked`` (the body as compact JSON) and ``mapping``; each body is a session.
 
     Invalid bodies give null. A disabled configuration returns the body as it is.
@@ -129,17 +140,37 @@ def mask_requests(df: DataFrame, config: Config | None = None, body: str = "body
     def run(bodies: pd.Series) -> pd.DataFrame:
         masker, out = Masker(config, plugins, provider), []
         for b in bodies:
-            found, mapping = parsed(b), Mapping(config.reversible)
-            if found is not None and config.is_enabled:
-                made = walk_request(found, lambda t, llm: masker.mask(t, mapping, llm)[0])  # noqa: B023
-                out.append((json.dumps(made, ensure_ascii=False, separators=(",", ":")), _packed(None, mapping, [])["mapping"]))
-            else:
-                out.append((b if found is not None else None, []))
+            mapping = mapping_class(config.reversible)
+            out.append((masked_body(b, masker, mapping), _packed(None, mapping, [])["mapping"]))
         return pd.DataFrame(out, columns=["masked", "mapping"])
 
     return df.withColumn("__m", run(body)).select("*", "__m.*").drop("__m")
 
 
+def in_json(text: Column) -> Column:
+    """A text as it stands within a JSON string, for texts without control characters."""
+    return F.regexp_replace(text, r'(["\\])', r"\\$1")
+
+
+def mask_session_requests(df: DataFrame, keys: Sequence[str], config: Config | None = None, body: str = "body", time: str = "ts", headers: str = "headers", connection: str = "conn_id", plugins: Sequence = (), provider: Callable | None = None, ttl: float = TTL_SECONDS, slices: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Requests masked with their sessions' mappings: ``df`` with ``session``, ``epoch``, ``masked``, and the mapping of all
+    sessions, ``session, epoch, original, category, prefix, seq, placeholder, reversible``.
+
+    A session's requests share one mapping, in order of ``time``, then ``keys`` (which tell requests apart), until it
+    expires or a header resets it; then a new epoch begins. A request with neither a session's name nor a connection is a
+    session of its own. Bodies are masked where they are and their values numbered over slices, so one
+    session may hold most requests. Invalid bodies give null and take part in the order only.
+    """
+    config = config or Config()
+    alone = F.concat(F.lit("request:"), F.to_json(F.struct(*keys)))
+    taken = acquire(df, time, headers, connection, keys, ttl, slices).withColumn("session", F.coalesce("session", alone))
+    rows = stored(mask_requests(taken, config, body, plugins, provider, RowMapping), "requests")
+    order = [time, *(k for k in keys if k != time)]
+    mapping, renamed = number_rows(rows, ["session", "epoch"], order, config.reversible, in_json, slices)
+    out = rows.join(renamed, ["session", "epoch", *order], "left").withColumn("masked", restore_column(F.col("masked"), F.col("__new")))
+    return out.drop("mapping", "__new"), mapping
+
+
 def restore_json(body: Column, originals: Column, config: Config | None = None) -> Column:
     """Every string of a response restored; bodies that aren't JSON stay as they are."""
     config = config or Config()

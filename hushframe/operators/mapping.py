@@ -27,9 +27,24 @@ def letters_column(n: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, step, lambda acc: acc["s"])
 
 
+#: Characters of private use that number a row's own placeholders until its session has numbered them.
+PRIVATE_FIRST, PRIVATE_COUNT = 0xF0000, 65_534
+
+
+def private(n: int) -> str:
+    """A number as private characters, so that a row's own placeholders are told from any that its text quotes."""
+    out = ""
+    while n > 0:
+        n, digit = divmod(n - 1, PRIVATE_COUNT)
+        out = chr(PRIVATE_FIRST + digit) + out
+    return out
+
+
 class Mapping:
     """One session's placeholders. The text alone is the key: the category that met it first names it."""
 
+    name = staticmethod(letters)
+
     def __init__(self, reversible: bool = True):
         self.reversible = reversible
         self.placeholders: dict[str, str] = {}
@@ -42,7 +57,7 @@ class Mapping:
         if known is not None:
             return known
         self.counters[prefix] = n = self.counters.get(prefix, 0) + 1
-        made = self.placeholders[original] = f"[{prefix}{letters(n)}]"
+        made = self.placeholders[original] = f"[{prefix}{self.name(n)}]"
         if self.reversible:
             self.originals[made] = original
         self.rows.append((original, category, prefix, n, made, self.reversible))
@@ -59,6 +74,20 @@ class Mapping:
         return max(map(len, self.originals), default=0)
 
 
+class RowMapping(Mapping):
+    """The placeholders of one row of a session. An original that holds another's placeholder is kept as it was at first."""
+
+    name = staticmethod(private)
+
+    def register(self, original: str, category: str, prefix: str) -> str:
+        known = len(self.rows)
+        made = super().register(original, category, prefix)
+        if len(self.rows) > known and "[" in original:
+            whole = _TOKEN.sub(lambda m: next((r[0] for r in self.rows if r[4] == m[0]), m[0]), original)
+            self.rows[-1] = (whole, *self.rows[-1][1:])
+        return made
+
+
 def restore_text(text: str, originals: dict[str, str]) -> str:
     """All placeholders in one pass, longest first; what is put back isn't looked at again."""
     if not originals or "[" not in text and not any(p in text for p in originals):

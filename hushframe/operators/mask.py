@@ -1,9 +1,10 @@
 """Masking: stages one after the other, each on what the last one left, with numbered placeholders.
 
 ``mask_documents`` numbers within each row and needs no shuffle. ``mask_sessions`` numbers within a session:
-rows are masked where they are, the values they hold are numbered by window, and the rows' own
-placeholders are then replaced; a session of any size is spread over tasks. ``mask_sessions_exact`` replays a
-session's rows in order with its state, for configurations whose detectors look into placeholders.
+rows are masked where they are, the values they hold are numbered over slices of the session, and the rows' own
+placeholders are then replaced; a session of any size is spread over tasks, and no session's mapping is ever in
+one row or task. ``mask_sessions_exact`` replays a session's rows in order with its state, for configurations
+whose detectors look into placeholders.
 """
 
 from __future__ import annotations
@@ -11,12 +12,15 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.config import Config
 from hushframe.functions.detect import Detector, Span, is_blank, select
-from hushframe.operators.mapping import MAPPING, Mapping, letters_column, restore_column
+from hushframe.operators.dictionary_table import StoredDictionary
+from hushframe.operators.mapping import MAPPING, TOKEN, Mapping, RowMapping, letters_column, restore_column
+from hushframe.operators.slices import numbered, salted_join
+from hushframe.operators.storage import stored
 
 EVENTS = "array<struct<category: string, placeholder: string, confidence: double, start: int, end: int>>"
 MASKED = f"struct<masked: string, mapping: {MAPPING}, events: {EVENTS}>"
@@ -40,13 +44,16 @@ class Masker:
             text = text[:start] + made + text[end:]
         return text
 
-    def mask(self, text: str | None, mapping: Mapping, use_provider: bool = True) -> tuple[str | None, list[tuple]]:
-        """The masked text and an event for each occurrence; positions are in the stage's own input."""
+    def mask(self, text: str | None, mapping: Mapping, use_provider: bool = True, listed: Sequence[Span] = ()) -> tuple[str | None, list[tuple]]:
+        """The masked text and an event for each occurrence; positions are in the stage's own input.
+
+        listed: what a stored dictionary found in the text, for the first stage.
+        """
         events: list[tuple] = []
-        if is_blank(text) or self.detector.idle:
+        if is_blank(text) or (self.detector.idle and not listed):
             return text, events
         d = self.detector
-        stages = [d.dictionary, d.patterns, d.heuristic] if d.categories else []
+        stages = [lambda t: d.dictionary(t) + list(listed), d.patterns, d.heuristic] if d.categories else []
         stages.append(d.from_plugins)
         if use_provider and self.config.provider_enabled:
             stages.append(d.from_provider)
@@ -61,43 +68,59 @@ def _packed(masked: str | None, mapping: Mapping, events: list[tuple]) -> dict:
     return {"masked": masked, "mapping": [dict(zip(_ROW, r, strict=True)) for r in mapping.rows], "events": [dict(zip(_EVENT, e, strict=True)) for e in events]}
 
 
-def mask_documents(df: DataFrame, config: Config | None = None, text: str = "text", plugins: Sequence = (), provider: Callable | None = None) -> DataFrame:
+def mask_documents(df: DataFrame, config: Config | None = None, text: str = "text", plugins: Sequence = (), provider: Callable | None = None, mapping_class: type[Mapping] = Mapping, dictionary: StoredDictionary | None = None) -> DataFrame:
     """``df`` with ``masked``, ``mapping`` and ``events``, each row a session of its own.
 
-    A configuration that is disabled or in passthrough leaves texts as they are. Null texts stay null.
+    A configuration that is disabled or in passthrough leaves texts as they are. Null texts stay null. ``dictionary``: entries
+    of a table, after those of the configuration.
     """
     config = config or Config()
 
     @F.pandas_udf(MASKED)
     def run(texts: pd.Series) -> pd.DataFrame:
         masker, out = Masker(config, plugins, provider), []
-        for t in texts:
-            mapping = Mapping(config.reversible)
-            masked, events = masker.mask(t, mapping) if config.is_enabled else (t, [])
+        found = dictionary.find(list(texts)) if dictionary is not None and config.is_enabled else [()] * len(texts)
+        for t, listed in zip(texts, found, strict=True):
+            mapping = mapping_class(config.reversible)
+            masked, events = masker.mask(t, mapping, listed=listed) if config.is_enabled else (t, [])
             out.append(_packed(masked, mapping, events))
         return pd.DataFrame(out, columns=["masked", "mapping", "events"])
 
     return df.withColumn("__masked", run(text)).select("*", "__masked.*").drop("__masked")
 
 
-def mask_sessions(df: DataFrame, session: str, order: Sequence[str], config: Config | None = None, text: str = "text", plugins: Sequence = (), provider: Callable | None = None) -> tuple[DataFrame, DataFrame]:
+def mask_sessions(df: DataFrame, session: str, order: Sequence[str], config: Config | None = None, text: str = "text", plugins: Sequence = (), provider: Callable | None = None, slices: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``df`` with ``masked``, and the mapping ``session, original, category, prefix, seq, placeholder, reversible``.
 
-    ``session`` and ``order`` together identify a row. Equal to the exact replay unless a detector
-    finds something within a placeholder's letters.
+    ``session`` and ``order`` together identify a row; rows without a session aren't of one, and stay as they are
+    but for what each of them holds by itself. Equal to the exact replay unless a detector finds something within a
+    placeholder's letters.
     """
     config = config or Config()
-    rows = mask_documents(df, config, text, plugins, provider)
-    held = rows.select(session, *order, F.posexplode("mapping").alias("place", "m")).select(session, *order, "place", "m.original", "m.category", "m.prefix", F.col("m.placeholder").alias("local"))
-    first = held.groupBy(session, "original").agg(F.min(F.struct(*order, "place", "prefix", "category")).alias("first"))
-    numbered = first.select(session, "original", F.col("first.category").alias("category"), F.col("first.prefix").alias("prefix"), F.struct(*[F.col(f"first.{c}") for c in (*order, "place")]).alias("at"))
-    numbered = numbered.withColumn("seq", F.row_number().over(Window.partitionBy(session, "prefix").orderBy("at")))
-    mapping = numbered.select(session, "original", "category", "prefix", "seq", F.concat(F.lit("["), F.col("prefix"), letters_column(F.col("seq")), F.lit("]")).alias("placeholder"), F.lit(config.reversible).alias("reversible"))
-    renamed = held.join(mapping.select(session, "original", "placeholder"), [session, "original"]).groupBy(session, *order).agg(F.map_from_entries(F.collect_list(F.struct("local", "placeholder"))).alias("__new"))
+    rows = stored(mask_documents(df, config, text, plugins, provider, RowMapping), "masked")
+    mapping, renamed = number_rows(rows, [session], order, config.reversible, slices=slices)
     out = rows.join(renamed, [session, *order], "left").withColumn("masked", restore_column(F.col("masked"), F.col("__new")))
     return out.drop("mapping", "events", "__new"), mapping
 
 
+def number_rows(rows: DataFrame, session: Sequence[str], order: Sequence[str], reversible: bool, spelled: Callable[[Column], Column] = lambda c: c, slices: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The sessions' mapping, and each row's ``__new``: what its own placeholders become.
+
+    ``rows`` hold ``session``, ``order`` and the ``mapping`` of a ``RowMapping``. A value's number is its place among those of
+    its prefix, by first row and place therein. ``spelled`` is how a placeholder stands in the masked text.
+    """
+    held = rows.select(*session, *order, F.posexplode("mapping").alias("place", "m")).select(*session, *order, "place", "m.original", "m.category", "m.prefix", F.col("m.placeholder").alias("local"))
+    first = held.groupBy(*session, "original").agg(F.min(F.struct(*order, "place", "prefix", "category")).alias("first"))
+    values = first.select(*session, "original", "first.category", "first.prefix", F.struct(*[F.col(f"first.{c}") for c in (*order, "place")]).alias("at"))
+    placed = numbered(values, [*session, "prefix"], ["at"], slices=slices)
+    placeholder = F.concat(F.lit("["), F.col("prefix"), letters_column(F.col("seq")), F.lit("]"))
+    mapping = stored(placed.select(*session, "original", "category", "prefix", "seq", placeholder.alias("placeholder"), F.lit(reversible).alias("reversible")), "mapping")
+    named = salted_join(held, mapping.select(*session, "original", "placeholder"), [*session, "original"], order)
+    # A row's own values only: as bounded as the row.
+    renamed = named.groupBy(*session, *order).agg(F.map_from_entries(F.collect_list(F.struct(spelled(F.col("local")).alias("k"), spelled(F.col("placeholder")).alias("v")))).alias("__new"))
+    return mapping, renamed
+
+
 def mask_sessions_exact(df: DataFrame, session: str, order: Sequence[str], config: Config | None = None, text: str = "text", plugins: Sequence = (), provider: Callable | None = None, resets: str | None = None) -> DataFrame:
     """``session, *order, masked, mapping, events``: rows replayed in order, one session after the other.
 
@@ -134,12 +157,26 @@ def audit_events(masked: DataFrame, keys: Sequence[str], config: Config | None =
 
 
 def restore(df: DataFrame, mapping: DataFrame, session: str, text: str = "text", output: str = "restored", config: Config | None = None) -> DataFrame:
-    """``df`` with placeholders of its session put back. In anonymize mode nothing is.
+    """``df`` with placeholders of its session put back; what is put back isn't looked at again. In anonymize mode nothing is.
 
-    A session's mapping is gathered into one map: as large as its distinct values.
+    Each text's tokens are joined to the mapping by session and token, and the text is put together again from the few
+    that it holds: a session's mapping is never in one place. Texts are told apart by session and SHA-256, so equal
+    ones are looked up once. Rows without session or text stay as they are.
     """
     config = config or Config()
     if not config.reversible:
         return df.withColumn(output, F.col(text))
-    maps = mapping.filter("reversible").groupBy(session).agg(F.map_from_entries(F.collect_list(F.struct("placeholder", "original"))).alias("__map"))
-    return df.join(maps, session, "left").withColumn(output, restore_column(F.col(text), F.col("__map"))).drop("__map")
+    # All of the user's columns travel as one, so none can clash with a name used here.
+    rows = df.select(F.struct(*[F.col(_quoted(c)) for c in df.columns]).alias("row"), F.col(_quoted(session)).alias("session"), F.col(_quoted(text)).alias("text"))
+    rows = rows.withColumn("name", F.sha2(F.col("text"), 256))
+    tokens = rows.filter(F.contains("text", F.lit("["))).select("session", "name", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)))).alias("token")).filter("session is not null").distinct()
+    known = mapping.filter("reversible").select(F.col(_quoted(session)).alias("session"), F.col("placeholder").alias("token"), "original")
+    found = salted_join(tokens, known, ["session", "token"], ["name"])
+    held = found.groupBy("session", "name").agg(F.map_from_entries(F.collect_list(F.struct("token", "original"))).alias("originals"))
+    out = rows.join(held, ["session", "name"], "left").select("row", restore_column(F.col("text"), F.col("originals")).alias("restored"))
+    kept = [F.col(f"row.{_quoted(c)}").alias(c) for c in df.columns if c != output]
+    return out.select(*kept, F.col("restored").alias(output))
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"

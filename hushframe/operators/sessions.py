@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushframe.functions.patterns import SPACE_JAVA
+from hushframe.operators.slices import epochs
 
 TTL_SECONDS = 30 * 60
 # Headers that name a session, by precedence, and the one that resets it.
@@ -44,12 +47,12 @@ def sessionize(df: DataFrame, key: str, time: str, reset: Column | None = None,
     return df.withColumn("__starts", starts.cast("int")).withColumn(output, F.sum("__starts").over(by_time.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("__starts")
 
 
-def acquire(df: DataFrame, time: str = "ts", headers: str = "headers", connection: str = "conn_id") -> DataFrame:
-    """``df`` with ``session`` and ``epoch``: together the mapping a request uses."""
-    keyed = df.withColumn("session", session_key(F.col(headers), F.col(connection))).withColumn("__reset", is_reset(F.col(headers)))
-    by_time = Window.partitionBy("session").orderBy(time)
-    seconds = F.col(time).cast("timestamp").cast("double")
-    gap = seconds - F.lag(seconds).over(by_time)
-    expired = F.startswith("session", F.lit("id:")) & (gap >= TTL_SECONDS)
-    starts = F.lag(F.lit(1)).over(by_time).isNull() | F.coalesce(expired, F.lit(False)) | F.col("__reset")
-    return keyed.withColumn("__starts", starts.cast("int")).withColumn("epoch", F.sum("__starts").over(by_time.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("__starts", "__reset")
+def acquire(df: DataFrame, time: str = "ts", headers: str = "headers", connection: str = "conn_id", order: Sequence[str] = (), ttl: float = TTL_SECONDS, slices: int | None = None) -> DataFrame:
+    """``df`` with ``session`` and ``epoch``: together the mapping a request uses.
+
+    Requests of a session are taken by ``time``, then ``order``, which should tell equal times apart. Only sessions that
+    a header names expire.
+    """
+    keyed = df.withColumn("session", session_key(F.col(headers), F.col(connection)))
+    named = F.coalesce(F.startswith("session", F.lit("id:")), F.lit(False))
+    return epochs(keyed, "session", time, order, ttl, named, is_reset(F.col(headers)), slices=slices)

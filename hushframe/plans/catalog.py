@@ -6,6 +6,7 @@ so that detectors of which the texts have no example grow with the tables as wel
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,12 +18,15 @@ from hushframe.functions.categories import CATEGORIES, LABELS
 from hushframe.functions.dictionary import dictionary_spans
 from hushframe.functions.patterns import BY_NAME
 from hushframe.functions.spans import pattern_spans, resolve, splice, utf16_offset
-from hushframe.operators import content, mask, reports, routing, sessions
+from hushframe.operators import content, mask, reports, routing, sessions, span_tables
 from hushframe.operators.analyze import analyze, exploded, span_udf, spread
+from hushframe.operators.dictionary_table import StoredDictionary, dictionary_column, stored_dictionary
 from hushframe.operators.mapping import letters_column, restore_column
 from hushframe.operators.provider import chunk_blocks, parse_detections, strip_honorific
+from hushframe.operators.storage import shared_folder
 from hushframe.plans import oracle as O
 from hushframe.streaming.restore import events_of, restore_chunks
+from hushframe.streaming.sessions import ROCKSDB, mask_request_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 TABLES = "region nation customer supplier part orders lineitem events documents pages conversations".split()
@@ -350,6 +354,103 @@ def _stripped(spark: SparkSession, d: str) -> DataFrame:
 add("pii_strip_honorific", _stripped, f"SELECT c_custkey AS id, {_SURNAME} AS name FROM customer")
 
 
+# Sessions over request bodies, in batch and as a stream; half of all requests are of one session.
+_REQUESTS = f"""SELECT event_id AS id, ts, CASE WHEN user_id % 2 = 0 THEN 's0' WHEN user_id % 3 = 0 THEN concat('s', cast(user_id % 5 as string)) END AS sid, concat('c', cast(user_id % 4 as string)) AS conn_id, event_type = 'signup' AND event_id % 4 = 0 AS resets, concat('a', cast(event_id % 5 as string), '@x.example') AS a, concat('b', cast(event_id % 7 as string), '@y.example') AS b, concat('{{"messages":[{{"role":"user","content":"to a', cast(event_id % 5 as string), '@x.example and b', cast(event_id % 7 as string), '@y.example, not [{_LABEL}A]"}}]}}') AS body FROM events"""
+_EPOCHS = f"""k AS (SELECT *, coalesce('id:' || sid, 'connection:' || conn_id) AS session FROM ({_REQUESTS})),
+e AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR (sid IS NOT NULL AND ts - lag(ts) OVER w >= INTERVAL 30 MINUTE) OR resets THEN 1 ELSE 0 END AS n FROM k WINDOW w AS (PARTITION BY session ORDER BY ts, id)),
+r AS (SELECT *, CAST(sum(n) OVER (PARTITION BY session ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS epoch FROM e),
+f AS (SELECT session, epoch, original, min({{'ts': ts, 'id': id, 'place': place}}) AS first FROM (SELECT session, epoch, ts, id, 1 AS place, b AS original FROM r UNION ALL SELECT session, epoch, ts, id, 2, a FROM r) GROUP BY ALL),
+m AS (SELECT *, row_number() OVER (PARTITION BY session, epoch ORDER BY first) AS seq FROM f)"""
+_SESSION_MASKED = f"WITH {_EPOCHS} SELECT r.id, r.session, r.epoch, replace(replace(r.body, r.a, concat('[{_LABEL}', chr(CAST(64 + x.seq AS INT)), ']')), r.b, concat('[{_LABEL}', chr(CAST(64 + y.seq AS INT)), ']')) AS masked FROM r JOIN m x ON x.session = r.session AND x.epoch = r.epoch AND x.original = r.a JOIN m y ON y.session = r.session AND y.epoch = r.epoch AND y.original = r.b"
+
+
+def _headed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("headers", F.create_map(F.lit("x-pii-session-id"), F.col("sid"), F.lit("x-pii-session-reset"), F.when(F.col("resets"), F.lit("true"))))
+
+
+add("pii_session_requests", lambda s, d: content.mask_session_requests(_headed(shared(s, d, _REQUESTS)), ["id"], _MAIL_ONLY)[0].select("id", "session", "epoch", "masked"), _SESSION_MASKED)
+add("pii_session_requests_mapping", lambda s, d: content.mask_session_requests(_headed(shared(s, d, _REQUESTS)), ["id"], _MAIL_ONLY)[1].select("session", "epoch", "original", "seq", "placeholder"), f"WITH {_EPOCHS} SELECT session, epoch, original, CAST(seq AS INT) AS seq, concat('[{_LABEL}', chr(CAST(64 + seq AS INT)), ']') AS placeholder FROM m")
+
+
+def _request_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same requests as a stream whose sessions live in state; its output is a table that is read again."""
+    where = f"{shared_folder(spark)}/hushframe-stream-{uuid.uuid4().hex[:12]}"
+    shared(spark, d, "SELECT * FROM events")
+    schema = spark.table("events").schema
+    spark.readStream.schema(schema).parquet(f"{d}/[e]vents.parquet").createOrReplaceTempView("event_stream")
+    masked = mask_request_stream(_headed(spark.sql(_REQUESTS.replace("FROM events", "FROM event_stream"))), ["id"], _MAIL_ONLY)
+    changed = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        masked.select("id", "session", "epoch", "masked").writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.schema("id long, session string, epoch long, masked string").parquet(f"{where}/out")
+
+
+add("pii_session_requests_stream", _request_stream, _SESSION_MASKED)
+
+# One session that has most of a table's values: numbered over slices, restored by joining tokens.
+_SOLD = "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN o_custkey % 3 ELSE -1 END AS session, concat('order ', cast(o_orderkey as string), ' of u', cast(o_custkey as string), '@x.example and o', cast(o_orderkey as string), '@y.example') AS text FROM orders"
+_SOLD_VALUES = f"SELECT session, original, min(pos) AS first FROM (SELECT session, regexp_extract(text, 'o[0-9]+@y.example') AS original, id * 2 AS pos FROM ({_SOLD}) UNION ALL SELECT session, regexp_extract(text, 'u[0-9]+@x.example'), id * 2 + 1 AS pos FROM ({_SOLD})) GROUP BY ALL"
+add("pii_number_hot_session", lambda s, d: mask.mask_sessions(shared(s, d, _SOLD), "session", ["id"], _MAIL_ONLY)[1].select("session", "original", "seq"), f"SELECT session, original, CAST(row_number() OVER (PARTITION BY session ORDER BY first) AS INT) AS seq FROM ({_SOLD_VALUES})")
+
+
+def _hot_restored(spark: SparkSession, d: str) -> DataFrame:
+    masked, mapping = mask.mask_sessions(shared(spark, d, _SOLD), "session", ["id"], _MAIL_ONLY)
+    sent = masked.select("id", "session", F.concat(F.col("masked"), F.lit(" [unknown] [["), F.col("masked")).alias("reply"))
+    return mask.restore(sent, mapping, "session", "reply").select("id", "session", "restored")
+
+
+add("pii_restore_hot_session", _hot_restored, f"SELECT id, session, concat(text, ' [unknown] [[', text) AS restored FROM ({_SOLD})")
+
+# Dictionaries that are tables.
+_WORD = r"[\p{L}\p{N}_]+"
+
+
+def _terms(spark: SparkSession, d: str) -> DataFrame:
+    """Every word of the benchmark's passages, as an entry that stands alone and keeps its case."""
+    words = spark.read.parquet(f"{d}/benchmark.parquet").select(F.explode(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))).alias("text")).distinct()
+    return words.select("text", F.lit("TERM").alias("category"), F.lit(True).alias("exact"), F.lit(True).alias("case_sensitive"))
+
+
+add("pii_dictionary_table", lambda s, d: rows_of(shared(s, d, DOCS), dictionary_column(F.col("text"), stored_dictionary(_terms(s, d)))), f"SELECT w.id, w.value, CAST(w.e - length(w.value) AS INT) AS start_at, CAST(w.e AS INT) AS end_at FROM (SELECT id, value, sum(length(gap) + length(value)) OVER (PARTITION BY id ORDER BY i) AS e FROM (SELECT doc_id AS id, unnest(regexp_extract_all(text, {O.quoted(_WORD)})) AS value, unnest(string_split_regex(text, {O.quoted(_WORD)})[1:len(regexp_extract_all(text, {O.quoted(_WORD)}))]) AS gap, unnest(range(1, len(regexp_extract_all(text, {O.quoted(_WORD)})) + 1)) AS i FROM documents)) w JOIN (SELECT DISTINCT unnest(regexp_extract_all(text, {O.quoted(_WORD)})) AS value FROM benchmark) t ON t.value = w.value")
+_BUYERS = "SELECT o_orderkey AS id, concat('Sold to CUSTOMER#', lpad(cast(o_custkey as string), 9, '0'), ', not customer#', lpad(cast(o_orderkey as string), 10, '0'), ' or xCustomer#000000001; Customer#', lpad(cast(o_orderkey * 7 % 200000 as string), 9, '0'), '.') AS text FROM orders"
+
+
+def _names(spark: SparkSession, d: str) -> StoredDictionary:
+    """Names of all customers and parts; small shards, so that a task takes several."""
+    rows = shared(spark, d, "SELECT c_name AS text, 'CUSTOMER' AS category, true AS exact FROM customer").unionByName(spark.read.parquet(f"{d}/part.parquet").selectExpr("p_name AS text", "'PART' AS category", "false AS exact"))
+    return stored_dictionary(rows, shard_chars=200_000)
+
+
+add("pii_dictionary_names", lambda s, d: rows_of(analyze(shared(s, d, _BUYERS), Config(categories=(), heuristic_ner=False), dictionary=_names(s, d)), F.col("spans"), category=True), f"SELECT id, value, 'CUSTOMER' AS category, start_at, end_at FROM (SELECT id, g AS value, s AS start_at, CAST(s + length(g) AS INT) AS end_at, substr(t, s, 1) AS before, substr(t, s + length(g) + 1, 1) AS after FROM ({O.matches(_BUYERS, '(?i)customer#[0-9]{9}')})) JOIN customer ON lower(c_name) = lower(value) WHERE NOT regexp_matches(before, '[a-z0-9]') AND NOT regexp_matches(after, '[0-9]')")
+add("pii_dictionary_names_masked", lambda s, d: mask.mask_documents(shared(s, d, _BUYERS), Config(categories=("CUSTOMER", "PART"), heuristic_ner=False), dictionary=_names(s, d)).select("id", F.size("mapping").cast("int").alias("n_values")), f"SELECT o_orderkey AS id, CAST((o_custkey < n) AS INT) + CAST((o_orderkey * 7 % 200000 < n) AS INT) AS n_values FROM orders, (SELECT count(*) AS n FROM customer)")
+
+# Allowlists that are tables, after resolution; spans that another table's overlap.
+_ALLOWED = "SELECT concat('a', cast(c_custkey as string), '@x.example') AS value FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT 'b1@y.example'"
+_KEPT = f"SELECT * FROM ({O.pattern_spans(_MAIL, 'P2')}) WHERE value NOT IN ({_ALLOWED})"
+
+
+def _allowed(limit: int) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        found = rows_of(analyze(shared(spark, d, _MAIL), Config()), F.col("spans"), category=True)
+        return span_tables.without_allowed(found, shared(spark, d, _ALLOWED), broadcast_bytes=limit)
+
+    return run
+
+
+add("pii_allowlist_table", _allowed(span_tables.BROADCAST_BYTES), _KEPT)
+add("pii_allowlist_table_shuffled", _allowed(0), _KEPT)
+_of = lambda s, d, *names: rows_of(shared(s, d, DOCS), F.concat(*[pattern_spans("text", BY_NAME[n]) for n in names]))
+_LEFT, _RIGHT = f"SELECT * FROM ({O.pattern_spans(DOCS, 'P6')}) UNION ALL SELECT * FROM ({O.pattern_spans(DOCS, 'P14')})", f"SELECT * FROM ({O.pattern_spans(DOCS, 'P3')}) UNION ALL SELECT * FROM ({O.pattern_spans(DOCS, 'P7')}) UNION ALL SELECT * FROM ({O.pattern_spans(DOCS, 'P14')})"
+add("pii_spans_not_overlapped", lambda s, d: span_tables.without_overlapped(_of(s, d, "P6", "P14"), _of(s, d, "P3", "P7"), ["id"]), f"SELECT id, value, start_at, end_at FROM ({_LEFT}) l WHERE NOT EXISTS (SELECT 1 FROM ({O.pattern_spans(DOCS, 'P3')} UNION ALL {O.pattern_spans(DOCS, 'P7')}) r WHERE r.id = l.id AND r.start_at < l.end_at AND l.start_at < r.end_at)")
+add("pii_overlap_pairs", lambda s, d: span_tables.overlap_pairs(_of(s, d, "P6", "P14"), _of(s, d, "P3", "P7", "P14"), ["id"]).select("id", F.col("left.value").alias("value"), F.col("right.value").alias("other"), F.col("left.start_at").alias("start_at"), F.col("right.start_at").alias("other_at")), f"SELECT l.id, l.value, r.value AS other, l.start_at, r.start_at AS other_at FROM ({_LEFT}) l JOIN ({_RIGHT}) r ON r.id = l.id AND r.start_at < l.end_at AND l.start_at < r.end_at")
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
