@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator, Sequence
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from hushframe.config import Config
 from hushframe.operators.mapping import MAPPING, Mapping, RowMapping, restore_column, restore_text
 from hushframe.operators.mask import Masker, _packed, number_rows
+from hushframe.operators.provider import MAX_CHARS, provider_table
 from hushframe.operators.sessions import TTL_SECONDS, acquire
 from hushframe.operators.storage import stored
 
@@ -147,6 +149,37 @@ def mask_requests(df: DataFrame, config: Config | None = None, body: str = "body
     return df.withColumn("__m", run(body)).select("*", "__m.*").drop("__m")
 
 
+def mask_requests_with_provider(df: DataFrame, keys: Sequence[str], provider: Callable, config: Config | None = None, body: str = "body", plugins: Sequence = (), most: int = MAX_CHARS) -> DataFrame:
+    """``mask_requests`` with a language model asked last, about many texts of many bodies a call.
+
+    ``keys`` tell bodies apart and aren't null. What the other stages left of each message's texts is packed to calls within a
+    partition; a body's finds are then masked into its own mapping, text by text in order. The top-level system text isn't asked about.
+    """
+    config = config or Config()
+    rows = stored(mask_requests(df, config, body, plugins), "masked")
+    texts = rows.select(*keys, F.posexplode(leaves(F.col("masked"))).alias("leaf", "x")).filter("x.section = 'messages'").select(*keys, "leaf", "x.text")
+    found = provider_table(texts, [*keys, "leaf"], provider, config.active if config.is_enabled else (), "text", most)
+    # A body's own texts only: as bounded as the body.
+    by_body = found.filter(F.size("spans") > 0).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("leaf", "spans"))).alias("__found"))
+
+    @F.pandas_udf(f"struct<masked: string, mapping: {MAPPING}>")
+    def put(bodies: pd.Series, mappings: pd.Series, finds: pd.Series) -> pd.DataFrame:
+        masker, out = Masker(config), []
+        for text, rows_, at in zip(bodies, mappings, finds, strict=True):
+            known = [dict(r) for r in rows_]
+            if at is None or text is None:
+                out.append((text, known))
+                continue
+            spans = {int(k): [(s["text"], s["category"], s["start"], s["end"], s["confidence"]) for s in v] for k, v in dict(at).items()}
+            mapping, leaf = Mapping.of(known, config.reversible), count()
+            change = lambda t, _: masker._apply(t, spans.get(next(leaf), []), mapping, [])  # noqa: B023, E731
+            out.append((json.dumps(walk_request(json.loads(text), change), ensure_ascii=False, separators=(",", ":")), _packed(None, mapping, [])["mapping"]))
+        return pd.DataFrame(out, columns=["masked", "mapping"])
+
+    met = rows.join(by_body, list(keys), "left").withColumn("__m", put("masked", "mapping", "__found"))
+    return met.drop("masked", "mapping", "__found").select("*", "__m.*").drop("__m")
+
+
 def in_json(text: Column) -> Column:
     """A text as it stands within a JSON string, for texts without control characters."""
     return F.regexp_replace(text, r'(["\\])', r"\\$1")

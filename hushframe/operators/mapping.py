@@ -63,6 +63,18 @@ class Mapping:
         self.rows.append((original, category, prefix, n, made, self.reversible))
         return made
 
+    @classmethod
+    def of(cls, rows: list[dict], reversible: bool = True) -> Mapping:
+        """A mapping that goes on from its rows."""
+        made = cls(reversible)
+        for r in rows:
+            made.placeholders[r["original"]] = r["placeholder"]
+            made.counters[r["prefix"]] = max(r["seq"], made.counters.get(r["prefix"], 0))
+            if reversible:
+                made.originals[r["placeholder"]] = r["original"]
+            made.rows.append((r["original"], r["category"], r["prefix"], r["seq"], r["placeholder"], r["reversible"]))
+        return made
+
     def restore(self, text: str) -> str:
         return restore_text(text, self.originals)
 

@@ -9,9 +9,13 @@ from __future__ import annotations
 import json
 import re
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from hushframe.functions.categories import NER_CATEGORIES
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from hushframe.functions.categories import NER_CATEGORIES, SPANS
 from hushframe.functions.patterns import SPACE_CHARS
 
 MAX_CHARS = 3500
@@ -86,3 +90,66 @@ def provider_spans(text: str, provider: Callable | None, categories: Sequence[st
         except Exception:  # noqa: BLE001, S112  a failing model must not stop masking
             continue
     return out
+
+
+class Packer:
+    """Texts as they come, packed to calls: one is due when the next text would pass the limit. None is split."""
+
+    def __init__(self, provider: Callable, most: int = MAX_CHARS):
+        self.provider, self.most = provider, most
+        self.blocks: list[tuple[int, str]] = []
+        self.chars = self.calls = 0
+
+    def add(self, text: str) -> list[list[tuple]] | None:
+        """Spans of the texts before this one, if their call was due."""
+        done = self.flush() if self.blocks and self.chars + len(text) > self.most else None
+        self.blocks.append((len(self.blocks), text))
+        self.chars += len(text)
+        return done
+
+    def flush(self) -> list[list[tuple]]:
+        blocks, self.blocks, self.chars = self.blocks, [], 0
+        found: list[list[tuple]] = [[] for _ in blocks]
+        if not blocks:
+            return found
+        self.calls += 1
+        try:
+            answer = self.provider(blocks) or ""
+            for k, block in enumerate(blocks):
+                found[k] = parse_detections(answer, [block])
+        except Exception:  # noqa: BLE001  a failing model must not stop masking
+            found = [[] for _ in blocks]
+        return found
+
+
+def provider_table(texts: DataFrame, keys: Sequence[str], provider: Callable, categories: Sequence[str], text: str = "text", most: int = MAX_CHARS) -> DataFrame:
+    """``keys, spans, call``: what the provider finds in each text, asked for many texts at a time.
+
+    The texts of a partition are packed to calls while they stream by, up to ``most`` characters each, and an answer goes back to its
+    texts by block number; ``call`` numbers a partition's calls. Null and blank texts are not asked about and give no row. A
+    failed call finds nothing in its texts.
+    """
+    names = list(keys)
+    kinds = {f.name: f.dataType.simpleString() for f in texts.schema}
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in names) + f", spans {SPANS}, call int"
+    wanted = bool(set(NER_CATEGORIES) & set(categories))
+    fields = ("text", "category", "start", "end", "confidence")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        packer, waiting = Packer(provider, most), []
+
+        def rows(found: list[list[tuple]]) -> pd.DataFrame:
+            made = [(*key, [dict(zip(fields, s, strict=True)) for s in spans if s[1] in categories], packer.calls) for key, spans in zip(waiting, found, strict=True)]
+            return pd.DataFrame(made, columns=[*names, "spans", "call"])
+
+        for batch in batches:
+            for *key, value in batch.itertuples(index=False, name=None):
+                if (found := packer.add(value)) is not None:
+                    yield rows(found)
+                    waiting.clear()
+                waiting.append(tuple(key))
+        if waiting:
+            yield rows(packer.flush())
+
+    asked = texts.select(*names, F.col(text)).filter(F.col(text).isNotNull() & (F.trim(F.col(text)) != ""))
+    return (asked if wanted else asked.limit(0)).mapInPandas(run, schema)

@@ -6,6 +6,8 @@ so that detectors of which the texts have no example grow with the tables as wel
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -18,13 +20,14 @@ from hushframe.functions.categories import CATEGORIES, LABELS
 from hushframe.functions.dictionary import dictionary_spans
 from hushframe.functions.patterns import BY_NAME
 from hushframe.functions.spans import pattern_spans, resolve, splice, utf16_offset
-from hushframe.operators import content, mask, reports, routing, sessions, span_tables
+from hushframe.operators import content, mask, reports, routing, sessions, span_tables, table_functions
 from hushframe.operators.analyze import analyze, exploded, span_udf, spread
 from hushframe.operators.dictionary_table import StoredDictionary, dictionary_column, stored_dictionary
 from hushframe.operators.mapping import letters_column, restore_column
-from hushframe.operators.provider import chunk_blocks, parse_detections, strip_honorific
+from hushframe.operators.provider import chunk_blocks, parse_detections, provider_table, strip_honorific
 from hushframe.operators.storage import shared_folder
 from hushframe.plans import oracle as O
+from hushframe.sources import requests
 from hushframe.streaming.restore import events_of, restore_chunks
 from hushframe.streaming.sessions import ROCKSDB, mask_request_stream
 
@@ -307,13 +310,13 @@ add("pii_restore_json", _responses, _BODY)
 _SSE = """SELECT c_custkey AS id, concat('data: {"choices":[{"index":0,"delta":{"content":"hello [EM"}}]}', chr(10), chr(10), 'data: {"choices":[{"index":0,"delta":{"content":"AIL', cast(c_custkey as string), '] bye [x"}}]}', chr(10), chr(10), 'data: [DONE]', chr(10), chr(10)) AS body FROM customer"""
 
 
-def _chunks(spark: SparkSession, d: str) -> DataFrame:
+def _chunks(spark: SparkSession, d: str, base: str = _SSE, provider: str = "openai") -> DataFrame:
     """Bodies cut in three at places that depend on the row."""
     cut = (F.col("id") % 90 + 5).cast("int")
     parts = F.array(F.substring("body", F.lit(1), cut), F.substring(F.col("body"), cut + 1, F.lit(40)), F.substring(F.col("body"), cut + 41, F.length("body")))
-    rows = shared(spark, d, _SSE).select("id", F.posexplode(parts).alias("seq", "chunk"))
+    rows = shared(spark, d, base).select("id", F.posexplode(parts).alias("seq", "chunk"))
     originals = F.create_map(F.concat(F.lit("[EMAIL"), F.col("id").cast("string"), F.lit("]")), F.concat(F.lit("u"), F.col("id").cast("string"), F.lit("@x.example")))
-    return rows.select(F.col("id").cast("string").alias("stream_id"), "seq", F.lit("openai").alias("provider"), "chunk", (F.col("seq") == 2).alias("last"), originals.alias("originals"))
+    return rows.select(F.col("id").cast("string").alias("stream_id"), "seq", F.lit(provider).alias("provider"), "chunk", (F.col("seq") == 2).alias("last"), originals.alias("originals"))
 
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:
@@ -451,6 +454,66 @@ add("pii_spans_not_overlapped", lambda s, d: span_tables.without_overlapped(_of(
 add("pii_overlap_pairs", lambda s, d: span_tables.overlap_pairs(_of(s, d, "P6", "P14"), _of(s, d, "P3", "P7", "P14"), ["id"]).select("id", F.col("left.value").alias("value"), F.col("right.value").alias("other"), F.col("left.start_at").alias("start_at"), F.col("right.start_at").alias("other_at")), f"SELECT l.id, l.value, r.value AS other, l.start_at, r.start_at AS other_at FROM ({_LEFT}) l JOIN ({_RIGHT}) r ON r.id = l.id AND r.start_at < l.end_at AND l.start_at < r.end_at")
 
 
+# Language-model calls over many texts; table functions; the audit log; inputs and rates.
+def _model(blocks: list[tuple[int, str]]) -> str:
+    """Stands for a model: names what is before a title, in each block."""
+    found = [(k, m) for k, text in blocks for m in re.findall(r"client (\w+)様", text)]
+    return "```json\n" + json.dumps([{"text": f"{name}様", "category": "NAME", "block": k} for k, name in found] + [{"text": "http://x", "category": "ORG", "block": 0}]) + "\n```"
+
+
+_TALKS = "SELECT conv_id, turn, concat(text, ' client Kunde', cast(conv_id % 7 as string), '様, Kunde', cast(conv_id % 7 as string)) AS text FROM conversations"
+add("pii_provider_table", lambda s, d: provider_table(shared(s, d, _TALKS), ["conv_id", "turn"], _model, ("NAME",)).select("conv_id", "turn", F.explode("spans").alias("x")).select("conv_id", "turn", F.col("x.text").alias("value"), F.col("x.start").alias("start_at")), "SELECT conv_id, turn, concat('Kunde', conv_id % 7) AS value, unnest([CAST(length(text) + 8 AS INT), CAST(length(text) + 17 AS INT)]) AS start_at FROM conversations")
+_PLEAS = f"""SELECT c_custkey AS id, concat('{{"system":"client Nobody様","messages":[{{"role":"user","content":"client Kunde', cast(c_custkey as string), '様 a', cast(c_custkey as string), '@x.example"}},{{"role":"user","content":[{{"type":"text","text":"again Kunde', cast(c_custkey as string), ' and client Gast様"}}]}}]}}') AS body FROM customer"""
+_NAMES_ONLY = Config(categories=("EMAIL", "NAME"), heuristic_ner=False, provider_enabled=True)
+add("pii_provider_requests", lambda s, d: content.mask_requests_with_provider(shared(s, d, _PLEAS), ["id"], _model, _NAMES_ONLY).select("id", "masked", F.size("mapping").cast("int").alias("n_values")), f"SELECT id, replace(replace(replace(body, concat('client Kunde', id, '様'), 'client [{LABELS['NAME']}A]様'), concat('a', id, '@x.example'), '[{_LABEL}A]'), 'client Gast様', 'client [{LABELS['NAME']}B]様') AS masked, CAST(3 AS INT) AS n_values FROM ({_PLEAS})")
+
+
+def _lateral(spark: SparkSession, d: str) -> DataFrame:
+    table_functions.register(spark, plugins=(_Projects,))
+    shared(spark, d, _EMP).createOrReplaceTempView("plugin_texts")
+    return spark.sql("SELECT id, d.value, d.category, d.start_at, d.end_at FROM plugin_texts, LATERAL detect_plugins(text) d")
+
+
+add("pii_plugin_lateral", _lateral, _oracles["pii_plugin"])
+
+
+def _partitioned(spark: SparkSession, d: str) -> DataFrame:
+    table_functions.register(spark, _MAIL_ONLY)
+    shared(spark, d, _TURNS).createOrReplaceTempView("session_turns")
+    return spark.sql(r"SELECT conv_id, turn, regexp_extract(masked, '(\\[[^\\[\\]]*\\])$', 1) AS token FROM mask_session(TABLE(session_turns) PARTITION BY conv_id ORDER BY turn)")
+
+
+add("pii_mask_sessions_sql", _partitioned, _oracles["pii_mask_sessions"])
+
+
+def _audit_log(spark: SparkSession, d: str) -> DataFrame:
+    """Written twice, as by a micro-batch that is repeated, and read back."""
+    path = f"{shared_folder(spark)}/hushframe-audit-{uuid.uuid4().hex[:12]}"
+    events = mask.audit_events(mask.mask_documents(shared(spark, d, _MAIL), Config()), ["id"], Config())
+    for _ in range(2):
+        requests.write_audit(events, path, 0)
+    log = requests.read_audit(spark, path)
+    return log.select("category", "placeholder", F.col("position.start").alias("start_at"), F.col("position.end").alias("end_at"), "mode", F.col("timestamp").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{3}Z$").alias("dated"))
+
+
+add("pii_audit_log", _audit_log, f"SELECT 'EMAIL' AS category, CASE WHEN value[1] = 'b' THEN '[{_LABEL}B]' ELSE '[{_LABEL}A]' END AS placeholder, start_at, end_at, 'pseudonymize' AS mode, true AS dated FROM ({O.pattern_spans(_MAIL, 'P2')})")
+_MIXED = """SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN concat('{"text":"order ', cast(o_orderkey as string), '"}') WHEN 1 THEN '{"text":5}' WHEN 2 THEN '[1]' WHEN 3 THEN '{"text":' WHEN 4 THEN '{}' END AS body FROM orders"""
+add("pii_requests_accepted", lambda s, d: requests.split_valid(shared(s, d, _MIXED))[0].select("id", requests.valid_analyze_input(F.col("body")).alias("analyzable")), f"SELECT id, id % 6 = 0 AS analyzable FROM ({_MIXED}) WHERE id % 6 IN (0, 1, 4)")
+add("pii_requests_rejected", lambda s, d: requests.split_valid(shared(s, d, _MIXED))[1].select("id", "error"), f"SELECT id, 'Invalid JSON body' AS error FROM ({_MIXED}) WHERE id % 6 IN (2, 3, 5)")
+_SOME = Config(allowlist=("b1@y.example",))
+_items = lambda df: df.withColumns({"redact": F.array(F.concat(F.lit("a"), F.col("id").cast("string"), F.lit("@x.example")), F.concat(F.lit("b"), (F.col("id") % 3).cast("string"), F.lit("@y.example"))), "keep": F.array(F.lit("again"), F.lit("@x.example"), F.lit("to "))})
+add("pii_redaction_rates", lambda s, d: reports.rates(_items(mask.mask_documents(shared(s, d, _MAIL), _SOME)).withColumn("part", F.col("id") % 2), "masked", "redact", "keep", "part"), f"SELECT id % 2 AS part, 1 - sum(CAST(id % 3 = 1 AS INT)) / sum(2) AS redacted, 1 - sum(1) / sum(3) AS kept FROM ({_MAIL}) GROUP BY 1")
+_BLOCK_SSE = """SELECT c_custkey AS id, concat('event: content_block_delta', chr(10), 'data: {"type":"content_block_delta","index":0,"delta":{"type":"text_delta","text":"hello [EM"}}', chr(10), chr(10), 'event: content_block_delta', chr(10), 'data: {"type":"content_block_delta","index":0,"delta":{"type":"text_delta","text":"AIL', cast(c_custkey as string), '] bye"}}', chr(10), chr(10), 'event: message_stop', chr(10), 'data: {"type":"message_stop"}', chr(10), chr(10)) AS body FROM customer"""
+
+
+def _events_stream(spark: SparkSession, d: str) -> DataFrame:
+    done = restore_chunks(_chunks(spark, d, _BLOCK_SSE, "anthropic"))
+    return done.groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "restored"))), lambda x: x["restored"]), "").alias("restored"))
+
+
+add("pii_restore_stream_anthropic", _events_stream, f"""SELECT CAST(id AS VARCHAR) AS stream_id, replace(replace(body, '"text":"hello [EM"', '"text":"hello "'), concat('AIL', id, '] bye'), concat('u', id, '@x.example bye')) AS restored FROM ({_BLOCK_SSE})""")
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

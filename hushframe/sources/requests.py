@@ -32,14 +32,24 @@ def write_masked(df: DataFrame, path: str, source: str = "json", mode: str = "ap
     df.write.format(source).mode(mode).save(path)
 
 
-def write_audit(events: DataFrame, path: str) -> None:
-    """Appends audit events as JSON lines."""
-    events.select(F.to_json(F.struct("timestamp", "category", "placeholder", "confidence", "position", "mode", "reviewRequired")).alias("value")).write.mode("append").text(path)
+def write_audit(events: DataFrame, path: str, batch: int | None = None) -> None:
+    """Audit events as JSON lines: appended, or as the batch of that number, which replaces what an earlier try of it left."""
+    lines = events.select(F.to_json(F.struct("timestamp", "category", "placeholder", "confidence", "position", "mode", "reviewRequired")).alias("value")).write
+    if batch is None:
+        lines.mode("append").text(path)
+    else:
+        lines.mode("overwrite").text(f"{path}/batch={batch}")
 
 
 def audit_stream(events: DataFrame, path: str, checkpoint: str):
-    """The same for a stream, once for each micro-batch."""
-    return events.writeStream.foreachBatch(lambda batch, _: write_audit(batch, path)).option("checkpointLocation", checkpoint)
+    """The same for a stream. Each micro-batch has a folder of its own, so one that Spark repeats after a failure is there once."""
+    return events.writeStream.foreachBatch(lambda rows, batch: write_audit(rows, path, batch)).option("checkpointLocation", checkpoint)
+
+
+def read_audit(spark: SparkSession, path: str) -> DataFrame:
+    """Events written by ``write_audit``."""
+    kinds = "timestamp string, category string, placeholder string, confidence double, position struct<start: int, end: int>, mode string, reviewRequired boolean"
+    return spark.read.schema(kinds).json(path)
 
 
 def valid_analyze_input(body: Column) -> Column:
