@@ -57,6 +57,25 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def in_one(docs: DataFrame, **named: Column) -> DataFrame:
+    """All columns of ``docs`` as one, ``row``, beside columns that an operator works with: so none can clash, whatever its name or type."""
+    return docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in named.items()])
+
+
+def as_they_were(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` out of ``row``."""
+    return rows.select(*[F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns])
+
+
+def tie_break(row: str = "row") -> Column:
+    """Tells rows apart whose other keys are equal, whatever types they hold."""
+    return F.xxhash64(F.to_json(row))
+
+
 def file_system(uri: str):
     """pyarrow's filesystem and the path in it for a folder or file URI."""
     from pyarrow import fs

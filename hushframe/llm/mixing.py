@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import WORD, stored, table, uniform
+from hushframe.llm.common import WORD, as_they_were, in_one, stored, table, tie_break, uniform
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -114,27 +114,27 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def copied(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """The rows of ``docs``, all columns, each as often as the mix takes it."""
+    """The rows of ``docs``, each as often as the mix takes it. All columns come back as they were, whatever their names and types."""
     spark = docs.sparkSession
     ends = quotas(docs, weights, share, max_epochs, seed).groupBy("source").agg(F.max("epochs").alias("e"), F.max(F.when(F.col("more") > 0, F.struct("p", "doc_id", "content", "more", "m"))).alias("end"))
     # One row a source. The last document taken once more, and how many of its equal rows are.
     found = [(r["source"], r["e"], *((r["end"]["p"], r["end"]["doc_id"], r["end"]["content"], r["end"]["more"], r["end"]["m"]) if r["end"] else (None,) * 5)) for r in ends.collect()]
-    plan = spark.createDataFrame(found, "__of string, __epochs int, __p double, __id long, __content long, __more long, __m long")
+    plan = spark.createDataFrame(found, "of string, epochs int, p_end double, id_end long, content_end long, more long, m long")
     size, content, place = keys(F.col("text"), F.col("doc_id"), seed)
-    rows = docs.withColumns({"__size": size, "__own": content, "__place": place})
-    rows = rows.join(F.broadcast(plan) if len(found) <= MOST_BROADCAST else plan, F.col("source").cast("string").eqNullSafe(F.col("__of")))
-    own = F.struct(F.col("__place").alias("p"), F.col("doc_id").cast("long").alias("doc_id"), F.col("__own").alias("content"))
-    end = F.struct(F.col("__p").alias("p"), F.col("__id").alias("doc_id"), F.col("__content").alias("content"))
-    last = F.col("__p").isNotNull() & (F.col("__size") > 0) & (F.col("__more") < F.col("__m")) & (own == end)
-    once = F.col("__p").isNotNull() & (F.col("__size") > 0) & (own <= end)
+    rows = in_one(docs, size=size, content=content, p=place, doc_id=F.col("doc_id").cast("long"), source=F.col("source").cast("string"))
+    rows = rows.join(F.broadcast(plan) if len(found) <= MOST_BROADCAST else plan, F.col("source").eqNullSafe(F.col("of")))
+    own = F.struct("p", "doc_id", "content")
+    end = F.struct(F.col("p_end").alias("p"), F.col("id_end").alias("doc_id"), F.col("content_end").alias("content"))
+    last = F.col("p_end").isNotNull() & (F.col("size") > 0) & (F.col("more") < F.col("m")) & (own == end)
+    once = F.col("p_end").isNotNull() & (F.col("size") > 0) & (own <= end)
     parted = any(r[5] is not None and r[5] < r[6] for r in found)  # some of the equal rows at an end
     taken = rows.filter(~last) if parted else rows
-    taken = taken.withColumn("__copies", F.col("__epochs") + F.when(once, 1).otherwise(0))
+    taken = taken.withColumn("copies", F.col("epochs") + F.when(once, 1).otherwise(0))
     if parted:
-        number = F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64(*docs.columns)))
-        tied = rows.filter(last).withColumn("__number", number)
-        taken = taken.unionByName(tied.withColumn("__copies", F.col("__epochs") + F.when(F.col("__number") <= F.col("__more"), 1).otherwise(0)).drop("__number"))
-    return taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).select(docs.columns)
+        number = F.row_number().over(Window.partitionBy("source").orderBy(tie_break()))
+        tied = rows.filter(last).withColumn("number", number)
+        taken = taken.unionByName(tied.withColumn("copies", F.col("epochs") + F.when(F.col("number") <= F.col("more"), 1).otherwise(0)).drop("number"))
+    return as_they_were(taken.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))), docs)
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import make_importable, stored, table
+from hushframe.llm.common import as_they_were, in_one, make_importable, stored, table, tie_break
 
 RADIUS = 4
 WORDS = 4
@@ -447,15 +447,20 @@ def similar(texts: DataFrame) -> DataFrame:
 
 def first_of(rows: DataFrame, key: str) -> DataFrame:
     """Of the rows with the same key the one with the smallest ``doc_id``, null last, then by text and all columns."""
-    order = Window.partitionBy(key).orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.xxhash64(*rows.columns))
-    return rows.withColumn("__place", F.row_number().over(order)).filter("__place = 1").drop("__place")
+    order = Window.partitionBy(key).orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), tie_break())
+    return rows.withColumn("place", F.row_number().over(order)).filter("place = 1").drop("place")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage: of each component of similar texts the document with the smallest id stays (one row, if it is repeated).
-    Rows carry their text's hash, and then their component, so ids needn't tell them apart."""
+
+    Rows carry their text's hash, and then their component, so ids needn't tell them apart. Null and empty texts are one
+    group; rows without id come after all others of their group; no documents give none; all columns come back as they were.
+    """
     make_importable(spark)
-    rows = stored(spark, first_of(docs.withColumn("__node", F.xxhash64(F.coalesce("text", F.lit("")))), "__node"), "distinct")
-    found = similar(rows.select(F.col("__node").alias("node"), "text")).withColumnRenamed("label", "__label")
-    labelled = rows.join(found, rows["__node"] == found["node"], "left").withColumn("__label", F.coalesce("__label", "__node"))
-    return first_of(labelled, "__label").select(docs.columns)
+    text = F.col("text").cast("string")
+    rows = in_one(docs, doc_id=F.col("doc_id").cast("long"), text=text, node=F.xxhash64(F.coalesce(text, F.lit(""))))
+    rows = stored(spark, first_of(rows, "node"), "distinct")
+    found = similar(rows.select("node", "text")).select(F.col("node").alias("of"), "label")
+    labelled = rows.join(found, F.col("node") == F.col("of"), "left").withColumn("label", F.coalesce("label", "node"))
+    return as_they_were(first_of(labelled, "label"), docs)

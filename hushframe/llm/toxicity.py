@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import crc_of_id, make_importable, table, uniform
+from hushframe.llm.common import as_they_were, crc_of_id, in_one, make_importable, table, uniform
 
 MAX_FIT = 20_000
 FOLDS = 5
@@ -253,7 +253,9 @@ def _learn_exceptions(rows: DataFrame, lexicon: Lexicon) -> list[str]:
 
 
 def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """All columns of ``docs`` and ``__toxicity``."""
+    """All columns of ``docs`` and ``__toxicity``, which must not be one of them."""
+    if "__toxicity" in docs.columns:
+        raise ValueError("docs has a column __toxicity")
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
@@ -271,7 +273,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage: documents scored 0.5 or more go. The lexicon is fitted on the corpus's labelled documents."""
+    """Stage: documents scored 0.5 or more go. The lexicon is fitted on the corpus's labelled documents.
+
+    All columns come back as they were, whatever their names and types.
+    """
     make_importable(spark)
     lexicon = fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return scored(docs, lexicon).filter(F.col("__toxicity") < 0.5).drop("__toxicity")
+    return as_they_were(scored(in_one(docs, text=F.col("text")), lexicon).filter(F.col("__toxicity") < 0.5), docs)
