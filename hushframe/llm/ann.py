@@ -1,9 +1,11 @@
 """Approximate nearest neighbours: a forest of random-projection trees, then exact reranking.
 
-Trees are grown on a bounded sample (``SAMPLE`` vectors at most, chosen by hash); every vector is then put
-in its leaf of each tree. A query walks all trees through one priority queue, ordered by the
-sum of squared distances to the splits it crossed, until its leaves are expected to hold ``search_k`` vectors. Leaves are
-joined to the queries that reached them by key, and candidates are reranked by exact Euclidean distance.
+Trees are grown on a bounded sample (``SAMPLE`` vectors at most, chosen by hash); every vector has its leaf in each tree. A
+query walks all trees through one priority queue, ordered by the sum of squared distances to the splits it crossed, until
+its leaves are expected to hold a share of the table; which leaves those are is a row of bits. The query rows, with their
+bits, are written in blocks of ``QUERY_BLOCK``. A task holds a chunk of vectors, works out their leaves, and goes through the query blocks one
+after the other: a vector is a query's candidate if any tree's bit of its leaf is set, and candidates are reranked by exact
+Euclidean distance. So no vector is copied or shuffled for any tree, and what leaves a task is each query's nearest there.
 
 Equal vectors are one node with the smallest ids that could be among a query's nearest, so a vector that
 fills a third of the table is compared once. Nothing but the sample and the trees is on the driver.
@@ -23,17 +25,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import make_importable, stored, table, uniform
+from hushframe.llm.common import file_system, make_importable, shared_dir, stored, table, uniform
 
 K = 10
 EVERY = 100
 SAMPLE = 20_000
 TREES = 24
-LEAF = 64
-#: Vectors that a query's leaves should hold, repeats among trees included: a share of the table, and at
-#: least so many. The share keeps recall alike at every size, also where vectors have no structure at all.
-SEARCH_SHARE = 0.4
-SEARCH_LEAST = 20_000
+LEAF = 16
+#: What a query's leaves should hold, as a share of the table, vectors that several trees reach counted as often. Two thirds
+#: are some 45 % of the vectors. Vectors without any structure need as much for a recall of 0.9; real embeddings need less.
+SEARCH_SHARE = 0.67
+QUERY_BLOCK = 4096
+#: Vectors that a task compares with a query block at a time.
+CHUNK = 65_536
 
 
 class Tree:
@@ -86,20 +90,28 @@ class RandomProjectionForest:
         self.scale = scale
         self.trees = [Tree(sample, max(8, int(leaf / scale)), rng) for _ in range(trees)]
 
-    def keys(self, vectors: np.ndarray) -> np.ndarray:
-        return np.stack([(t << 32) + tree.leaves(vectors) for t, tree in enumerate(self.trees)], axis=1)
+    @property
+    def most_leaves(self) -> int:
+        return max(len(tree.sizes) for tree in self.trees)
 
-    def search(self, vector: np.ndarray, search_k: int) -> list[int]:
-        """Keys of the leaves to look in, the nearest to the query first."""
+    def leaves(self, vectors: np.ndarray) -> np.ndarray:
+        """A row a vector, a column a tree."""
+        return np.stack([tree.leaves(vectors) for tree in self.trees], axis=1)
+
+    def search(self, vector: np.ndarray, search_k: float, least: int = 0) -> np.ndarray:
+        """Which leaves to look in, as truth values by tree and leaf: the nearest first, until they hold ``search_k``.
+
+        least: and until those of one tree hold so many, which are different ones.
+        """
         queue = [(0.0, t, tree.top) for t, tree in enumerate(self.trees)]
         heapq.heapify(queue)
         sides = [tree.planes @ vector - np.array(tree.offsets) for tree in self.trees]
-        found, held = [], 0.0
-        while queue and held < search_k:
+        found, held = np.zeros((len(self.trees), self.most_leaves), bool), np.zeros(len(self.trees))
+        while queue and (held.sum() < search_k or held.max() < least):
             far, t, node = heapq.heappop(queue)
             if node < 0:
-                found.append((t << 32) + (-1 - node))
-                held += self.trees[t].sizes[-1 - node] * self.scale
+                found[t, -1 - node] = True
+                held[t] += self.trees[t].sizes[-1 - node] * self.scale
                 continue
             side, kids = float(sides[t][node]), self.trees[t].children[node]
             heapq.heappush(queue, (far, t, kids[side >= 0]))
@@ -113,30 +125,41 @@ def distances(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return np.sqrt((gap * gap).sum(axis=1))
 
 
-def sorted_groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[tuple[int, Iterator[pd.DataFrame]]]:
-    """Groups of consecutive rows with a key, each in parts no larger than a batch."""
-    waiting: list[pd.DataFrame] = []
+def chunks(batches: Iterator[pd.DataFrame], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
+    """``vectors, nodes, ids`` of ``most`` rows or a few more at a time."""
+    held: list[pd.DataFrame] = []
 
-    def pull() -> bool:
-        for batch in batches:
-            if len(batch):
-                values = batch[key].to_numpy()
-                cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
-                waiting.extend(batch.iloc[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
-                return True
-        return False
+    def joined():
+        rows = pd.concat(held)
+        held.clear()
+        return np.array(rows["vector"].tolist()), rows["node"].to_numpy(), rows["ids"].tolist()
+
+    for batch in batches:
+        if len(batch):
+            held.append(batch)
+        if sum(map(len, held)) >= most:
+            yield joined()
+    if held:
+        yield joined()
 
-    while waiting or pull():
-        name = waiting[0][key].iloc[0]
 
-        def parts(name=name):
-            while (waiting or pull()) and waiting[0][key].iloc[0] == name:
-                yield waiting.pop(0)
+def nearest_in_chunk(uri: str, vectors: np.ndarray, names: np.ndarray, ids: list, leaves: np.ndarray, shape: tuple[int, int], keep: int) -> pd.DataFrame:
+    """Each query of a block with the ``keep`` nearest of its candidates in a chunk, ties to the smaller node."""
+    import pyarrow.dataset as ds
 
-        group = parts()
-        yield name, group
-        for _ in group:
-            pass
+    files, path = file_system(uri)
+    block = ds.dataset(path, filesystem=files, format="parquet", partitioning=None).to_table(columns=["node", "vector", "visited"]).to_pydict()
+    trees, out = np.arange(shape[0]), []
+    for name, vector, visited in zip(block["node"], block["vector"], block["visited"], strict=True):
+        bits = np.unpackbits(np.frombuffer(visited, np.uint8), count=shape[0] * shape[1]).reshape(shape).astype(bool)
+        at = np.flatnonzero(bits[trees, leaves].any(axis=1))
+        d = distances(np.asarray(vector), vectors[at])
+        if len(at) > keep:
+            least = np.flatnonzero(d <= np.partition(d, keep - 1)[keep - 1])
+            at, d = at[least], d[least]
+        near = np.lexsort((names[at], d))[:keep]
+        out += [(name, float(d[x]), int(names[at[x]]), list(map(int, ids[at[x]]))) for x in near]
+    return pd.DataFrame(out, columns=["query_node", "score", "near", "ids"])
 
 
 def valid_vectors(table_: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
@@ -148,9 +171,10 @@ def valid_vectors(table_: DataFrame, id_column: str = "vec_id", vector_column: s
     return fine.filter(F.size("vector") == (sizes[0]["d"] if sizes else 0))
 
 
-def nearest(table_: DataFrame, every: int = EVERY, k: int = K, trees: int = TREES, leaf: int = LEAF, search_share: float = SEARCH_SHARE, search_least: int = SEARCH_LEAST, sample: int = SAMPLE, seed: int = 7) -> DataFrame:
+def nearest(table_: DataFrame, every: int = EVERY, k: int = K, trees: int = TREES, leaf: int = LEAF, search_share: float = SEARCH_SHARE, sample: int = SAMPLE, seed: int = 7) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest found of each row whose id ``every`` divides."""
     spark = table_.sparkSession
+    make_importable(spark)
     schema = "query_id long, rank int, vec_id long, score double"
     rows = stored(spark, valid_vectors(table_).distinct(), "vectors")
     keep = k + 1
@@ -174,57 +198,36 @@ def nearest(table_: DataFrame, every: int = EVERY, k: int = K, trees: int = TREE
     count = nodes.count()
     if not count:
         return spark.createDataFrame([], schema)
-    search_k = max(search_least, int(search_share * count))
     drawn = nodes.select("node", "vector").filter(uniform(F.col("node"), seed=seed) <= min(1.0, sample / count)).orderBy(uniform(F.col("node"), seed=seed)).limit(sample).toPandas()
     points = np.array(drawn.sort_values("node")["vector"].tolist()).reshape(len(drawn), -1)
     if not len(points):
         points = np.array(nodes.select("vector").limit(1).collect()[0]["vector"]).reshape(1, -1)
     forest = spark.sparkContext.broadcast(RandomProjectionForest(points, count / len(points), trees, leaf, seed))
 
-    def place(batches):
-        for batch in batches:
-            if not len(batch):
-                continue
-            vectors = np.array(batch["vector"].tolist())
-            keys = forest.value.keys(vectors)
-            for t in range(keys.shape[1]):
-                yield pd.DataFrame({"leaf": keys[:, t], "query": False, "node": batch["node"], "vector": batch["vector"], "ids": batch["ids"]})
-
     def visit(batches):
         for batch in batches:
-            out = []
-            for node, vector in zip(batch["node"].tolist(), batch["vector"], strict=True):
-                out += [(leaf_, True, node, vector, None) for leaf_ in forest.value.search(np.asarray(vector), search_k)]
-            if out:
-                yield pd.DataFrame(out, columns=["leaf", "query", "node", "vector", "ids"])
-
-    def rerank(batches):
-        for _, parts in sorted_groups(batches, "leaf"):
-            names, queries, best = [], [], {}
-            for part_ in parts:  # queries come first
-                asked = part_["query"].to_numpy()
-                names += part_["node"][asked].tolist()
-                queries += [np.asarray(v) for v in part_["vector"][asked]]
-                there = part_[~asked]
-                if not names or not len(there):
-                    continue
-                vectors, ids, nodes_ = np.array(there["vector"].tolist()), there["ids"].tolist(), there["node"].to_numpy()
-                for name, query in zip(names, queries, strict=True):
-                    d = distances(query, vectors)
-                    near = np.lexsort((nodes_, d))[:keep]
-                    best[name] = sorted([*best.get(name, []), *((float(d[x]), int(nodes_[x]), list(map(int, ids[x]))) for x in near)])[:keep]
-            if best:
-                yield pd.DataFrame([(q, s, n, i) for q, found in best.items() for s, n, i in found], columns=["query_node", "score", "near", "ids"])
+            bits = [np.packbits(forest.value.search(np.asarray(v), search_share * count, keep)).tobytes() for v in batch["vector"]]
+            yield pd.DataFrame({"node": batch["node"], "vector": batch["vector"], "visited": bits})
 
     asked = rows.filter(F.col("vec_id") % every == 0)
     plain = F.transform("vector", lambda x: x + F.lit(0.0))
     of_node = asked.withColumn("vector", plain).join(nodes.select("vector", "node"), "vector").select(F.col("vec_id").alias("query_id"), "node")
     of_node = stored(spark, of_node, "queries")
-    query_nodes = nodes.join(of_node.select("node").distinct(), "node", "left_semi")
-    schema_ = "leaf long, query boolean, node long, vector array<double>, ids array<long>"
-    both = nodes.select("node", "vector", "ids").mapInPandas(place, schema_).unionByName(query_nodes.select("node", "vector").mapInPandas(visit, schema_))
-    found = both.repartition("leaf").sortWithinPartitions("leaf", F.desc("query")).mapInPandas(rerank, "query_node long, score double, near long, ids array<long>")
-    top = found.distinct().withColumn("place", F.row_number().over(Window.partitionBy("query_node").orderBy("score", "near"))).filter(F.col("place") <= keep)
+    query_nodes = nodes.join(of_node.select("node").distinct(), "node", "left_semi").select("node", "vector")
+    number = -(-query_nodes.count() // QUERY_BLOCK)
+    where = shared_dir(spark, "query-blocks")
+    block = F.pmod(F.xxhash64("node"), F.lit(max(1, number))).cast("int")
+    query_nodes.mapInPandas(visit, "node long, vector array<double>, visited binary").withColumn("block", block).repartition(max(1, number), "block").write.partitionBy("block").parquet(where)
+    uris = [f"{where}/block={r['block']}" for r in spark.read.parquet(where).select("block").distinct().collect()] if number else []  # a row a block
+
+    def look(batches):
+        for vectors, names, ids in chunks(batches, CHUNK):
+            leaves = forest.value.leaves(vectors)
+            for uri in uris:
+                yield nearest_in_chunk(uri, vectors, names, ids, leaves, (len(forest.value.trees), forest.value.most_leaves), keep)
+
+    found = nodes.select("node", "vector", "ids").mapInPandas(look, "query_node long, score double, near long, ids array<long>")
+    top = found.withColumn("place", F.row_number().over(Window.partitionBy("query_node").orderBy("score", "near"))).filter(F.col("place") <= keep)
     spread = top.select("query_node", "score", F.explode("ids").alias("vec_id"))
     lists = spread.groupBy("query_node").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, 2 * keep).alias("near"))  # at most (k + 1)^2
     own = of_node.join(lists, of_node["node"] == lists["query_node"])

@@ -160,15 +160,36 @@ def test_seating():
     assert many.mean() == pytest.approx(1 + 1 / 2 + 1 / 3, abs=0.02)
 
 
+def measured(points, queries, share, **forest):
+    """Recall of the ten nearest against brute force, and the share of vectors compared."""
+    made = ann.RandomProjectionForest(points, 1.0, **forest)
+    leaves, hits, seen = made.leaves(points), 0, 0.0
+    for q in queries:
+        bits = made.search(points[q], share * len(points), 11)
+        at = np.flatnonzero(bits[np.arange(len(made.trees)), leaves].any(axis=1))
+        seen += len(at) / len(points)
+        near = at[np.argsort(ann.distances(points[q], points[at]), kind="stable")][1:11]
+        hits += len(set(near) & set(np.argsort(ann.distances(points[q], points), kind="stable")[1:11]))
+    return hits / (10 * len(queries)), seen / len(queries)
+
+
 def test_forest_recall():
+    """No structure at all, as the query's own settings have it; and points in groups, for a twentieth of the table."""
+    import pyarrow.parquet as pq
+
+    points = np.array(pq.read_table("/root/testdata/sf0.1/embeddings.parquet")["embedding"].to_pylist(), np.float64)
+    recall, seen = measured(points, range(0, len(points), 50), ann.SEARCH_SHARE)
+    assert recall >= 0.9 and seen < 0.5, (recall, seen)
     rng = np.random.default_rng(2)
-    points = rng.normal(size=(3000, 24))
-    forest = ann.RandomProjectionForest(points, 1.0, trees=10, leaf=40)
-    keys = forest.keys(points)
-    hit = 0
-    for q in range(0, 3000, 100):
-        leaves = set(forest.search(points[q], 1500))
-        found = np.flatnonzero([bool(leaves & set(k)) for k in keys.tolist()])
-        near = found[np.argsort(ann.distances(points[q], points[found]))][1:11]
-        hit += len(set(near) & set(np.argsort(ann.distances(points[q], points))[1:11]))
-    assert hit / 300 >= 0.9
+    grouped = rng.normal(size=(60, 24))[rng.integers(0, 60, 4000)] * 4 + rng.normal(size=(4000, 24))
+    recall, seen = measured(grouped, range(0, 4000, 100), 0.1)
+    assert recall >= 0.9 and seen < 0.1, (recall, seen)
+
+
+def test_search_finds_enough():
+    points = np.random.default_rng(1).normal(size=(40, 8))
+    made = ann.RandomProjectionForest(points, 1.0)
+    leaves = made.leaves(points)
+    for v in points:
+        assert made.search(v, 1, 11)[np.arange(len(made.trees)), leaves].any(axis=1).sum() >= 11
+
