@@ -34,47 +34,56 @@ def analyze(df: DataFrame, config: Config | None = None, text: str = "text", out
 
     Stages are columns of their own, so that what several rules use (bracket ranges, claimed spans) is
     computed once a row; inactive categories cost nothing, as they aren't planned. Null and blank texts
-    have no spans. Custom patterns that aren't valid are ignored. The configuration's ``enabled`` and passthrough don't matter here.
+    have no spans. A column named as ``output`` is replaced; all others come back as they were. Custom patterns that aren't valid are ignored. The configuration's ``enabled`` and passthrough don't matter here.
     ``dictionary``: entries of a table, after those of the configuration; neither they nor more than ``MANY_ENTRIES`` of
     the configuration's are part of the plan.
     """
     config = config or Config()
-    active, t, column = config.active, "__text", F.col(text)
+    active, own_names, column = config.active, apart(df), F.col(text)
+    t = own_names + "text"
     parts: list[Column] = []
     out = df.withColumn(t, column)
 
     def stage(name: str, spans: Column) -> Column:
         nonlocal out
-        out = out.withColumn(name, spans)
-        return F.col(name)
+        out = out.withColumn(own_names + name, spans)
+        return F.col(own_names + name)
 
     listed = [e for e in config.all_dictionary if e.category in active]
     if len(listed) > MANY_ENTRIES:
-        parts.append(stage("__dictionary", span_udf(EntryMatcher(listed).spans)(column)))
+        parts.append(stage("dictionary", span_udf(EntryMatcher(listed).spans)(column)))
     elif listed:
-        parts.append(stage("__dictionary", dictionary_spans(t, tuple(listed), active)))
+        parts.append(stage("dictionary", dictionary_spans(t, tuple(listed), active)))
     if dictionary is not None:
-        parts.append(stage("__listed", dictionary_column(column, dictionary)))
+        parts.append(stage("listed", dictionary_column(column, dictionary)))
     if any(p.category in active for p in PATTERNS):
-        parts.append(stage("__patterns", regex_spans(t, active)))
+        parts.append(stage("patterns", regex_spans(t, active)))
     own = [custom_spans(t, p.pattern, p.target) for p in config.all_patterns if p.target in active and compiles(p.pattern)]
     if own:
-        parts.append(stage("__custom", F.concat(*own)))
+        parts.append(stage("custom", F.concat(*own)))
     if config.heuristic_ner and set(active) & set(NER_CATEGORIES):
-        ranges = stage("__ranges", bracket_ranges(t))
-        claimed = stage("__claimed", claimed_spans(t, ranges, active))
+        ranges = stage("ranges", bracket_ranges(t))
+        claimed = stage("claimed", claimed_spans(t, ranges, active))
         parts.append(claimed)
         if "NAME" in active:
-            names = stage("__names", name_spans(t, ranges, config.surnames))
+            names = stage("names", name_spans(t, ranges, config.surnames))
             parts.append(claimed_apart(names, claimed))
     if plugins:
-        parts.append(stage("__plugins", span_udf(Detector(config, plugins).from_plugins)(column)))
+        parts.append(stage("plugins", span_udf(Detector(config, plugins).from_plugins)(column)))
     if provider is not None and config.provider_enabled:
-        parts.append(stage("__provider", span_udf(Detector(config, (), provider).from_provider)(column)))
-    found = stage("__found", F.concat(*parts) if parts else no_spans())
+        parts.append(stage("provider", span_udf(Detector(config, (), provider).from_provider)(column)))
+    found = stage("found", F.concat(*parts) if parts else no_spans())
     spans = F.when(is_blank(column), no_spans()).otherwise(drop_allowed(resolve(found), config.allowlist))
     made = out.withColumn(output, spans)
-    return made.drop(*[c for c in made.columns if c.startswith("__") and c not in df.columns and c != output])
+    return made.drop(*[c for c in made.columns if c.startswith(own_names)])
+
+
+def apart(df: DataFrame) -> str:
+    """What no column's name of the user's begins with."""
+    start = "__"
+    while any(c.startswith(start) for c in df.columns):
+        start += "_"
+    return start
 
 
 def exploded(df: DataFrame, keys: Sequence[str], spans: str | Column = "spans") -> DataFrame:

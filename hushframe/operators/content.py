@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from hushframe.config import Config
 from hushframe.operators.mapping import MAPPING, Mapping, RowMapping, restore_column, restore_text
-from hushframe.operators.mask import Masker, _packed, number_rows
+from hushframe.operators.mask import Masker, _packed, number_rows, with_fields
 from hushframe.operators.provider import MAX_CHARS, provider_table
 from hushframe.operators.sessions import TTL_SECONDS, acquire
 from hushframe.operators.storage import stored
@@ -146,7 +146,7 @@ def mask_requests(df: DataFrame, config: Config | None = None, body: str = "body
             out.append((masked_body(b, masker, mapping), _packed(None, mapping, [])["mapping"]))
         return pd.DataFrame(out, columns=["masked", "mapping"])
 
-    return df.withColumn("__m", run(body)).select("*", "__m.*").drop("__m")
+    return with_fields(df, run(body), "masked", "mapping")
 
 
 def mask_requests_with_provider(df: DataFrame, keys: Sequence[str], provider: Callable, config: Config | None = None, body: str = "body", plugins: Sequence = (), most: int = MAX_CHARS) -> DataFrame:
@@ -176,8 +176,8 @@ def mask_requests_with_provider(df: DataFrame, keys: Sequence[str], provider: Ca
             out.append((json.dumps(walk_request(json.loads(text), change), ensure_ascii=False, separators=(",", ":")), _packed(None, mapping, [])["mapping"]))
         return pd.DataFrame(out, columns=["masked", "mapping"])
 
-    met = rows.join(by_body, list(keys), "left").withColumn("__m", put("masked", "mapping", "__found"))
-    return met.drop("masked", "mapping", "__found").select("*", "__m.*").drop("__m")
+    met = rows.join(by_body, list(keys), "left")
+    return with_fields(met, put("masked", "mapping", "__found"), "masked", "mapping").drop("__found")
 
 
 def in_json(text: Column) -> Column:

@@ -71,7 +71,8 @@ def _packed(masked: str | None, mapping: Mapping, events: list[tuple]) -> dict:
 def mask_documents(df: DataFrame, config: Config | None = None, text: str = "text", plugins: Sequence = (), provider: Callable | None = None, mapping_class: type[Mapping] = Mapping, dictionary: StoredDictionary | None = None) -> DataFrame:
     """``df`` with ``masked``, ``mapping`` and ``events``, each row a session of its own.
 
-    A configuration that is disabled or in passthrough leaves texts as they are. Null texts stay null. ``dictionary``: entries
+    A configuration that is disabled or in passthrough leaves texts as they are. Null texts stay null. Columns of those three
+    names are replaced; all others come back as they were. ``dictionary``: entries
     of a table, after those of the configuration.
     """
     config = config or Config()
@@ -86,7 +87,16 @@ def mask_documents(df: DataFrame, config: Config | None = None, text: str = "tex
             out.append(_packed(masked, mapping, events))
         return pd.DataFrame(out, columns=["masked", "mapping", "events"])
 
-    return df.withColumn("__masked", run(text)).select("*", "__masked.*").drop("__masked")
+    return with_fields(df, run(text), "masked", "mapping", "events")
+
+
+def with_fields(df: DataFrame, made: Column, *names: str) -> DataFrame:
+    """``df`` with the fields of a struct, which take the place of columns that are named like them."""
+    own = "__"
+    while any(c.startswith(own) for c in df.columns):
+        own += "_"
+    kept = [F.col(_quoted(c)) for c in df.columns if c not in names]
+    return df.withColumn(own, made).select(*kept, *[F.col(f"{own}.{n}").alias(n) for n in names])
 
 
 def mask_sessions(df: DataFrame, session: str, order: Sequence[str], config: Config | None = None, text: str = "text", plugins: Sequence = (), provider: Callable | None = None, slices: int | None = None) -> tuple[DataFrame, DataFrame]:

@@ -105,3 +105,14 @@ def test_no_spans(spark):
     some = none.union(spark.range(1).select(F.lit(1), F.lit("v"), F.lit(0), F.lit(3)))
     assert span_tables.without_overlapped(none, some, ["id"]).count() == 0 and span_tables.without_overlapped(some, none, ["id"]).count() == 1
     assert span_tables.overlap_pairs(none, some, ["id"]).count() == 0
+
+
+def test_names_of_columns_do_not_clash(spark):
+    """Names that operators use inside, a dotted one, a map; a column named like a result is replaced."""
+    names = ["__text", "__found", "__patterns", "__", "___text", "__masked", "masked", "events", "spans", "node"]
+    docs = spark.createDataFrame([(1, "to a@b.co")], "id int, text string").selectExpr("*", *[f"'{n}' AS `{n}`" for n in names], "id AS `a.b`", "map('k', id) AS held")
+    for made, replaced in ((analyze(docs), {"spans"}), (mask.mask_documents(docs), {"masked", "mapping", "events"})):
+        row = made.first().asDict()
+        assert len(made.columns) == len(set(made.columns)) == len(set(docs.columns) | replaced)
+        assert all(row[n] == n for n in names if n not in replaced) and row["a.b"] == 1 and row["held"] == {"k": 1} and row["text"] == "to a@b.co"
+    assert analyze(docs).first()["spans"][0]["text"] == "a@b.co" and mask.mask_documents(docs).first()["masked"].endswith("A]")
