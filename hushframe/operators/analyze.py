@@ -29,6 +29,34 @@ def span_udf(find: Callable[[str], list[tuple]]):
     return run
 
 
+def dictionary_part(t: str, config: Config) -> Column | None:
+    """Spans of the configuration's dictionary; a long one isn't part of the plan."""
+    listed = [e for e in config.all_dictionary if e.category in config.active]
+    if len(listed) > MANY_ENTRIES:
+        return span_udf(EntryMatcher(listed).spans)(F.col(t))
+    return dictionary_spans(t, tuple(listed), config.active) if listed else None
+
+
+def pattern_part(t: str, config: Config) -> Column | None:
+    """Spans of all active patterns, then of the user's."""
+    built_in = [regex_spans(t, config.active)] if any(p.category in config.active for p in PATTERNS) else []
+    own = [custom_spans(t, p.pattern, p.target) for p in config.all_patterns if p.target in config.active and compiles(p.pattern)]
+    return F.concat(*built_in, *own) if built_in or own else None
+
+
+def heuristic_parts(t: str, config: Config, stage: Callable[[str, Column], Column]) -> list[Column]:
+    """Spans of the name rules. ``stage`` makes a column of an expression that several rules use."""
+    active, parts = config.active, []
+    if config.heuristic_ner and set(active) & set(NER_CATEGORIES):
+        ranges = stage("ranges", bracket_ranges(t))
+        claimed = stage("claimed", claimed_spans(t, ranges, active))
+        parts.append(claimed)
+        if "NAME" in active:
+            names = stage("names", name_spans(t, ranges, config.surnames))
+            parts.append(claimed_apart(names, claimed))
+    return parts
+
+
 def analyze(df: DataFrame, config: Config | None = None, text: str = "text", output: str = "spans", plugins: Sequence = (), provider: Callable | None = None, dictionary: StoredDictionary | None = None) -> DataFrame:
     """``df`` with an array of spans: a narrow transformation, without a shuffle.
 
@@ -49,25 +77,13 @@ def analyze(df: DataFrame, config: Config | None = None, text: str = "text", out
         out = out.withColumn(own_names + name, spans)
         return F.col(own_names + name)
 
-    listed = [e for e in config.all_dictionary if e.category in active]
-    if len(listed) > MANY_ENTRIES:
-        parts.append(stage("dictionary", span_udf(EntryMatcher(listed).spans)(column)))
-    elif listed:
-        parts.append(stage("dictionary", dictionary_spans(t, tuple(listed), active)))
+    if (found := dictionary_part(t, config)) is not None:
+        parts.append(stage("dictionary", found))
     if dictionary is not None:
         parts.append(stage("listed", dictionary_column(column, dictionary)))
-    if any(p.category in active for p in PATTERNS):
-        parts.append(stage("patterns", regex_spans(t, active)))
-    own = [custom_spans(t, p.pattern, p.target) for p in config.all_patterns if p.target in active and compiles(p.pattern)]
-    if own:
-        parts.append(stage("custom", F.concat(*own)))
-    if config.heuristic_ner and set(active) & set(NER_CATEGORIES):
-        ranges = stage("ranges", bracket_ranges(t))
-        claimed = stage("claimed", claimed_spans(t, ranges, active))
-        parts.append(claimed)
-        if "NAME" in active:
-            names = stage("names", name_spans(t, ranges, config.surnames))
-            parts.append(claimed_apart(names, claimed))
+    if (found := pattern_part(t, config)) is not None:
+        parts.append(stage("patterns", found))
+    parts += heuristic_parts(t, config, stage)
     if plugins:
         parts.append(stage("plugins", span_udf(Detector(config, plugins).from_plugins)(column)))
     if provider is not None and config.provider_enabled:

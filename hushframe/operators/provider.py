@@ -12,11 +12,11 @@ import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.functions.categories import NER_CATEGORIES, SPANS
-from hushframe.functions.patterns import SPACE_CHARS
+from hushframe.functions.patterns import SPACE_CHARS, SPACE_JAVA
 
 MAX_CHARS = 3500
 BUDGET_SECONDS = 4.0
@@ -49,6 +49,11 @@ def strip_honorific(name: str) -> str:
     return _HONORIFIC.sub("", name).strip(SPACE_CHARS)
 
 
+def strip_honorific_column(name: Column) -> Column:
+    """The same in built-in expressions."""
+    return F.regexp_replace(F.regexp_replace(name, _HONORIFIC.pattern.replace("\\Z", "\\z"), ""), f"^[{SPACE_JAVA}]+|[{SPACE_JAVA}]+\\z", "")
+
+
 def parse_detections(answer: str, blocks: Sequence[tuple[int, str]]) -> list[tuple]:
     """Spans from an answer: the outermost JSON array in it, every occurrence of each name in its block."""
     plain = _FENCE_END.sub("", _FENCE.sub("", answer, count=1), count=1).strip()

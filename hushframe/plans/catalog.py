@@ -24,7 +24,7 @@ from hushframe.operators import content, mask, reports, routing, sessions, span_
 from hushframe.operators.analyze import analyze, exploded, span_udf, spread
 from hushframe.operators.dictionary_table import StoredDictionary, dictionary_column, stored_dictionary
 from hushframe.operators.mapping import letters_column, restore_column
-from hushframe.operators.provider import chunk_blocks, parse_detections, provider_table, strip_honorific
+from hushframe.operators.provider import chunk_blocks, parse_detections, provider_table, strip_honorific_column
 from hushframe.operators.storage import shared_folder
 from hushframe.plans import oracle as O
 from hushframe.sources import requests
@@ -239,6 +239,7 @@ _MAIL = customers(text_of("=to a", K, "=@x.example and b", f"{K} % 3", "=@y.exam
 _LABEL = LABELS["EMAIL"]
 _masked = f"replace(replace(text, concat('a', cast(id as string), '@x.example'), '[{_LABEL}A]'), concat('b', cast(id % 3 as string), '@y.example'), '[{_LABEL}B]')"
 add("pii_mask_documents", lambda s, d: mask.mask_documents(shared(s, d, _MAIL), Config()).select("id", "masked", F.size("events").cast("int").alias("n_events"), F.size("mapping").cast("int").alias("n_values")), f"SELECT id, {_masked} AS masked, CAST(3 AS INT) AS n_events, CAST(2 AS INT) AS n_values FROM ({_MAIL})")
+add("pii_mask_native", lambda s, d: mask.mask_native(shared(s, d, _MAIL), Config()).select("id", "masked", F.size("events").cast("int").alias("n_events"), F.size("mapping").cast("int").alias("n_values")), _oracles["pii_mask_documents"])
 add("pii_mask_anonymize", lambda s, d: mask.mask_documents(shared(s, d, _MAIL), Config(mode="anonymize")).select("id", "masked", F.exists("mapping", lambda m: m["reversible"]).alias("reversible")), f"SELECT id, {_masked} AS masked, false AS reversible FROM ({_MAIL})")
 add("pii_mask_passthrough", lambda s, d: mask.mask_documents(shared(s, d, _MAIL), Config().with_control(Control().toggled())).select("id", "masked"), f"SELECT id, text AS masked FROM ({_MAIL})")
 add("pii_mask_label_collision", lambda s, d: mask.mask_documents(shared(s, d, _EMP), Config(categories=("EMAIL",), custom_categories=(CustomCategory("CODE", label=_LABEL, patterns=("EMP-[0-9]{4}",)), CustomCategory("PRJ", placeholder=_LABEL, patterns=("PRJ-[0-9]+",))))).select("id", "masked"), f"SELECT id, regexp_replace(regexp_replace(text, 'EMP-[0-9]{{4}}', '[{_LABEL}B]'), 'PRJ-[0-9]+', '[{_LABEL}A]') AS masked FROM ({_EMP})")
@@ -350,8 +351,7 @@ add("pii_provider_chunks", _blocks, "SELECT c_custkey AS id, CAST((c_custkey % 7
 
 
 def _stripped(spark: SparkSession, d: str) -> DataFrame:
-    strip = F.udf(strip_honorific, "string", useArrow=True)
-    return shared(spark, d, f"SELECT c_custkey AS id, concat({_SURNAME}, {_TITLE}) AS text FROM customer").select("id", strip("text").alias("name"))
+    return shared(spark, d, f"SELECT c_custkey AS id, concat({_SURNAME}, {_TITLE}) AS text FROM customer").select("id", strip_honorific_column(F.col("text")).alias("name"))
 
 
 add("pii_strip_honorific", _stripped, f"SELECT c_custkey AS id, {_SURNAME} AS name FROM customer")

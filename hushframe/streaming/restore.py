@@ -194,9 +194,35 @@ def restore_chunks(chunks: DataFrame) -> DataFrame:
 
 
 def events_of(chunks: DataFrame) -> DataFrame:
-    """Events of whole streams (``stream_id, seq, chunk``) in built-in expressions: ``stream_id, event_no, event``."""
-    whole = chunks.groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "chunk"))), lambda x: x["chunk"]), "").alias("body"))
-    return whole.select("stream_id", F.posexplode(F.split("body", r"\r\n\r\n|\n\n")).alias("event_no", "event")).filter("event <> ''")
+    """Events of streams (``stream_id, seq, chunk``): ``stream_id, event_no, event``.
+
+    A task goes through its streams chunk by chunk and holds the event that isn't complete yet, not the stream. Empty
+    events are numbered but not given; what is left at a stream's end is an event.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, rest, number, started = None, "", 0, False
+        for batch in batches:
+            out = []
+            for stream, chunk in batch.itertuples(index=False, name=None):
+                if not started or stream != current:
+                    if rest:
+                        out.append((current, number, rest))
+                    current, rest, number, started = stream, "", 0, True
+                searched = max(0, len(rest) - 3)  # a boundary may begin in what was there
+                rest += chunk or ""
+                begin = 0
+                while (m := _BOUNDARY.search(rest, max(begin, searched))) is not None:
+                    if m.start() > begin:
+                        out.append((stream, number, rest[begin : m.start()]))
+                    begin, number = m.end(), number + 1
+                rest = rest[begin:]
+            yield pd.DataFrame(out, columns=["stream_id", "event_no", "event"])
+        if rest:
+            yield pd.DataFrame([(current, number, rest)], columns=["stream_id", "event_no", "event"])
+
+    kind = dict(chunks.dtypes)["stream_id"]
+    return chunks.select("stream_id", "seq", "chunk").repartition("stream_id").sortWithinPartitions("stream_id", "seq").select("stream_id", "chunk").mapInPandas(run, f"stream_id {kind}, event_no int, event string")
 
 
 def session_streams(chunks: DataFrame, mapping: DataFrame, session: str = "session") -> DataFrame:

@@ -103,3 +103,17 @@ def test_request_bodies(spark):
     assert [r["id"] for r in content.invalid_json(rows).collect()] == [2, 3]
     off = content.mask_requests(rows, ALL.with_control(Control().toggled())).collect()[0]
     assert off["masked"] == json.dumps(body)
+
+
+def test_native_equals_python(spark, sf_dir):
+    """Stages on stages, numbers from right to left, values met twice, allowlist, user patterns, dictionary; no Python in the plan."""
+    config = Config(categories=CATEGORIES, dictionary=(DictionaryEntry("erth", "ORG", exact=True), DictionaryEntry("a@b.co", "ORG")), allowlist=("10.0.0.1",), custom_categories=(CustomCategory("CODE", label="ク", patterns=("E[0-9]+",)),))
+    made = ["a@b.co x@y.example a@b.co", None, "", " \n", "E1 E2 E1 10.0.0.1 10.0.0.2", "株式会社テストの田中さんと山田太郎、桜丘高校", "[x] 田中さん [田中さん]", " ".join(f"u{k}@x.example" for k in range(30))]
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).collect()]
+    df = spark.createDataFrame([*docs, *((-k - 1, t) for k, t in enumerate(made))], "id long, text string")
+    native = mask.mask_native(df, config)
+    assert "Python" not in native._jdf.queryExecution().executedPlan().toString()
+    rows = lambda f: {r["id"]: (r["masked"], r["mapping"], r["events"]) for r in f.collect()}
+    assert rows(native) == rows(mask.mask_documents(df, config))
+    off = config.with_control(Control().toggled())
+    assert rows(mask.mask_native(df, off)) == rows(mask.mask_documents(df, off))

@@ -1,6 +1,7 @@
 """Streams restored at every cut, in batches and by Structured Streaming."""
 
 import json
+import re
 
 import pytest
 
@@ -79,3 +80,19 @@ def test_batch_and_streaming_agree(spark, tmp_path):
     got = spark.sql("SELECT * FROM restored")
     assert got.schema.simpleString() == f"struct<{OUTPUT.replace(' string', ':string').replace(' int', ':int').replace(', ', ',')}>"
     assert joined(got.collect()) == expected
+
+
+def test_events_at_every_cut(spark):
+    """However a stream is cut, its events are those of the whole."""
+    from hushframe.streaming.restore import events_of
+
+    body = "data: a\r\n\r\ndata: b\n\n\n\nid: 1\ndata: [x\n\r\n\r\n\nrest"
+    whole = [(k, e) for k, e in enumerate(re.split(r"\r\n\r\n|\n\n", body)) if e]
+    rows = []
+    for size in range(1, len(body) + 1):
+        parts = [body[k : k + size] for k in range(0, len(body), size)]
+        rows += [(f"s{size}", k, p) for k, p in enumerate(parts)] + [(f"s{size}", len(parts), None)]
+    got = {}
+    for r in events_of(spark.createDataFrame(rows, "stream_id string, seq int, chunk string").repartition(3)).collect():
+        got.setdefault(r["stream_id"], []).append((r["event_no"], r["event"]))
+    assert len(got) == len(body) and all(sorted(v) == whole for v in got.values())
