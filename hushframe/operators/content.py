@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.config import Config
-from hushframe.operators.mapping import MAPPING, Mapping, RowMapping, restore_column, restore_text
+from hushframe.operators.mapping import MAPPING, Mapping, OpenMapping, RowMapping, restore_column, restore_text
 from hushframe.operators.mask import Masker, _packed, number_rows, with_fields
 from hushframe.operators.provider import MAX_CHARS, provider_table
 from hushframe.operators.sessions import TTL_SECONDS, acquire
@@ -156,7 +156,7 @@ def mask_requests_with_provider(df: DataFrame, keys: Sequence[str], provider: Ca
     partition; a body's finds are then masked into its own mapping, text by text in order. The top-level system text isn't asked about.
     """
     config = config or Config()
-    rows = stored(mask_requests(df, config, body, plugins), "masked")
+    rows = stored(mask_requests(df, config, body, plugins, mapping_class=OpenMapping), "masked")
     texts = rows.select(*keys, F.posexplode(leaves(F.col("masked"))).alias("leaf", "x")).filter("x.section = 'messages'").select(*keys, "leaf", "x.text")
     found = provider_table(texts, [*keys, "leaf"], provider, config.active if config.is_enabled else (), "text", most)
     # A body's own texts only: as bounded as the body.
@@ -168,7 +168,7 @@ def mask_requests_with_provider(df: DataFrame, keys: Sequence[str], provider: Ca
         for text, rows_, at in zip(bodies, mappings, finds, strict=True):
             known = [dict(r) for r in rows_]
             if at is None or text is None:
-                out.append((text, known))
+                out.append((text, _packed(None, Mapping.of(known, config.reversible), [])["mapping"]))
                 continue
             spans = {int(k): [(s["text"], s["category"], s["start"], s["end"], s["confidence"]) for s in v] for k, v in dict(at).items()}
             mapping, leaf = Mapping.of(known, config.reversible), count()

@@ -63,6 +63,11 @@ class Mapping:
         self.rows.append((original, category, prefix, n, made, self.reversible))
         return made
 
+    @property
+    def shown(self) -> list[tuple]:
+        """The rows to give out: without originals where there is no way back."""
+        return self.rows if self.reversible else [(None, *r[1:]) for r in self.rows]
+
     @classmethod
     def of(cls, rows: list[dict], reversible: bool = True) -> Mapping:
         """A mapping that goes on from its rows."""
@@ -86,7 +91,15 @@ class Mapping:
         return max(map(len, self.originals), default=0)
 
 
-class RowMapping(Mapping):
+class OpenMapping(Mapping):
+    """A mapping that a later step goes on with, and that therefore shows its originals in any mode."""
+
+    @property
+    def shown(self) -> list[tuple]:
+        return self.rows
+
+
+class RowMapping(OpenMapping):
     """The placeholders of one row of a session. An original that holds another's placeholder is kept as it was at first."""
 
     name = staticmethod(private)

@@ -68,13 +68,14 @@ class Masker:
 
 
 def _packed(masked: str | None, mapping: Mapping, events: list[tuple]) -> dict:
-    return {"masked": masked, "mapping": [dict(zip(_ROW, r, strict=True)) for r in mapping.rows], "events": [dict(zip(_EVENT, e, strict=True)) for e in events]}
+    return {"masked": masked, "mapping": [dict(zip(_ROW, r, strict=True)) for r in mapping.shown], "events": [dict(zip(_EVENT, e, strict=True)) for e in events]}
 
 
 def mask_documents(df: DataFrame, config: Config | None = None, text: str = "text", plugins: Sequence = (), provider: Callable | None = None, mapping_class: type[Mapping] = Mapping, dictionary: StoredDictionary | None = None) -> DataFrame:
     """``df`` with ``masked``, ``mapping`` and ``events``, each row a session of its own.
 
-    A configuration that is disabled or in passthrough leaves texts as they are. Null texts stay null. Columns of those three
+    A configuration that is disabled or in passthrough leaves texts as they are. Null texts stay null. In anonymize mode
+    the mapping has no originals. Columns of those three
     names are replaced; all others come back as they were. ``dictionary``: entries
     of a table, after those of the configuration.
     """
@@ -126,6 +127,9 @@ def mask_native(df: DataFrame, config: Config | None = None, text: str = "text")
         masked = splice(F.col(t), F.reverse(spans), lambda x: F.element_at(names, x["text"]))  # noqa: B023
         last += 1
         out = out.withColumns({f"{own}t{last}": F.when(F.size(spans) > 0, masked).otherwise(F.col(t)), f"{own}rows": rows, f"{own}events": F.concat(F.col(f"{own}events"), events)})
+    if not config.reversible:
+        hidden = F.transform(f"{own}rows", lambda r: r.withField("original", F.lit(None).cast("string")))
+        out = out.withColumn(f"{own}rows", hidden)
     outputs = {"masked": f"{own}t{last}", "mapping": f"{own}rows", "events": f"{own}events"}
     return out.select(*[F.col(_quoted(c)) for c in df.columns if c not in outputs], *[F.col(c).alias(n) for n, c in outputs.items()])
 
@@ -180,7 +184,8 @@ def number_rows(rows: DataFrame, session: Sequence[str], order: Sequence[str], r
     named = salted_join(held, mapping.select(*session, "original", "placeholder"), [*session, "original"], order)
     # A row's own values only: as bounded as the row.
     renamed = named.groupBy(*session, *order).agg(F.map_from_entries(F.collect_list(F.struct(spelled(F.col("local")).alias("k"), spelled(F.col("placeholder")).alias("v")))).alias("__new"))
-    return mapping, renamed
+    shown = mapping if reversible else mapping.withColumn("original", F.lit(None).cast("string"))
+    return shown, renamed
 
 
 def mask_sessions_exact(df: DataFrame, session: str, order: Sequence[str], config: Config | None = None, text: str = "text", plugins: Sequence = (), provider: Callable | None = None, resets: str | None = None) -> DataFrame:

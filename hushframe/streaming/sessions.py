@@ -45,7 +45,7 @@ class StateMapping(Mapping):
         return made
 
     def taken(self) -> list[tuple]:
-        rows, self.rows = self.rows, []
+        rows, self.rows = self.shown, []
         return rows
 
     def clear(self) -> None:

@@ -117,3 +117,12 @@ def test_native_equals_python(spark, sf_dir):
     assert rows(native) == rows(mask.mask_documents(df, config))
     off = config.with_control(Control().toggled())
     assert rows(mask.mask_native(df, off)) == rows(mask.mask_documents(df, off))
+
+
+def test_anonymized_mappings_hold_no_originals(spark):
+    config = Config(mode="anonymize")
+    df = spark.createDataFrame([(1, 1, "a@b.co b@b.co"), (1, 2, "b@b.co")], "s int, n int, text string")
+    sessions, mapping = mask.mask_sessions(df, "s", ["n"], config)
+    assert [r["masked"] for r in sessions.orderBy("n").collect()] == [f"[{LABELS['EMAIL']}B] [{LABELS['EMAIL']}A]", f"[{LABELS['EMAIL']}A]"]
+    held = [*mapping.collect(), *(m for f in (mask.mask_documents, mask.mask_native) for r in f(df, config).collect() for m in r["mapping"])]
+    assert len(held) == 8 and all(m["original"] is None and not m["reversible"] for m in held)
