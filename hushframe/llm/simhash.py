@@ -363,9 +363,9 @@ def grouped(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Dat
         yield rest
 
 
-def possible(one: pd.DataFrame, other: pd.DataFrame) -> np.ndarray:
-    """Pairs of a node of ``one`` and one of ``other`` that aren't connected yet and that sizes, sketches and shared
-    shingles allow: in each part two nodes share at most the fewer of both."""
+def possible(one: pd.DataFrame, other: pd.DataFrame, agreed: int | None = AGREED) -> np.ndarray:
+    """Pairs of a node of ``one`` and one of ``other`` that aren't connected yet and that sizes, sketches (unless ``agreed`` is
+    None) and shared shingles allow: in each part two nodes share at most the fewer of both."""
     values = [[x[c].to_numpy() for c in ("node", "label", "size", "common")] for x in (one, other)]
     (node_a, label_a, size_a, common_a), (node_b, label_b, size_b, common_b) = values
     bytes_a, bytes_b = (np.ascontiguousarray(x[SKETCH].to_numpy(np.int64)).view(np.uint8) for x in (one, other))
@@ -377,15 +377,16 @@ def possible(one: pd.DataFrame, other: pd.DataFrame) -> np.ndarray:
         fit = np.not_equal.outer(label_a[at], label_b) & (np.minimum.outer(common_a[at], common_b) >= need)
         fit &= np.minimum.outer(size_a[at], size_b) >= SIMILARITY * np.maximum.outer(size_a[at], size_b) - 1e-9
         i, j = np.nonzero(fit)
-        near = (bytes_a[i + lo] == bytes_b[j]).sum(axis=1) >= AGREED
-        i, j = i[near], j[near]
+        if agreed is not None:
+            near = (bytes_a[i + lo] == bytes_b[j]).sum(axis=1) >= agreed
+            i, j = i[near], j[near]
         near = np.minimum(parts_a[i + lo], parts_b[j]).sum(axis=1) >= need[i, j]
         i, j = node_a[i[near] + lo], node_b[j[near]]
         found.append(np.stack([np.minimum(i, j), np.maximum(i, j)], axis=1))
     return np.concatenate(found)
 
 
-def in_blocks(rows: DataFrame) -> DataFrame:
+def in_blocks(rows: DataFrame, agreed: int | None = AGREED) -> DataFrame:
     """The distinct ``possible`` pairs ``a, b`` of each bucket's ``rows`` (``n``: how many it has). A bucket's rows are dealt to
     groups of about ``BLOCK``, and each two groups meet in a task of their own, which gives only those pairs."""
 
@@ -393,7 +394,7 @@ def in_blocks(rows: DataFrame) -> DataFrame:
         for rows in grouped(batches, ["bucket", "lo", "hi"]):
             lo, hi = (rows[rows["mine"] == rows[at].iloc[0]] for at in ("lo", "hi"))
             if len(lo) and len(hi):
-                found = np.unique(possible(lo, hi), axis=0)
+                found = np.unique(possible(lo, hi, agreed), axis=0)
                 yield pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
     count = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -403,12 +404,13 @@ def in_blocks(rows: DataFrame) -> DataFrame:
     return dealt.repartition(tasks, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInPandas(run, "a long, b long").distinct()
 
 
-def similar(texts: DataFrame) -> DataFrame:
+def similar(texts: DataFrame, agreed: int | None = AGREED) -> DataFrame:
     """``node, label`` of the nodes with links among ``node, text`` (a row a node). Texts that share a MinHash band
     are compared exactly. A node is linked only if at least ``SIMILARITY`` of its shingles occur in other nodes, so all others
     go first. In each bucket the node with the least share of shingles of its own, likely the one that the others are edits
     of, is compared with all others; then those pairs of a bucket that aren't connected yet, and whose sketches and shared
-    shingles, counted by part, allow it (``in_blocks``)."""
+    shingles, counted by part, allow it (``in_blocks``). With ``agreed=None`` sketches aren't asked, and no pair of a bucket is
+    passed over that exact bounds allow."""
     spark = texts.sparkSession
 
     def run(batches):
@@ -440,7 +442,7 @@ def similar(texts: DataFrame) -> DataFrame:
     labels = components(spark, found)
     apart = common.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     apart = with_bucket(apart, F.min("label").alias("lo"), F.max("label").alias("hi")).filter("of.lo <> of.hi").withColumn("n", F.col("of.n")).drop("of")
-    rest = in_blocks(apart.join(nodes.select("node", "parts", *SKETCH), "node")).join(stars, ["a", "b"], "left_anti")
+    rest = in_blocks(apart.join(nodes.select("node", "parts", *SKETCH), "node"), agreed).join(stars, ["a", "b"], "left_anti")
     more = stored(spark, verified(stored(spark, rest, "pairs"), held), "links")
     return components(spark, found.union(more))
 
