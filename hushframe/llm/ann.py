@@ -30,11 +30,13 @@ from hushframe.llm.common import file_system, make_importable, shared_dir, store
 K = 10
 EVERY = 100
 SAMPLE = 20_000
-TREES = 24
-LEAF = 16
-#: What a query's leaves should hold, as a share of the table, vectors that several trees reach counted as often. Two thirds
-#: are some 45 % of the vectors. Vectors without any structure need as much for a recall of 0.9; real embeddings need less.
-SEARCH_SHARE = 0.67
+TREES = 48
+LEAF = 8
+#: What a query's leaves should hold, as a share of the table, vectors that several trees reach counted as often: some 45 to
+#: 49 % of the vectors. Vectors without any structure need as much for a recall of 0.9; real embeddings need less.
+SEARCH_SHARE = 0.8
+#: And so many, counted likewise, for each neighbour asked for, which matters below some 800 vectors.
+LEAST = 60
 QUERY_BLOCK = 4096
 #: Vectors that a task compares with a query block at a time.
 CHUNK = 65_536
@@ -206,7 +208,7 @@ def nearest(table_: DataFrame, every: int = EVERY, k: int = K, trees: int = TREE
 
     def visit(batches):
         for batch in batches:
-            bits = [np.packbits(forest.value.search(np.asarray(v), search_share * count, keep)).tobytes() for v in batch["vector"]]
+            bits = [np.packbits(forest.value.search(np.asarray(v), max(search_share * count, LEAST * k), keep)).tobytes() for v in batch["vector"]]
             yield pd.DataFrame({"node": batch["node"], "vector": batch["vector"], "visited": bits})
 
     asked = rows.filter(F.col("vec_id") % every == 0)

@@ -165,7 +165,7 @@ def measured(points, queries, share, **forest):
     made = ann.RandomProjectionForest(points, 1.0, **forest)
     leaves, hits, seen = made.leaves(points), 0, 0.0
     for q in queries:
-        bits = made.search(points[q], share * len(points), 11)
+        bits = made.search(points[q], max(share * len(points), ann.LEAST * 10), 11)
         at = np.flatnonzero(bits[np.arange(len(made.trees)), leaves].any(axis=1))
         seen += len(at) / len(points)
         near = at[np.argsort(ann.distances(points[q], points[at]), kind="stable")][1:11]
@@ -174,16 +174,16 @@ def measured(points, queries, share, **forest):
 
 
 def test_forest_recall():
-    """No structure at all, as the query's own settings have it; and points in groups, for a twentieth of the table."""
+    """No structure at all, as the query's own settings have it; and points in groups, for a fifth of the table at most."""
     import pyarrow.parquet as pq
 
     points = np.array(pq.read_table("/root/testdata/sf0.1/embeddings.parquet")["embedding"].to_pylist(), np.float64)
-    recall, seen = measured(points, range(0, len(points), 50), ann.SEARCH_SHARE)
-    assert recall >= 0.9 and seen < 0.5, (recall, seen)
+    recall, seen = measured(points, range(0, len(points), 20), ann.SEARCH_SHARE)
+    assert recall >= 0.93 and seen < 0.5, (recall, seen)
     rng = np.random.default_rng(2)
     grouped = rng.normal(size=(60, 24))[rng.integers(0, 60, 4000)] * 4 + rng.normal(size=(4000, 24))
     recall, seen = measured(grouped, range(0, 4000, 100), 0.1)
-    assert recall >= 0.9 and seen < 0.1, (recall, seen)
+    assert recall >= 0.9 and seen < 0.2, (recall, seen)
 
 
 def test_search_finds_enough():
