@@ -9,8 +9,11 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from hushframe.llm import ann, fingerprints, lm_scoring, mixing, packing, simhash, token_files, toxicity, url_filters, warc
+from hushframe.llm.common import uniform
 from hushframe.llm.queries import queries
 from hushframe.llm.tokens import TextEncoder
 
@@ -485,6 +488,30 @@ def test_op10(spark, small):
     assert sorted(map(key, rows)) == sorted(map(key, Q["op10_mixing"](spark, small).collect()))
 
 
+@pytest.mark.parametrize("share", [0.4, 1.0, 1.5])
+def test_op10_takes_the_smallest_exponential_keys(spark, share):
+    """Which documents a source's fraction holds, by keys sorted one source at a time: ``-ln(u) / quality``, whole epochs first."""
+    rng = np.random.default_rng(12)
+    rows = [(k, " ".join(rng.choice(WORDS, int(rng.integers(1, 30)))) + "x" * int(rng.integers(0, 40)), "abc"[min(2, k % 5)]) for k in range(600)] + [(900, None, "a"), (901, "", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    drawn = {r["doc_id"]: r["u"] for r in docs.select("doc_id", uniform(F.col("doc_id"), F.xxhash64("text"), seed=mixing.SEED).alias("u")).collect()}
+    copies = {r["doc_id"]: r["copies"] for r in mixing.mix(docs, share=share).collect()}
+    sources = {}
+    for i, t, s in rows:
+        size = len((t or "").split())
+        weight = max(0.1, 1 / (1 + ((len(t) / max(size, 1) - 6) / 6) ** 2)) if t is not None else 0.1
+        sources.setdefault(s, []).append((-math.log(drawn[i]) / weight, i, size))
+    targets = mixing.share_out([(s, sum(n for _, _, n in x)) for s, x in sources.items()], share=share)
+    for s, x in sources.items():
+        total, before = sum(n for _, _, n in x), 0
+        epochs = min(int(targets[s] // total), 2)
+        budget = targets[s] - epochs * total if epochs < 2 else 0
+        for _, i, n in sorted(x):
+            once = n > 0 and budget > 0 and (budget - before) / n >= 0.5
+            assert copies[i] == epochs + once, (s, i)
+            before += n
+
+
 def test_mixing_with_repeated_rows(spark):
     """Rows equal in all columns, in id only, in text only, and with null ids; the stage returns what the mix takes."""
     rng = np.random.default_rng(8)
