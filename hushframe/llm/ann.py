@@ -51,7 +51,10 @@ class Tree:
         self.children: list[list[int]] = []  # >= 0: split, < 0: leaf -1 - number
         self.sizes: list[int] = []
         self.top = self._grow(sample, np.arange(len(sample)), leaf, rng, 0)
-        self.planes = np.array(self.normals) if self.normals else np.zeros((0, sample.shape[1]))
+        # As compact as can be: the trees are held whole by the driver and by each worker.
+        self.planes = np.array(self.normals, np.float32).reshape(-1, sample.shape[1])
+        self.children, self.offsets, self.sizes = np.array(self.children, np.int32).reshape(-1, 2), np.array(self.offsets), np.array(self.sizes)
+        del self.normals
 
     def _grow(self, sample: np.ndarray, rows: np.ndarray, leaf: int, rng: np.random.Generator, depth: int) -> int:
         for _ in range(4 if len(rows) > leaf and depth < 40 else 0):
@@ -77,11 +80,10 @@ class Tree:
 
     def leaves(self, vectors: np.ndarray) -> np.ndarray:
         at = np.full(len(vectors), self.top)
-        kids, offsets = np.array(self.children).reshape(-1, 2), np.array(self.offsets)
         while (open_ := np.flatnonzero(at >= 0)).size:
             nodes = at[open_]
-            right = np.einsum("ij,ij->i", vectors[open_], self.planes[nodes]) >= offsets[nodes]
-            at[open_] = kids[nodes, right.astype(int)]
+            right = np.einsum("ij,ij->i", vectors[open_], self.planes[nodes]) >= self.offsets[nodes]
+            at[open_] = self.children[nodes, right.astype(int)]
         return -1 - at
 
 
@@ -107,7 +109,7 @@ class RandomProjectionForest:
         """
         queue = [(0.0, t, tree.top) for t, tree in enumerate(self.trees)]
         heapq.heapify(queue)
-        sides = [tree.planes @ vector - np.array(tree.offsets) for tree in self.trees]
+        sides = [tree.planes @ vector.astype(np.float32) - tree.offsets for tree in self.trees]
         found, held = np.zeros((len(self.trees), self.most_leaves), bool), np.zeros(len(self.trees))
         while queue and (held.sum() < search_k or held.max() < least):
             far, t, node = heapq.heappop(queue)
@@ -115,9 +117,9 @@ class RandomProjectionForest:
                 found[t, -1 - node] = True
                 held[t] += self.trees[t].sizes[-1 - node] * self.scale
                 continue
-            side, kids = float(sides[t][node]), self.trees[t].children[node]
-            heapq.heappush(queue, (far, t, kids[side >= 0]))
-            heapq.heappush(queue, (far + side * side, t, kids[side < 0]))
+            side, (left, right) = float(sides[t][node]), self.trees[t].children[node].tolist()
+            heapq.heappush(queue, (far, t, right if side >= 0 else left))
+            heapq.heappush(queue, (far + side * side, t, left if side >= 0 else right))
         return found
 
 
