@@ -269,7 +269,9 @@ def _sessions_restored(spark: SparkSession, d: str) -> DataFrame:
 
 add("pii_restore_sessions", _sessions_restored, _TURNS)
 add("pii_restore_nested_token", lambda s, d: shared(s, d, customers(text_of("=[[人名A] [人名B] x", K))).select("id", restore_column(F.col("text"), F.create_map(F.lit("[人名A]"), F.lit("[人名B]"))).alias("restored")), "SELECT c_custkey AS id, concat('[[人名B] [人名B] x', c_custkey) AS restored FROM customer")
-add("pii_placeholder_letters", lambda s, d: shared(s, d, "SELECT c_custkey + 1 AS id FROM customer").select("id", letters_column(F.col("id")).alias("letters")), "SELECT id, CASE WHEN id > 18278 THEN chr(CAST(65 + (id - 18279) // 17576 AS INT)) ELSE '' END || CASE WHEN id > 702 THEN chr(CAST(65 + ((id - 703) // 676) % 26 AS INT)) ELSE '' END || CASE WHEN id > 26 THEN chr(CAST(65 + ((id - 27) // 26) % 26 AS INT)) ELSE '' END || chr(CAST(65 + (id - 1) % 26 AS INT)) AS letters FROM (SELECT c_custkey + 1 AS id FROM customer)")
+#: SQL of ``letters``: the k-th letter from the right is there from the first number on that has more than k letters; 13 letters number any long that occurs.
+_LETTERS = " || ".join(f"CASE WHEN id > {sum(26**j for j in range(1, k + 1))} THEN chr(CAST(65 + ((id - 1 - {sum(26**j for j in range(1, k + 1))}) // {26**k}) % 26 AS INT)) ELSE '' END" for k in range(12, -1, -1))
+add("pii_placeholder_letters", lambda s, d: shared(s, d, "SELECT c_custkey + 1 AS id FROM customer").select("id", letters_column(F.col("id")).alias("letters")), f"SELECT id, {_LETTERS} AS letters FROM (SELECT c_custkey + 1 AS id FROM customer)")
 add("pii_audit_events", lambda s, d: mask.audit_events(mask.mask_documents(shared(s, d, _MAIL), Config()), ["id"], Config()).select("id", "category", "placeholder", "confidence", F.col("position.start").alias("start_at"), F.col("position.end").alias("end_at"), "mode", "reviewRequired"), f"SELECT id, 'EMAIL' AS category, CASE WHEN value[1] = 'b' THEN '[{_LABEL}B]' ELSE '[{_LABEL}A]' END AS placeholder, CAST(1 AS DOUBLE) AS confidence, start_at, end_at, 'pseudonymize' AS mode, false AS \"reviewRequired\" FROM ({O.pattern_spans(_MAIL, 'P2')})")
 _REVIEW = customers(text_of("=secret of 田中さん ", K))
 add("pii_audit_review", lambda s, d: mask.audit_events(mask.mask_documents(shared(s, d, _REVIEW), Config(dictionary=(DictionaryEntry("secret", "ORG"),))), ["id"], Config()).groupBy("category").agg(F.count("*").alias("n"), F.count_if("reviewRequired").alias("to_review")), "SELECT unnest(['ORG', 'NAME']) AS category, count(*) AS n, CAST(0 AS BIGINT) AS to_review FROM customer GROUP BY 1")

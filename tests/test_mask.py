@@ -126,3 +126,14 @@ def test_anonymized_mappings_hold_no_originals(spark):
     assert [r["masked"] for r in sessions.orderBy("n").collect()] == [f"[{LABELS['EMAIL']}B] [{LABELS['EMAIL']}A]", f"[{LABELS['EMAIL']}A]"]
     held = [*mapping.collect(), *(m for f in (mask.mask_documents, mask.mask_native) for r in f(df, config).collect() for m in r["mapping"])]
     assert len(held) == 8 and all(m["original"] is None and not m["reversible"] for m in held)
+
+
+def test_letters_sql_beyond_four_letters():
+    """The SQL of pii_placeholder_letters states the rule for numbers of any length."""
+    import duckdb
+
+    from hushframe.plans.catalog import _LETTERS
+
+    numbers = [1, 26, 27, 702, 703, 18278, 18279, 475254, 475255, 900001, 12356630, 12356631, 26**9]
+    rows = duckdb.connect().execute(f"SELECT {_LETTERS} FROM (SELECT unnest({numbers}) AS id)").fetchall()
+    assert [r[0] for r in rows] == [letters(n) for n in numbers]
