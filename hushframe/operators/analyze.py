@@ -19,6 +19,10 @@ from hushframe.operators.dictionary_table import StoredDictionary, dictionary_co
 from hushframe.functions.spans import compiles, custom_spans, drop_allowed, is_blank, no_spans, regex_spans, resolve
 
 
+#: Parts for each core, so that a slow one doesn't keep the rest waiting.
+DEALS = 4
+
+
 def span_udf(find: Callable[[str], list[tuple]]):
     """An Arrow-batched function from texts to arrays of spans."""
 
@@ -111,10 +115,13 @@ def exploded(df: DataFrame, keys: Sequence[str], spans: str | Column = "spans")
     return df.select(*keys, F.explode_outer(spans).alias("x")).filter("x is not null")
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     """Rows dealt to all cores if the input has fewer files than there are cores; else as read.
 
-    Detection is narrow and costs far more than moving the text, so a table of one row group would keep one core busy.
+    Detection is narrow and costs far more than moving the text, so a table of one row group would keep one core busy. Rows
+    with a ``key`` that tells them apart are dealt by it, ``DEALS`` parts a core, which needs no sort of the few tasks that read them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    if len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores) if key is None else df.repartition(DEALS * cores, key)

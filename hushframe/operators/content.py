@@ -7,12 +7,13 @@ from collections.abc import Callable, Iterator, Sequence
 from itertools import count
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.config import Config
 from hushframe.operators.mapping import MAPPING, Mapping, OpenMapping, RowMapping, restore_column, restore_text
-from hushframe.operators.mask import Masker, _packed, number_rows, with_fields
+from hushframe.operators.mask import Masker, _packed, mapping_array, number_rows, parts_of, with_fields
 from hushframe.operators.provider import MAX_CHARS, provider_table
 from hushframe.operators.sessions import TTL_SECONDS, acquire
 from hushframe.operators.storage import stored
@@ -138,13 +139,16 @@ def mask_requests(df: DataFrame, config: Config | None = None, body: str = "body
     """
     config = config or Config()
 
-    @F.pandas_udf(f"struct<masked: string, mapping: {MAPPING}>")
-    def run(bodies: pd.Series) -> pd.DataFrame:
-        masker, out = Masker(config, plugins, provider), []
-        for b in bodies:
-            mapping = mapping_class(config.reversible)
-            out.append((masked_body(b, masker, mapping), _packed(None, mapping, [])["mapping"]))
-        return pd.DataFrame(out, columns=["masked", "mapping"])
+    @F.arrow_udf(f"struct<masked: string, mapping: {MAPPING}>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        masker = Masker(config, plugins, provider)
+        for bodies in (b for batch in batches for b in parts_of(batch)):
+            masked, rows = [], []
+            for b in bodies.to_pylist():
+                mapping = mapping_class(config.reversible)
+                masked.append(masked_body(b, masker, mapping))
+                rows.append(mapping.shown)
+            yield pa.StructArray.from_arrays([pa.array(masked, pa.string()), mapping_array(rows)], ["masked", "mapping"])
 
     return with_fields(df, run(body), "masked", "mapping")
 

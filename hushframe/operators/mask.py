@@ -9,9 +9,13 @@ whose detectors look into placeholders.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,10 +31,23 @@ from hushframe.operators.storage import stored
 
 EVENTS = "array<struct<category: string, placeholder: string, confidence: double, start: int, end: int>>"
 MASKED = f"struct<masked: string, mapping: {MAPPING}, events: {EVENTS}>"
+#: Texts that are masked together, and bytes of them.
+PART_ROWS, PART_CHARS = 10_000, 4_000_000
 _ROW = ("original", "category", "prefix", "seq", "placeholder", "reversible")
 _EVENT = ("category", "placeholder", "confidence", "start", "end")
 
 
+def parts_of(texts: pa.Array, rows: int = PART_ROWS, chars: int = PART_CHARS) -> Iterator[pa.Array]:
+    """A batch in stretches of bounded rows and bytes of text, so that what is found in one is bounded as well."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = sizes[at - 1] if at else 0
+        end = min(at + rows, max(at + 1, int(np.searchsorted(sizes, before + chars, "right"))))
+        yield texts.slice(at, end - at)
+        at = end
+
+
 class Masker:
     """Masks one text at a time into a session's mapping."""
 
@@ -67,6 +84,21 @@ class Masker:
         return text, events
 
 
+def listed_structs(lists: Sequence[Sequence[tuple]], names: Sequence[str], kinds: Sequence) -> pa.ListArray:
+    """Lists of tuples as one Arrow array of lists of structs, field by field."""
+    offsets = np.cumsum([0, *map(len, lists)], dtype=np.int32)
+    fields = list(zip(*chain.from_iterable(lists), strict=True)) or [()] * len(names)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(f, k) for f, k in zip(fields, kinds, strict=True)], list(names)))
+
+
+def mapping_array(rows: Sequence[Sequence[tuple]]) -> pa.ListArray:
+    return listed_structs(rows, _ROW, (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.bool_()))
+
+
+def events_array(events: Sequence[Sequence[tuple]]) -> pa.ListArray:
+    return listed_structs(events, _EVENT, (pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int32()))
+
+
 def _packed(masked: str | None, mapping: Mapping, events: list[tuple]) -> dict:
     return {"masked": masked, "mapping": [dict(zip(_ROW, r, strict=True)) for r in mapping.shown], "events": [dict(zip(_EVENT, e, strict=True)) for e in events]}
 
@@ -81,15 +113,20 @@ def mask_documents(df: DataFrame, config: Config | None = None, text: str = "tex
     """
     config = config or Config()
 
-    @F.pandas_udf(MASKED)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        masker, out = Masker(config, plugins, provider), []
-        found = dictionary.find(list(texts)) if dictionary is not None and config.is_enabled else [()] * len(texts)
-        for t, listed in zip(texts, found, strict=True):
-            mapping = mapping_class(config.reversible)
-            masked, events = masker.mask(t, mapping, listed=listed) if config.is_enabled else (t, [])
-            out.append(_packed(masked, mapping, events))
-        return pd.DataFrame(out, columns=["masked", "mapping", "events"])
+    @F.arrow_udf(MASKED)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        masker = Masker(config, plugins, provider)
+        for texts in (b for batch in batches for b in parts_of(batch)):
+            known = texts.to_pylist()
+            found = dictionary.find(known) if dictionary is not None and config.is_enabled else [()] * len(known)
+            masked, rows, events = [], [], []
+            for t, listed in zip(known, found, strict=True):
+                mapping = mapping_class(config.reversible)
+                made, met = masker.mask(t, mapping, listed=listed) if config.is_enabled else (t, [])
+                masked.append(made)
+                rows.append(mapping.shown)
+                events.append(met)
+            yield pa.StructArray.from_arrays([pa.array(masked, pa.string()), mapping_array(rows), events_array(events)], ["masked", "mapping", "events"])
 
     return with_fields(df, run(text), "masked", "mapping", "events")
 

@@ -67,3 +67,13 @@ def test_sessions(spark):
     rows = [(1, at(0), {"x-session-id": "a"}, "c"), (2, at(1799), {"x-pii-session-id": "a"}, "c"), (3, at(3599), {"x-session-id": " a "}, "c"), (4, at(3600), {"x-session-id": "a", "x-pii-session-reset": "TRUE"}, "c"), (5, at(0), {}, "a"), (6, at(9999), {"x-session-id": " "}, "a")]
     got = {r["id"]: (r["session"], r["epoch"]) for r in sessions.acquire(spark.createDataFrame(rows, "id int, ts timestamp, headers map<string,string>, conn_id string")).collect()}
     assert got == {1: ("id:a", 1), 2: ("id:a", 1), 3: ("id:a", 2), 4: ("id:a", 3), 5: ("connection:a", 1), 6: ("connection:a", 1)}
+
+
+def test_messages_of_one_file_are_dealt(spark, sf_dir):
+    """Tables of which messages are made are often one file of one row group: all cores get rows of it."""
+    from hushframe.plans.catalog import shared
+
+    for name, key in (("customer", "c_custkey"), ("orders", "o_orderkey"), ("events", "event_id")):
+        rows = shared(spark, sf_dir, f"SELECT {key} AS id FROM {name}")
+        assert rows.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+        assert rows.count() == spark.read.parquet(f"{sf_dir}/{name}.parquet").count()
