@@ -36,6 +36,8 @@ A_FILE = "byte_bpe_50k.json"
 B_FILE = "piece_bpe_32k.model"
 #: A block ends when its texts reach so many characters.
 BLOCK_CHARS = 8_000_000
+#: Bytes of blocks that are written, and read, at once.
+ROW_GROUP = 16 * 1024 * 1024
 #: Of aligned units, a worker keeps those of the last so many, and of as many before them, from block to block.
 MAX_UNITS = 200_000
 #: Documents are aligned together until their texts reach so many characters.
@@ -226,13 +228,12 @@ class _Block:
             *(pa.array([list(doc[k])], pa.list_(kind)) for k, kind in enumerate([pa.int64()] * 5 + [pa.string(), pa.binary()])),
             pa.array([sizes.astype("<i4").tobytes()], pa.binary()),
             pa.array([at.astype("<i4").tobytes()], pa.binary()),
-            pa.array([pairs], pa.list_(pa.int64())),
-            pa.array([counts], pa.list_(pa.int64())),
+            pa.ListArray.from_arrays(pa.array([0, len(pairs)], pa.int32()), pa.StructArray.from_arrays([pa.array(pairs, pa.int64()), pa.array(counts, pa.int64())], ["pair", "n"])),
         ]
-        return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _BLOCK.split(", ")])
+        return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _BLOCK.split(", ")[:11]])
 
 
-_BLOCK = "block long, doc_ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, digests array<string>, units array<binary>, unit_links binary, link_pairs binary, pairs array<long>, counts array<long>"
+_BLOCK = "block long, doc_ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, digests array<string>, units array<binary>, unit_links binary, link_pairs binary, pairs array<struct<pair: long, n: long>>"
 
 
 def blocks(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, block_chars: int = BLOCK_CHARS, max_units: int = MAX_UNITS) -> DataFrame:
@@ -271,7 +272,7 @@ def blocks(docs: DataFrame, a_path: str | None = None, b_path: str | None = None
 def pair_counts(aligned: DataFrame) -> DataFrame:
     """``pair, count, best``: how many links of the corpus hold A id ``pair >> 32`` and B id ``pair & 0xffffffff``,
     and whether no other A id is linked to that B id more often."""
-    each = aligned.select(F.explode(F.arrays_zip("pairs", "counts")).alias("x")).select(F.col("x.pairs").alias("pair"), F.col("x.counts").alias("n"))
+    each = aligned.select(F.inline("pairs"))
     counted = stored(aligned.sparkSession, each.groupBy("pair").agg(F.sum("n").alias("count")), "pairs")
     b = F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))
     highest = counted.groupBy(b.alias("b")).agg(F.max("count").alias("highest"))  # a row a B id: bounded by B's vocabulary
@@ -280,31 +281,30 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
 
 def aligned_documents(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """A row a document: ``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256``."""
-    aligned = stored(docs.sparkSession, blocks(docs, a_path, b_path, block_chars), "aligned")
-    asked = aligned.select("block", F.posexplode("pairs").alias("at", "pair"))
-    answers = asked.join(pair_counts(aligned), "pair").select("block", F.struct("at", "count", "best").alias("x"))
-    # A block's pairs are as bounded as the block.
-    by_block = answers.groupBy("block").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    by_block = by_block.select("block", F.col("xs.count").alias("counts"), F.col("xs.best").alias("best"))
-    met = aligned.drop("pairs", "counts").join(by_block, "block", "left")
-
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1)
-                one = lambda name: row.column(name)[0]  # noqa: E731, B023
-                flat = lambda name, kind: np.asarray(one(name).values, kind) if one(name).is_valid else np.zeros(0, kind)  # noqa: E731, B023
-                links, sizes = np.frombuffer(one("link_pairs").as_py(), "<i4"), np.frombuffer(one("unit_links").as_py(), "<i4")
-                unit = np.repeat(np.arange(len(sizes)), sizes)
-                per_count, per_best = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-                np.add.at(per_count, unit, flat("counts", np.int64)[links])
-                np.add.at(per_best, unit, flat("best", bool)[links].astype(np.int64))
-                used = [np.frombuffer(x.as_py(), "<i4") for x in one("units").values]
-                best, total = ([int(per[x].sum()) for x in used] for per in (per_best, per_count))
-                same = [one(name).values for name in ("doc_ids", "n_a", "n_b", "n_groups", "n_links")]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(best, pa.int64()), pa.array(total, pa.int64()), one("digests").values], _RESULT)
-
-    return met.mapInArrow(add_up, ", ".join(f"{n} {'string' if n == 'groups_sha256' else 'long'}" for n in _RESULT))
+    aligned = stored(docs.sparkSession, blocks(docs, a_path, b_path, block_chars), "aligned", ROW_GROUP)
+    asked = aligned.select("block", F.posexplode("pairs.pair").alias("at", "pair"))
+    answers = asked.join(pair_counts(aligned), "pair").select(F.col("block").alias("of"), "at", "count", "best")
+
+    def add_up(row: pa.Table, found: pa.Table) -> pa.Table:
+        """One block and its pairs' answers: all that a task holds at a time."""
+        row = row.combine_chunks()
+        one = lambda name: row.column(name)[0]
+        at = found.column("at").to_numpy()
+        counts, best = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        counts[at], best[at] = found.column("count").to_numpy(), found.column("best").to_numpy()
+        links, sizes = np.frombuffer(one("link_pairs").as_py(), "<i4"), np.frombuffer(one("unit_links").as_py(), "<i4")
+        unit = np.repeat(np.arange(len(sizes)), sizes)
+        per_count, per_best = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+        np.add.at(per_count, unit, counts[links])
+        np.add.at(per_best, unit, best[links])
+        used = [np.frombuffer(x.as_py(), "<i4") for x in one("units").values]
+        bests, totals = ([int(per[x].sum()) for x in used] for per in (per_best, per_count))
+        same = [one(name).values for name in ("doc_ids", "n_a", "n_b", "n_groups", "n_links")]
+        return pa.Table.from_arrays([*same, pa.array(bests, pa.int64()), pa.array(totals, pa.int64()), one("digests").values], _RESULT)
+
+    # A block at a time, however many of them a partition has: neither they nor their answers become one batch or one row.
+    met = aligned.drop("pairs").groupBy("block").cogroup(answers.groupBy("of"))
+    return met.applyInArrow(add_up, ", ".join(f"{n} {'string' if n == 'groups_sha256' else 'long'}" for n in _RESULT))
 
 
 _RESULT = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]

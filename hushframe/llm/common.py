@@ -50,10 +50,14 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return posixpath.join(base, f"hushframe-{name}-{uuid.uuid4().hex[:12]}")
 
 
-def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """The same rows from a table written to the shared folder: cuts lineage, survives lost executors."""
+def stored(spark: SparkSession, df: DataFrame, name: str, row_group: int | None = None) -> DataFrame:
+    """The same rows from a table written to the shared folder: cuts lineage, survives lost executors.
+
+    ``row_group``: bytes of one, for tables of large rows, as all rows of a group may be held at once.
+    """
     path = shared_dir(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.option("parquet.block.size", row_group) if row_group else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -299,3 +299,15 @@ def test_labelled_documents(spark, sf_dir):
             assert not r["kept"], r
         if labels.get(r["doc_id"]) == 1:
             assert r["kept"] or r["base_failed"], r
+
+
+def test_alignment_adds_up_a_block_at_a_time(spark):
+    """However many blocks one partition has, no step takes more than one of them as a batch or gathers answers in a row."""
+    from hushframe.llm import alignment
+
+    docs = spark.createDataFrame([(k, f"some words {k} and others, once more {k % 7}") for k in range(60)] + [(99, None), (100, "")], "doc_id long, text string")
+    few = alignment.aligned_documents(docs.repartition(1), block_chars=1)
+    plan = few._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan
+    whole = {tuple(r) for r in alignment.aligned_documents(docs.repartition(3)).collect()}
+    assert {tuple(r) for r in few.collect()} == whole and len(whole) == 62
