@@ -1,8 +1,8 @@
 """A table as dictionary: entries by the hundred thousand and more, found without growing the plan.
 
-Entries are cut into shards of a bounded number of characters, each written to the shared folder. A task builds a shard's automaton,
-goes over its texts with it, then takes the next shard: neither the driver nor a task holds more than one, and nothing is
-broadcast or shuffled but the entries themselves. A dictionary of one shard (the usual case) is read once a worker.
+Entries are cut into shards of a bounded number of characters, each written to the shared folder. A worker holds an index of as many
+shards as ``HELD_CHARS`` allows (usually all, then read once), goes over a bounded stretch of text with it, then takes the next ones: neither the driver
+nor a task holds more, and nothing is broadcast or shuffled but the entries themselves.
 """
 
 from __future__ import annotations
@@ -12,54 +12,59 @@ import posixpath
 import uuid
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.config import DictionaryEntry
-from hushframe.functions.automaton import EntryMatcher
+from hushframe.functions.entry_index import EntryIndex
 from hushframe.functions.categories import SPANS
+from hushframe.operators.arrow import listed_structs, parts_of
 from hushframe.operators.storage import shared_folder
 
-#: Characters of entries in a shard; its automaton takes some hundred bytes for each.
+#: Characters of entries in a shard.
 SHARD_CHARS = 1_000_000
-#: Characters of text that a task goes over with one shard after the other.
-TOGETHER_CHARS = 16_000_000
+#: Characters of entries that a worker holds; they take two to three bytes each in an index. More are gone over group by group.
+HELD_CHARS = 400_000_000
+#: Bytes of text that a task goes over at a time.
+TOGETHER_CHARS = 1_000_000
 _FIELDS = ("text", "category", "start", "end", "confidence")
 
-_held: tuple[str, EntryMatcher] | None = None
+_held: tuple[tuple[str, ...], EntryIndex] | None = None
 
 
-def _matcher(uri: str, keep: bool) -> EntryMatcher:
-    """A shard's automaton; the last one is kept in the worker."""
+def _index(uris: tuple[str, ...]) -> EntryIndex:
+    """Some shards' index; the last one is kept in the worker."""
     global _held
-    if _held is not None and _held[0] == uri:
+    if _held is not None and _held[0] == uris:
         return _held[1]
     import pyarrow.dataset as ds
     from pyarrow import fs
 
-    files, path = (fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")) if uri.startswith("file:") else fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
-    rows = ds.dataset(path, filesystem=files, format="parquet").to_table().to_pydict()
+    tables = []
     _held = None  # not two at a time
-    made = EntryMatcher((DictionaryEntry(*x) for x in zip(rows["text"], rows["category"], rows["exact"], rows["case_sensitive"], rows["fold_width"], strict=True)), rows["rank"])
-    if keep:
-        _held = (uri, made)
+    for uri in uris:
+        files, path = (fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")) if uri.startswith("file:") else fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+        tables.append(ds.dataset(path, filesystem=files, format="parquet").to_table(columns=["text", "category", "exact", "case_sensitive", "fold_width", "rank"]))
+    rows = pa.concat_tables(tables).to_pydict()
+    made = EntryIndex(rows["text"], rows["category"], rows["exact"], rows["case_sensitive"], rows["fold_width"], rows["rank"])
+    _held = (uris, made)
     return made
 
 
 class StoredDictionary:
     """Entries in shards below the shared folder."""
 
-    def __init__(self, uris: list[str]):
+    def __init__(self, uris: list[str], shard_chars: int = SHARD_CHARS):
+        n = max(1, HELD_CHARS // shard_chars)
         self.uris = uris
+        self.groups = [tuple(uris[k : k + n]) for k in range(0, len(uris), n)]
 
     def find(self, texts: list[str | None]) -> list[list[tuple]]:
         """Spans of each text, in order of the entries, then of place."""
         parts: list[list[list]] = [[] for _ in texts]
-        for uri in self.uris:
-            made = _matcher(uri, True)
-            for k, text in enumerate(texts):
-                if found := made.ranked(text):
+        for uris in self.groups:
+            for k, found in enumerate(_index(uris).find(texts)):
+                if found:
                     parts[k].append(found)
         return [[s for _, s in heapq.merge(*p, key=lambda x: (x[0], x[1][2]))] for p in parts]
 
@@ -88,23 +93,17 @@ def stored_dictionary(entries: DataFrame, categories: Sequence[str] | None = Non
         shard = F.pmod(F.xxhash64("text", "category", "rank"), F.lit(count)).cast("int")
         rows.withColumn("shard", shard).repartition(int(count), "shard").write.partitionBy("shard").parquet(path)
     held = [r[0] for r in spark.read.parquet(path).select("shard").distinct().orderBy("shard").collect()] if count else []  # one row a shard
-    return StoredDictionary([f"{path}/shard={k}" for k in held])
+    return StoredDictionary([f"{path}/shard={k}" for k in held], shard_chars)
 
 
 def dictionary_column(text: Column | str, dictionary: StoredDictionary) -> Column:
     """Spans of a dictionary's entries in a text column."""
 
-    @F.pandas_udf(SPANS)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            found, some, chars = [], [], 0
-            for t in texts:
-                some.append(t)
-                chars += len(t or "")
-                if chars >= TOGETHER_CHARS:
-                    found += dictionary.find(some)
-                    some, chars = [], 0
-            found += dictionary.find(some)
-            yield pd.Series([[dict(zip(_FIELDS, s, strict=True)) for s in spans] for spans in found])
+    @F.arrow_udf(SPANS)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        # A task's texts in stretches, as what is found takes far more than they do.
+        for batch in batches:
+            for texts in parts_of(batch, chars=TOGETHER_CHARS):
+                yield listed_structs(dictionary.find(texts.to_pylist()), _FIELDS, (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float64()))
 
     return run(text)

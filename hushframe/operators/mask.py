@@ -10,12 +10,9 @@ whose detectors look into placeholders.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from itertools import chain
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +21,7 @@ from hushframe.functions.detect import Detector, Span, is_blank, select
 from hushframe.functions.spans import drop_allowed, literal, no_spans, resolve, splice
 from hushframe.functions.spans import is_blank as is_blank_column
 from hushframe.operators.analyze import apart, dictionary_part, heuristic_parts, pattern_part
+from hushframe.operators.arrow import listed_structs, parts_of
 from hushframe.operators.dictionary_table import StoredDictionary
 from hushframe.operators.mapping import MAPPING, TOKEN, Mapping, RowMapping, letters_column, restore_column
 from hushframe.operators.slices import numbered, salted_join
@@ -31,23 +29,10 @@ from hushframe.operators.storage import stored
 
 EVENTS = "array<struct<category: string, placeholder: string, confidence: double, start: int, end: int>>"
 MASKED = f"struct<masked: string, mapping: {MAPPING}, events: {EVENTS}>"
-#: Texts that are masked together, and bytes of them.
-PART_ROWS, PART_CHARS = 10_000, 4_000_000
 _ROW = ("original", "category", "prefix", "seq", "placeholder", "reversible")
 _EVENT = ("category", "placeholder", "confidence", "start", "end")
 
 
-def parts_of(texts: pa.Array, rows: int = PART_ROWS, chars: int = PART_CHARS) -> Iterator[pa.Array]:
-    """A batch in stretches of bounded rows and bytes of text, so that what is found in one is bounded as well."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < len(texts):
-        before = sizes[at - 1] if at else 0
-        end = min(at + rows, max(at + 1, int(np.searchsorted(sizes, before + chars, "right"))))
-        yield texts.slice(at, end - at)
-        at = end
-
-
 class Masker:
     """Masks one text at a time into a session's mapping."""
 
@@ -84,13 +69,6 @@ class Masker:
         return text, events
 
 
-def listed_structs(lists: Sequence[Sequence[tuple]], names: Sequence[str], kinds: Sequence) -> pa.ListArray:
-    """Lists of tuples as one Arrow array of lists of structs, field by field."""
-    offsets = np.cumsum([0, *map(len, lists)], dtype=np.int32)
-    fields = list(zip(*chain.from_iterable(lists), strict=True)) or [()] * len(names)
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(f, k) for f, k in zip(fields, kinds, strict=True)], list(names)))
-
-
 def mapping_array(rows: Sequence[Sequence[tuple]]) -> pa.ListArray:
     return listed_structs(rows, _ROW, (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.bool_()))
 

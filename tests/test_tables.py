@@ -116,3 +116,24 @@ def test_names_of_columns_do_not_clash(spark):
         assert len(made.columns) == len(set(made.columns)) == len(set(docs.columns) | replaced)
         assert all(row[n] == n for n in names if n not in replaced) and row["a.b"] == 1 and row["held"] == {"k": 1} and row["text"] == "to a@b.co"
     assert analyze(docs).first()["spans"][0]["text"] == "a@b.co" and mask.mask_documents(docs).first()["masked"].endswith("A]")
+
+
+@given(st.lists(ENTRY, max_size=6), st.lists(st.one_of(st.none(), st.text(LETTERS, max_size=30)), max_size=4))
+def test_entry_index_is_the_automaton(entries, texts):
+    from hushframe.functions.entry_index import EntryIndex
+
+    fields = ("text", "category", "exact", "case_sensitive", "fold_width")
+    made = EntryIndex(*([getattr(e, f) for e in entries] for f in fields), list(range(len(entries))))
+    assert made.find(texts) == [EntryMatcher(entries).ranked(t) for t in texts]
+
+
+def test_stretches_are_bounded():
+    """What a task holds of its finds doesn't grow with the batch."""
+    import pyarrow as pa
+
+    from hushframe.operators.arrow import parts_of
+
+    batch = pa.array(["x" * 100, None, "y" * 900, "z" * 50, ""] * 20)
+    parts = list(parts_of(batch, rows=7, chars=1000))
+    assert pa.concat_arrays(parts).equals(batch)
+    assert all(len(p) <= 7 and sum(len(t or "") for t in p.to_pylist()) <= 1000 for p in parts)
