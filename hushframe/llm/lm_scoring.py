@@ -1,6 +1,6 @@
 """Language-model scores by a hierarchical Pitman-Yor model, seated by Gibbs sampling.
 
-Restaurants: one for each context, a preceding word seen at least ``MIN_CONTEXT`` times in training (1: every word);
+Restaurants: one for each context, a preceding word seen at least ``MIN_CONTEXT`` times in training (1, the default: every word);
 their shared parent, the unigram restaurant, where tokens in other contexts sit too; above it the uniform distribution
 over the training words and one unknown. So contexts grow with the corpus. Of a dish in a restaurant the state is its
 number of tables. A sweep draws it anew from its exact conditional: weights of the generalised Stirling numbers times the
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from hushframe.llm.common import make_importable, shared_dir, stored, table
 
 FOLDS, HELD_OUT = 7, 2
-MIN_CONTEXT = 10
+MIN_CONTEXT = 1
 BURN_IN, SAMPLES = 2, 3
 STRENGTH = 1.0
 #: Customers of a dish up to which its tables are drawn exactly.

@@ -193,3 +193,26 @@ def test_search_finds_enough():
     for v in points:
         assert made.search(v, 1, 11)[np.arange(len(made.trees)), leaves].any(axis=1).sum() >= 11
 
+
+
+def test_op7_every_preceding_word_is_a_context():
+    """Nothing is left out of the hierarchy by default: words seen once in training have restaurants."""
+    import pandas as pd
+
+    from hushframe.llm import lm_scoring as L
+
+    hashes = L.hash_words([b"once", b"often", L.END])
+    order = hashes.argsort()
+    words = pd.DataFrame({"at": [0], "of": [0], "data": [L.dump(hashes=hashes[order], counts=np.array([1, 50, 9])[order])]})
+    frames = []
+
+    class Words:
+        def groupBy(self, *_):
+            return self
+
+        def applyInPandas(self, run, _):
+            frames.append(run(words))
+
+    L.counted(Words(), L.MIN_CONTEXT)
+    rank = L.load(frames[0]["data"].iloc[1])["rank"]
+    assert (rank[np.argsort(order)][:2] >= 0).all() and rank[np.argsort(order)][2] == -1
