@@ -4,6 +4,7 @@ import json
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -183,3 +184,39 @@ def test_timers_clear_state_without_new_requests(stateful, tmp_path):
         assert held() == 0
     finally:
         query.stop()
+
+
+def test_a_micro_batch_writes_its_last_epoch_only(spark):
+    """Bodies come to the state masked; of a session's many epochs in a micro-batch the states see what stays."""
+    class States(dict):
+        writes = 0
+
+        def containsKey(self, k):
+            return k in self
+
+        def updateValue(self, k, v):
+            States.writes += 1
+            self[k] = v
+
+    class Seen:
+        exists = staticmethod(lambda: False)
+        update = staticmethod(lambda row: None)
+
+    class Handle:
+        registerTimer = staticmethod(lambda at: None)
+
+    class Clock:
+        getCurrentProcessingTimeInMs = staticmethod(lambda: 0)
+
+    found = lambda k: json.dumps([{"original": f"u{k % 3}@x.co", "category": "EMAIL", "prefix": E, "placeholder": f"[{E}\U000f0000]"}])
+    rows = [(k, float(k), k % 10 == 0, f'"[{E}\U000f0000]"', found(k)) for k in range(200)]
+    masker = sessions.SessionMasker(MAIL, ["id"])
+    masker.handle, masker.values, masker.counters, masker.seen = Handle(), States(), States(), Seen()
+    batches = (pd.DataFrame(rows[lo : lo + 70][::-1], columns=["key0", "asked_at", "resets", "masked", "found"]) for lo in (140, 0, 70))
+    out = pd.concat(masker.handleInputRows(("id:s",), batches, Clock())).sort_values("id")
+    assert States.writes == 4 and out["epoch"].tolist() == [k // 10 + 1 for k in range(200)]
+    held = {}
+    for k, masked, mapping in out[["id", "masked", "mapping"]].itertuples(index=False):
+        held = {} if k % 10 == 0 else held
+        new = f"u{k % 3}@x.co" not in held
+        assert masked == f'"[{E}{letters(held.setdefault(f"u{k % 3}@x.co", len(held) + 1))}]"' and len(mapping) == new
