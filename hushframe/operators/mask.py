@@ -234,7 +234,8 @@ def mask_sessions_exact(df: DataFrame, session: str, order: Sequence[str], confi
 def audit_events(masked: DataFrame, keys: Sequence[str], config: Config | None = None) -> DataFrame:
     """Metadata of each masked occurrence, never its text."""
     config = config or Config()
-    e = masked.select(*keys, F.explode("events").alias("e"))
+    # As in ``exploded``: a plain explode would mask all rows twice, the first time in the few tasks that read them.
+    e = masked.select(*keys, F.explode_outer("events").alias("e")).filter("e is not null")
     return e.select(*keys, F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp"), "e.category", "e.placeholder", "e.confidence", F.struct("e.start", "e.end").alias("position"), F.lit(config.mode).alias("mode"), (F.col("e.confidence") < config.audit.review_threshold).alias("reviewRequired"))
 
 

@@ -137,3 +137,11 @@ def test_letters_sql_beyond_four_letters():
     numbers = [1, 26, 27, 702, 703, 18278, 18279, 475254, 475255, 900001, 12356630, 12356631, 26**9]
     rows = duckdb.connect().execute(f"SELECT {_LETTERS} FROM (SELECT unnest({numbers}) AS id)").fetchall()
     assert [r[0] for r in rows] == [letters(n) for n in numbers]
+
+
+def test_audit_events_mask_once(spark):
+    """What is exploded isn't asked for its size first: that would mask each row twice, and before rows are dealt."""
+    df = spark.createDataFrame([(1, "a@b.co and c@d.co"), (2, "none"), (3, None)], "id int, text string").repartition(3, "id")
+    events = mask.audit_events(mask.mask_documents(df, Config(categories=("EMAIL",))), ["id"])
+    assert sorted((r["id"], r["position"]["start"]) for r in events.collect()) == [(1, 0), (1, 11)]
+    assert events._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
