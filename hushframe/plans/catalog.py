@@ -25,7 +25,7 @@ from hushframe.operators.analyze import analyze, exploded, span_udf, spread
 from hushframe.operators.dictionary_table import StoredDictionary, dictionary_column, stored_dictionary
 from hushframe.operators.mapping import letters_column, restore_column
 from hushframe.operators.provider import chunk_blocks, parse_detections, provider_table, strip_honorific_column
-from hushframe.operators.storage import shared_folder
+from hushframe.operators.storage import shared_folder, stored
 from hushframe.plans import oracle as O
 from hushframe.sources import requests
 from hushframe.streaming.restore import events_of, restore_chunks
@@ -494,7 +494,7 @@ add("pii_mask_sessions_sql", _partitioned, _oracles["pii_mask_sessions"])
 def _audit_log(spark: SparkSession, d: str) -> DataFrame:
     """Written twice, as by a micro-batch that is repeated, and read back."""
     path = f"{shared_folder(spark)}/hushframe-audit-{uuid.uuid4().hex[:12]}"
-    events = mask.audit_events(mask.mask_documents(shared(spark, d, _MAIL), Config()), ["id"], Config())
+    events = stored(mask.audit_events(mask.mask_documents(shared(spark, d, _MAIL), Config()), ["id"], Config()), "audit")
     for _ in range(2):
         requests.write_audit(events, path, 0)
     log = requests.read_audit(spark, path)
