@@ -75,7 +75,7 @@ def epochs(df: DataFrame, group: str, time: str, order: Sequence[str], ttl: floa
 def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> DataFrame:
     """Keys with more than a share of all rows: fewer than ``1 / share``."""
     counts = df.groupBy(*keys).agg(F.count("*").alias("__n"))
-    total = df.agg((F.count("*") * F.lit(share)).alias("__least"))
+    total = counts.agg((F.sum("__n") * F.lit(share)).alias("__least"))
     return counts.join(F.broadcast(total), F.col("__n") > F.col("__least")).select(*keys)
 
 

@@ -30,6 +30,7 @@ def without_allowed(spans: DataFrame, allowlist: DataFrame, value: str = "value"
     size = rows.agg(F.sum(F.octet_length("__allowed") + 32)).first()[0] or 0
     if size <= broadcast_bytes:
         return spans.join(F.broadcast(rows), F.col(value) == F.col("__allowed"), "left_anti")
+    spans = stored(spans, "spans")  # read three times from here on
     common = hot_keys(spans.filter(F.col(value).isNotNull()), [value])
     hot = stored(common.join(rows, F.col(value) == F.col("__allowed"), "left_semi").select(F.col(value).alias("__hot")), "allowed")
     rest = spans.join(F.broadcast(hot), F.col(value) == F.col("__hot"), "left_anti")

@@ -137,3 +137,18 @@ def test_stretches_are_bounded():
     parts = list(parts_of(batch, rows=7, chars=1000))
     assert pa.concat_arrays(parts).equals(batch)
     assert all(len(p) <= 7 and sum(len(t or "") for t in p.to_pylist()) <= 1000 for p in parts)
+
+
+def test_spans_are_found_once_beside_a_shuffled_allowlist(spark):
+    """Hot texts and the rest are told from stored spans: detectors run once a row."""
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def found(k):
+        asked.add(1)
+        return f"v{k % 5}"
+
+    spans = spark.range(60).repartition(3, "id").select("id", found(F.col("id").cast("int")).alias("value"))
+    allowed = spark.createDataFrame([("v1",), ("v2",)], "value string")
+    kept = span_tables.without_allowed(spans, allowed, broadcast_bytes=0).collect()
+    assert sorted(r["id"] for r in kept) == [k for k in range(60) if k % 5 not in (1, 2)] and asked.value == 60
