@@ -16,9 +16,9 @@ Defined cases: null text counts as empty; equal fingerprints are one node, howev
 null ``doc_id`` joins its component but never names it, unless it has no other; repeated rows are all
 returned; empty tables give no rows; extra columns are ignored.
 
-The pipeline's stage links otherwise: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or
-more, found by MinHash bands and each compared exactly. SimHash of a small radius finds few of them, and a
-radius that finds most would compare nearly all texts.
+The pipeline's stage links texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more. Its pairs are
+those that the fingerprints and BK-trees link (``proposed``), and, as a small radius finds few of the texts that are
+similar and one that finds most would compare nearly all, those that MinHash bands add; each is compared exactly.
 """
 
 from __future__ import annotations
@@ -404,9 +404,21 @@ def in_blocks(rows: DataFrame, agreed: int | None = AGREED) -> DataFrame:
     return dealt.repartition(tasks, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInPandas(run, "a long, b long").distinct()
 
 
+def proposed(texts: DataFrame) -> DataFrame:
+    """Pairs ``a < b`` of nodes of ``node, text`` that SimHash links: a spanning forest of each shard's BK-tree over distinct
+    fingerprints, each of which its least node stands for, and that node with all others of its fingerprint."""
+    spark = texts.sparkSession
+    made = stored(spark, with_fingerprints(texts.select(F.col("node").alias("doc_id"), "text")).withColumnRenamed("doc_id", "node"), "fingerprints")
+    firsts = stored(spark, made.groupBy("fp").agg(F.min("node").alias("first")), "nodes")
+    a, b = (firsts.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}")) for c in "ab")
+    near = links(firsts, firsts.count()).join(a, "a").join(b, "b").select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"))
+    same = made.join(firsts, "fp").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    return near.union(same)
+
+
 def similar(texts: DataFrame, agreed: int | None = AGREED) -> DataFrame:
-    """``node, label`` of the nodes with links among ``node, text`` (a row a node). Texts that share a MinHash band
-    are compared exactly. A node is linked only if at least ``SIMILARITY`` of its shingles occur in other nodes, so all others
+    """``node, label`` of the nodes with links among ``node, text`` (a row a node). Texts that SimHash links (``proposed``), and
+    those that share a MinHash band, are compared exactly. A node is linked only if at least ``SIMILARITY`` of its shingles occur in other nodes, so all others
     go first. In each bucket the node with the least share of shingles of its own, likely the one that the others are edits
     of, is compared with all others; then those pairs of a bucket that aren't connected yet, and whose sketches and shared
     shingles, counted by part, allow it (``in_blocks``). With ``agreed=None`` sketches aren't asked, and no pair of a bucket is
@@ -429,7 +441,9 @@ def similar(texts: DataFrame, agreed: int | None = AGREED) -> DataFrame:
     sketched = stored(spark, texts.select("node", "text").mapInPandas(run, "node long, size int, keys array<long>, parts array<int>, " + ", ".join(f"{c} long" for c in SKETCH)), "sketches")
     banded = with_bucket(sketched.select(F.explode("keys").alias("bucket"), "node", "size"))
     shared = stored(spark, banded.select("bucket", "node", "size"), "buckets")
-    held = stored(spark, texts.select("node", "text").join(shared.select("node").distinct(), "node", "left_semi"), "candidates")
+    hashed = stored(spark, proposed(texts), "proposed")
+    asked = shared.select("node").union(hashed.select("a")).union(hashed.select("b")).distinct()
+    held = stored(spark, texts.select("node", "text").join(asked, "node", "left_semi"), "candidates")
     nodes = sketched.drop("keys").join(shared.select("node").distinct(), "node", "left_semi").join(owned(held), "node", "left")
     nodes = nodes.withColumn("common", F.col("size") - F.coalesce("owned", F.lit(0))).filter(F.col("common") >= SIMILARITY * F.col("size") - 1e-9)
     nodes = stored(spark, nodes.withColumn("parts", F.expr("transform(parts, (n, k) -> n - coalesce(at[k], 0))")).drop("owned", "at"), "nodes")
@@ -437,7 +451,7 @@ def similar(texts: DataFrame, agreed: int | None = AGREED) -> DataFrame:
     centre = F.min(F.struct((1 - F.col("common") / F.greatest("size", F.lit(1))).alias("own"), "node", "size", "common")).alias("centre")
     near = with_bucket(common, centre).select("node", "size", "common", *[F.col(f"of.centre.{c}").alias(f"{c}_c") for c in ("node", "size", "common")])
     stars = near.filter((F.col("node") != F.col("node_c")) & may_link("", "_c")).select(F.least("node", "node_c").alias("a"), F.greatest("node", "node_c").alias("b"))
-    stars = stored(spark, stars.distinct(), "pairs")
+    stars = stored(spark, stars.union(hashed).distinct(), "pairs")
     found = stored(spark, verified(stars, held), "links")
     labels = components(spark, found)
     apart = common.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

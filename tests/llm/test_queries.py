@@ -635,3 +635,19 @@ def test_pipeline_near_dedup_pairs_of_blocks_are_those_of_buckets(spark, monkeyp
             if 9 * shared >= 4 * (size_a + size_b) and sum(bytes_a == bytes_b) >= simhash.AGREED:
                 expected.add((a, b))
     assert got == expected and expected
+
+
+def test_pipeline_near_dedup_asks_simhash(spark):
+    """The stage's pairs hold what the fingerprints' BK-trees link: their components are op4's."""
+    rng = np.random.default_rng(12)
+    bases = [rng.choice(WORDS, 300) for _ in range(12)]
+    texts = [" ".join(["first" if k == c else w for k, w in enumerate(base)]) for base in bases for c in (-1, 5, 150, 299)] + ["", " "]
+    prints = [simhash.fingerprint(t) for t in texts]
+    forest = simhash.Forest()
+    for i, j in combinations(range(len(texts)), 2):
+        if (prints[i] ^ prints[j]).bit_count() <= simhash.RADIUS:
+            forest.join(i, j)
+    got = simhash.Forest()
+    for a, b in simhash.proposed(spark.createDataFrame(list(enumerate(texts)), "node long, text string")).collect():
+        got.join(a, b)
+    assert [got.root(k) for k in range(len(texts))] == [forest.root(k) for k in range(len(texts))] and len(forest.up) > 12
