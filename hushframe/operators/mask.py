@@ -253,6 +253,7 @@ def restore(df: DataFrame, mapping: DataFrame, session: str, text: str = "text",
     rows = df.select(F.struct(*[F.col(_quoted(c)) for c in df.columns]).alias("row"), F.col(_quoted(session)).alias("session"), F.col(_quoted(text)).alias("text"))
     rows = rows.withColumn("name", F.sha2(F.col("text"), 256))
     tokens = rows.filter(F.contains("text", F.lit("["))).select("session", "name", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)))).alias("token")).filter("session is not null").distinct()
+    tokens = stored(tokens, "tokens")  # read three times from here on
     known = mapping.filter("reversible").select(F.col(_quoted(session)).alias("session"), F.col("placeholder").alias("token"), "original")
     found = salted_join(tokens, known, ["session", "token"], ["name"])
     held = found.groupBy("session", "name").agg(F.map_from_entries(F.collect_list(F.struct("token", "original"))).alias("originals"))

@@ -220,3 +220,18 @@ def test_a_micro_batch_writes_its_last_epoch_only(spark):
         held = {} if k % 10 == 0 else held
         new = f"u{k % 3}@x.co" not in held
         assert masked == f'"[{E}{letters(held.setdefault(f"u{k % 3}@x.co", len(held) + 1))}]"' and len(mapping) == new
+
+
+def test_restore_reads_tokens_once(spark):
+    """Hot tokens and the join are told from stored ones: a text is made for its tokens (and their filter) and to be restored, no more."""
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(k):
+        asked.add(1)
+        return f"{k} [X{letters(k % 3 + 1)}]"
+
+    rows = spark.range(30).repartition(2, "id").select(F.lit("s").alias("session"), "id", text(F.col("id").cast("int")).alias("text"))
+    table = spark.createDataFrame([("s", f"[X{letters(k)}]", f"v{k}", True) for k in (1, 2, 3)], "session string, placeholder string, original string, reversible boolean")
+    got = mask.restore(rows, table, "session").collect()
+    assert sorted(r["restored"] for r in got) == sorted(f"{k} v{k % 3 + 1}" for k in range(30)) and asked.value <= 90  # a filter asks, too
