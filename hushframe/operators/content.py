@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.config import Config
+from hushframe.operators.analyze import apart
 from hushframe.operators.mapping import MAPPING, Mapping, OpenMapping, RowMapping, restore_column, restore_text
 from hushframe.operators.mask import Masker, _packed, mapping_array, number_rows, parts_of, with_fields
 from hushframe.operators.provider import MAX_CHARS, provider_table
 from hushframe.operators.sessions import TTL_SECONDS, acquire
+from hushframe.operators.slices import dealt, parts_for
 from hushframe.operators.storage import stored
 
 LEAVES = "array<struct<section: string, msg_idx: int, path: string, role: string, text: string>>"
@@ -196,16 +198,20 @@ def mask_session_requests(df: DataFrame, keys: Sequence[str], config: Config | N
     A session's requests share one mapping, in order of ``time``, then ``keys`` (which tell requests apart), until it
     expires or a header resets it; then a new epoch begins. A request with neither a session's name nor a connection is a
     session of its own. Bodies are masked where they are and their values numbered over slices, so one
-    session may hold most requests. Invalid bodies give null and take part in the order only.
+    session may hold most requests; the bodies themselves are shuffled once, at the end. Invalid bodies give null and take part in the order only.
     """
     config = config or Config()
+    row = apart(df) + "row"
+    rows = stored(mask_requests(df.withColumn(row, F.monotonically_increasing_id()), config, body, plugins, provider, RowMapping), "requests")
+    parts, order = parts_for(rows), [time, *(k for k in keys if k != time)]
     alone = F.concat(F.lit("request:"), F.to_json(F.struct(*keys)))
-    taken = acquire(df, time, headers, connection, keys, ttl, slices).withColumn("session", F.coalesce("session", alone))
-    rows = stored(mask_requests(taken, config, body, plugins, provider, RowMapping), "requests")
-    order = [time, *(k for k in keys if k != time)]
-    mapping, renamed = number_rows(rows, ["session", "epoch"], order, config.reversible, in_json, slices)
-    out = rows.join(renamed, ["session", "epoch", *order], "left").withColumn("masked", restore_column(F.col("masked"), F.col("__new")))
-    return out.drop("mapping", "__new"), mapping
+    asked = rows.select(row, *dict.fromkeys([*order, headers, connection]))
+    taken = stored(acquire(asked, time, headers, connection, keys, ttl, slices).select(row, F.coalesce("session", alone).alias("session"), "epoch", *order), "taken")
+    held = dealt(rows.filter(F.size("mapping") > 0).select(row, "mapping"), parts, row).join(dealt(taken, parts, row).hint("shuffle_merge"), row)
+    mapping, renamed = number_rows(stored(held, "held"), ["session", "epoch"], order, config.reversible, in_json, slices, [row], parts)
+    names = dealt(taken.select(row, "session", "epoch"), parts, row).join(renamed.hint("shuffle_merge"), row, "left")
+    out = dealt(rows.drop("session", "epoch"), parts, row).join(names.hint("shuffle_merge"), row).withColumn("masked", restore_column(F.col("masked"), F.col("__new")))
+    return out.drop("mapping", "__new", row), mapping
 
 
 def restore_json(body: Column, originals: Column, config: Config | None = None) -> Column:

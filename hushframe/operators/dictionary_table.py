@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from hushframe.functions.entry_index import EntryIndex
 from hushframe.functions.categories import SPANS
 from hushframe.operators.arrow import listed_structs, parts_of
-from hushframe.operators.storage import shared_folder
+from hushframe.operators.storage import shared_folder, stored
 
 #: Characters of entries in a shard.
 SHARD_CHARS = 1_000_000
@@ -85,7 +85,7 @@ def stored_dictionary(entries: DataFrame, categories: Sequence[str] | None = Non
     if "rank" not in there:
         from hushframe.operators.slices import numbered
 
-        rows = numbered(rows, [], ["category", "text", "exact", "case_sensitive", "fold_width"], "rank")
+        rows = numbered(stored(rows, "entries"), [], ["category", "text", "exact", "case_sensitive", "fold_width"], "rank")
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     count = -(-chars // shard_chars)
     path = posixpath.join(shared_folder(spark), f"hushframe-dictionary-{uuid.uuid4().hex[:12]}")

@@ -24,7 +24,7 @@ from hushframe.operators.analyze import apart, dictionary_part, heuristic_parts,
 from hushframe.operators.arrow import listed_structs, parts_of
 from hushframe.operators.dictionary_table import StoredDictionary
 from hushframe.operators.mapping import MAPPING, TOKEN, Mapping, RowMapping, letters_column, restore_column
-from hushframe.operators.slices import numbered, salted_join
+from hushframe.operators.slices import dealt, is_few, numbered, parts_for, salted_join
 from hushframe.operators.storage import stored
 
 EVENTS = "array<struct<category: string, placeholder: string, confidence: double, start: int, end: int>>"
@@ -179,26 +179,33 @@ def mask_sessions(df: DataFrame, session: str, order: Sequence[str], config: Con
     """
     config = config or Config()
     rows = stored(mask_documents(df, config, text, plugins, provider, RowMapping), "masked")
-    mapping, renamed = number_rows(rows, [session], order, config.reversible, slices=slices)
-    out = rows.join(renamed, [session, *order], "left").withColumn("masked", restore_column(F.col("masked"), F.col("__new")))
+    parts = parts_for(rows)
+    mapping, renamed = number_rows(rows, [session], order, config.reversible, slices=slices, parts=parts)
+    out = dealt(rows, parts, session, *order).join(renamed.hint("shuffle_merge"), [session, *order], "left").withColumn("masked", restore_column(F.col("masked"), F.col("__new")))
     return out.drop("mapping", "events", "__new"), mapping
 
 
-def number_rows(rows: DataFrame, session: Sequence[str], order: Sequence[str], reversible: bool, spelled: Callable[[Column], Column] = lambda c: c, slices: int | None = None) -> tuple[DataFrame, DataFrame]:
+def number_rows(rows: DataFrame, session: Sequence[str], order: Sequence[str], reversible: bool, spelled: Callable[[Column], Column] = lambda c: c, slices: int | None = None, row: Sequence[str] = (), parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The sessions' mapping, and each row's ``__new``: what its own placeholders become.
 
     ``rows`` hold ``session``, ``order`` and the ``mapping`` of a ``RowMapping``. A value's number is its place among those of
-    its prefix, by first row and place therein. ``spelled`` is how a placeholder stands in the masked text.
+    its prefix, by first row and place therein. ``spelled`` is how a placeholder stands in the masked text. ``row``: what
+    tells rows apart, ``session`` and ``order`` by default. ``parts``: tasks to shuffle the rows to, if more than Spark's.
     """
-    held = rows.select(*session, *order, F.posexplode("mapping").alias("place", "m")).select(*session, *order, "place", "m.original", "m.category", "m.prefix", F.col("m.placeholder").alias("local"))
-    first = held.groupBy(*session, "original").agg(F.min(F.struct(*order, "place", "prefix", "category")).alias("first"))
-    values = first.select(*session, "original", "first.category", "first.prefix", F.struct(*[F.col(f"first.{c}") for c in (*order, "place")]).alias("at"))
-    placed = numbered(values, [*session, "prefix"], ["at"], slices=slices)
+    row = row or (*session, *order)
+    told = [*session, *order, *(c for c in row if c not in (*session, *order))]
+    held = rows.select(*told, F.posexplode("mapping").alias("place", "m")).select(*told, "place", "m.original", "m.category", "m.prefix", F.col("m.placeholder").alias("local"))
+    # A struct's least is told by sorting, in the task that reads the rows as well: those are dealt evenly first if they are many.
+    first = dealt(held, parts, *row).groupBy(*session, "original").agg(F.min(F.struct(*order, "place", "prefix", "category")).alias("first"), F.count("*").alias("__n"))
+    values = stored(first.select(*session, "original", "first.category", "first.prefix", F.struct(*[F.col(f"first.{c}") for c in (*order, "place")]).alias("at"), "__n"), "values")
+    placed = numbered(values.drop("__n"), [*session, "prefix"], ["at"], slices=slices)
     placeholder = F.concat(F.lit("["), F.col("prefix"), letters_column(F.col("seq")), F.lit("]"))
     mapping = stored(placed.select(*session, "original", "category", "prefix", "seq", placeholder.alias("placeholder"), F.lit(reversible).alias("reversible")), "mapping")
-    named = salted_join(held, mapping.select(*session, "original", "placeholder"), [*session, "original"], order)
+    keys = [*session, "original"]
+    known = mapping.select(*keys, "placeholder")
+    named = held.join(F.broadcast(known), keys) if is_few(known) else salted_join(held, known, keys, row, parts=parts, counts=values.select(*keys, "__n"))
     # A row's own values only: as bounded as the row.
-    renamed = named.groupBy(*session, *order).agg(F.map_from_entries(F.collect_list(F.struct(spelled(F.col("local")).alias("k"), spelled(F.col("placeholder")).alias("v")))).alias("__new"))
+    renamed = dealt(named, parts, *row).groupBy(*row).agg(F.map_from_entries(F.collect_list(F.struct(spelled(F.col("local")).alias("k"), spelled(F.col("placeholder")).alias("v")))).alias("__new"))
     shown = mapping if reversible else mapping.withColumn("original", F.lit(None).cast("string"))
     return shown, renamed
 

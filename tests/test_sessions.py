@@ -40,6 +40,50 @@ def test_no_slice_holds_a_hot_group(grouped):
     assert grouped.filter("g = 0").count() > 1000 and max(sizes) < 2 * 3000 / 9
 
 
+def test_tasks_grow_with_rows(spark, grouped, monkeypatch):
+    """Slices and tasks are as many as rows ask for, not as many as Spark shuffles to, so that none grows with the table."""
+    monkeypatch.setattr(slices, "PART_ROWS", 100)
+    assert slices.parts_for(grouped) == 30 and slices.parts_for(grouped.limit(50)) == 4
+    cut = slices.sliced(grouped, ["g"], ["t", "id"])
+    assert max(r["count"] for r in cut.groupBy("__slice").count().collect()) < 300
+    many = grouped.filter("g is not null").select(F.col("g").alias("k"), "id")
+    few = spark.createDataFrame([(k, k * 2) for k in range(4)], "k int, v int")
+    joined = slices.salted_join(many, few, ["k"], ["id"], parts=30)
+    assert joined.rdd.getNumPartitions() == 30 and sorted(joined.collect()) == sorted(many.join(few, "k").collect())
+
+
+def test_requests_are_dealt_to_more_tasks_the_more_they_are(spark, monkeypatch):
+    rows = bodies()
+    want = replayed(rows)
+    monkeypatch.setattr(slices, "PART_ROWS", 5)
+    monkeypatch.setattr(slices, "FEW_ROWS", 2)
+    masked, _ = content.mask_session_requests(requests(spark, rows), ["id"], MAIL)
+    assert masked.rdd.getNumPartitions() == 12
+    assert {r["id"]: (r["session"], r["epoch"], r["masked"]) for r in masked.collect()} == want
+
+
+def test_requests_that_no_key_tells_apart(spark):
+    """Equal keys, or none, don't lose or repeat a request, nor leave a row's own placeholders in it."""
+    text = lambda k: json.dumps({"messages": [{"role": "user", "content": f"u{k}@x.co"}]})
+    rows = [(k if k > 2 else None, k, {"x-session-id": "s"}, None, text(k)) for k in range(1, 5)] + [(4, 4, {"x-session-id": "s"}, None, text(4))]
+    got = [(r["body"], r["masked"]) for r in content.mask_session_requests(requests(spark, rows), ["id"], MAIL)[0].collect()]
+    assert sorted(b for b, _ in got) == sorted(r[4] for r in rows)
+    assert sorted(m.split(E)[1][:2] for _, m in got) == ["A]", "B]", "C]", "D]", "D]"]
+
+
+def test_values_are_made_once_to_be_numbered(spark, monkeypatch):
+    """The cut samples its rows first: values are stored before it, and which keys are hot is told from them."""
+    read = []
+    monkeypatch.setattr(mask, "stored", lambda df, name: read.append(name) or slices.stored(df, name))
+    monkeypatch.setattr(slices, "hot_keys", lambda *_: pytest.fail("keys are counted again"))
+    monkeypatch.setattr(slices, "FEW_ROWS", 2)
+    df = spark.createDataFrame([(0, k, f"a{k}@b.co and c{k % 3}@b.co") for k in range(40)], "s int, n int, text string")
+    masked, mapping = mask.mask_sessions(df, "s", ["n"], MAIL)
+    assert read == ["masked", "values", "mapping"] and mapping.count() == 43
+    held = {r["placeholder"]: r["original"] for r in mapping.collect()}
+    assert all(restore_text(r["masked"], held) == r["text"] for r in masked.collect())
+
+
 def test_epochs_are_those_of_a_window(grouped):
     resets = F.col("id") % 50 == 0
     made = slices.epochs(grouped, "g", "ts", ["id"], 1800, F.col("g") != 1, resets, slices=7)
