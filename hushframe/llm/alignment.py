@@ -45,7 +45,8 @@ TOGETHER = 200_000
 NONE, A_END, B_END, BOTH = b".", b"a", b"b", b"="
 
 #: Only spaces after a visible character and before something part units: there both tokenizers always end a token.
-_UNITS = re.compile(r"(?<=\S) (?=.)", re.S)
+#: The space comes first in the pattern, so that it is what is looked for.
+_UNITS = re.compile(r" (?<=\S )(?=.)", re.S)
 _GROUP = re.compile(rb"[^=]*=")
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
@@ -69,9 +70,17 @@ def label_string(a_lengths: np.ndarray, b_lengths: np.ndarray) -> bytes:
     return labels.tobytes()
 
 
+def group_sizes(labels: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of A and of B in each span up to a both-label: the ends of the spans, and how many labels stand before each."""
+    only = labels.translate(None, NONE)
+    ends = np.cumsum(np.fromiter(map(len, _GROUP.findall(only)), np.int64))
+    marks = np.frombuffer(only, np.uint8)
+    return tuple(np.diff(np.cumsum(marks != other[0])[ends - 1], prepend=0) for other in (B_END, A_END))
+
+
 def groups_of(labels: bytes) -> list[tuple[int, int]]:
-    """Tokens of A and of B in each span up to a both-label."""
-    return [(s.count(A_END) + 1, s.count(B_END) + 1) for s in _GROUP.findall(labels)]
+    """The same as pairs."""
+    return list(zip(*(x.tolist() for x in group_sizes(labels)), strict=True))
 
 
 def links_of(labels: bytes, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +112,9 @@ class Pair:
             self.a_bytes[number] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(m[1], 16)]) if (m := _BYTE_PIECE.fullmatch(p)) else p.replace("▁", " ").encode() for p in pieces]
-        self.names = list(map(str, range(max(len(self.a_bytes), len(self.b_bytes)))))
+        #: An id before ``,``, ``|`` and ``;`` at 3 * id, and one and two places on.
+        self.names = pa.array([f"{k}{mark}" for k in range(max(len(self.a_bytes), len(self.b_bytes))) for mark in ",|;"], pa.binary())
+        self.spelling = [pa.array(x, pa.binary()) for x in (self.a_bytes, self.b_bytes)]
         #: Units may be encoded one by one only if no piece reaches over a space into what comes next.
         self.a_sizes, self.b_sizes = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
         self.by_unit = not any("▁" in p.lstrip("▁") for p in pieces)
@@ -116,51 +127,57 @@ class Pair:
         Units that end visibly are aligned as one text: what is next to a unit doesn't change its tokens.
         """
         if len(texts) > 1 and any(t[-1].isspace() for t in texts):
-            return [self.align([t])[0] for t in texts]
+            others = [t for t in texts if not t[-1].isspace()]
+            known = iter(self.align(others) if others else [])
+            return [self.align([t])[0] if t[-1].isspace() else next(known) for t in texts]
         whole = " ".join(texts)
-        a, b = self.a.encode(" " + whole, add_special_tokens=False).ids, self.b.encode(whole)
+        # without the offsets of tokens, which nothing asks for
+        a, b = self.a.encode_batch_fast([" " + whole], add_special_tokens=False)[0].ids, self.b.encode(whole)
         ids_a, ids_b, spelt = np.array(a, np.int64), np.array(b, np.int64), [len(t.encode()) + 1 for t in texts]
-        ends_a, ends_b, last = np.cumsum(self.a_sizes[ids_a]), np.cumsum(self.b_sizes[ids_b]), np.cumsum(spelt)
+        lengths_a, lengths_b = self.a_sizes[ids_a], self.b_sizes[ids_b]
+        ends_a, ends_b, last = np.cumsum(lengths_a), np.cumsum(lengths_b), np.cumsum(spelt)
         joined = (" " + whole).encode()
-        cuts_a, cuts_b = np.searchsorted(ends_a, last), np.searchsorted(ends_b, last)
-        fine = self._spell(a, self.a_bytes, joined) and self._spell(b, self.b_bytes, joined) and (ends_a[cuts_a] == last).all() and (ends_b[cuts_b] == last).all()
+        fine = all(lengths.all() and _joined(known, ids)[0] == joined for lengths, known, ids in zip((lengths_a, lengths_b), self.spelling, (ids_a, ids_b), strict=True))
+        if fine:
+            cuts_a, cuts_b = np.searchsorted(ends_a, last), np.searchsorted(ends_b, last)
+            fine = (ends_a[cuts_a] == last).all() and (ends_b[cuts_b] == last).all()
         if not fine:
-            return [None] if len(texts) == 1 else [self.align([t])[0] for t in texts]
-        labels = label_string(self.a_sizes[ids_a], self.b_sizes[ids_b])
+            if len(texts) == 1:
+                return [None]
+            step = max(1, len(texts) // 32)  # most units are still aligned together
+            return [x for k in range(0, len(texts), step) for x in self.align(texts[k : k + step])]
+        labels = label_string(lengths_a, lengths_b)
         links, at = links_of(labels, ids_a, ids_b)
-        cuts = [0, *np.searchsorted(at, last).tolist()]
-        groups, raw, i, j, parts = groups_of(labels), links.astype("<i8").tobytes(), 0, 0, []
-        names_a, names_b = [self.names[x] for x in a], [self.names[x] for x in b]
-        for p, q in groups:
-            parts.append(f"{names_a[i]}|{names_b[j]}" if p == q == 1 else ",".join(names_a[i : i + p]) + "|" + ",".join(names_b[j : j + q]))
-            i, j = i + p, j + q
+        cuts, raw = [0, *np.searchsorted(at, last).tolist()], links.astype("<i8").tobytes()
         both = np.flatnonzero(np.frombuffer(labels, np.uint8) == BOTH[0])
         ends = np.searchsorted(both, last).tolist()
         n_a, n_b = np.diff(cuts_a + 1, prepend=0).tolist(), np.diff(cuts_b + 1, prepend=0).tolist()
-        return [Aligned(x, y, h - g, ";".join(parts[g:h]), raw[8 * lo : 8 * hi]) for x, y, g, h, lo, hi in zip(n_a, n_b, [0, *ends[:-1]], ends, cuts[:-1], cuts[1:], strict=True)]
-
-    @staticmethod
-    def _spell(ids: list[int], known: list[bytes], text: bytes) -> bool:
-        """Do the tokens spell the text, none of them empty?"""
-        spelt = [known[x] for x in ids]
-        return b"".join(spelt) == text and all(spelt)
-
-    def aligned(self, units: list[str]) -> dict[str, Aligned | None]:
-        """The same for units of a text, of which those met lately are remembered."""
-        found, asked = {}, []
-        for u in units:
-            known = self.young.get(u, False)
-            if known is False:
-                known = self.old.get(u, False)
-                if known is False:
-                    asked.append(u)
-                    continue
-                self.young[u] = known
-            found[u] = known
-        if asked:
-            new = dict(zip(asked, self.align(asked), strict=True))
-            self.young.update(new)
-            found.update(new)
+        groups, starts = self._groups(ids_a, ids_b, *group_sizes(labels))
+        stops = starts[cuts_a + cuts_b + 2].tolist()
+        return [
+            Aligned(x, y, h - g, groups[m : n - 1], raw[8 * lo : 8 * hi])
+            for x, y, g, h, m, n, lo, hi in zip(n_a, n_b, [0, *ends[:-1]], ends, [0, *stops[:-1]], stops, cuts[:-1], cuts[1:], strict=True)
+        ]
+
+    def _groups(self, a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[str, np.ndarray]:
+        """Groups of ``p`` tokens of A and ``q`` of B, each with ``;`` behind it, and where each token's name starts, the end last."""
+        upto_a, upto_b = np.cumsum(p), np.cumsum(q)
+        mark_a, mark_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        mark_a[upto_a - 1], mark_b[upto_b - 1] = 1, 2
+        order = np.empty(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + np.repeat(upto_b - q, p)] = 3 * a + mark_a
+        order[np.arange(len(b)) + np.repeat(upto_a, q)] = 3 * b + mark_b
+        spelt, starts = _joined(self.names, order)
+        return spelt.decode(), starts
+
+    def aligned(self, units: list[str]) -> list[Aligned | None]:
+        """The same for different units of texts, of which those met lately are remembered."""
+        young, old = self.young.get, self.old.get
+        found = [young(u) or old(u) for u in units]
+        if None in found:
+            new = iter(self.align([u for u, f in zip(units, found, strict=True) if f is None]))
+            found = [next(new) if f is None else f for f in found]
+        self.young.update(zip(units, found, strict=True))
         return found
 
     def grow_old(self, most: int) -> None:
@@ -169,6 +186,16 @@ class Pair:
             self.old, self.young = self.young, {}
 
 
+def _joined(known: pa.Array, at: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The entries of ``known`` at these places one after another, and where each starts, the end last."""
+    taken = known.take(pa.array(at, pa.int64()))
+    if isinstance(taken, pa.ChunkedArray):
+        taken = taken.combine_chunks()
+    _, offsets, data = taken.buffers()
+    starts = np.frombuffer(offsets, np.int32)[taken.offset : taken.offset + len(taken) + 1]
+    return (data.to_pybytes() if data else b"")[starts[0] : starts[-1]], starts - starts[0]
+
+
 _pairs: dict[tuple, Pair] = {}
 
 
@@ -184,48 +211,55 @@ class _Block:
 
     def __init__(self, tokenizers: Pair):
         self.tokenizers = tokenizers
+        #: Units by number; -1 for those that can't be aligned.
         self.number: dict[str, int] = {}
         self.facts: list[Aligned] = []
+        self.groups: list[str] = []
         self.docs: list[tuple] = []
         self.chars = 0
 
-    def _register(self, units: list[str]) -> None:
-        """Numbers units of this block; those that can't be aligned get none."""
+    def _register(self, units: list[str]) -> list[int]:
+        """The units' numbers in this block."""
         number = self.number
-        new = [u for u in dict.fromkeys(units) if u not in number]
-        if new:
-            for u, facts in self.tokenizers.aligned(new).items():
-                if facts is not None:
-                    number[u] = len(self.facts)
-                    self.facts.append(facts)
+        known = list(map(number.get, units))
+        if None not in known:
+            return known
+        new = list(dict.fromkeys([u for u, k in zip(units, known, strict=True) if k is None]))
+        found, first = self.tokenizers.aligned(new), len(self.facts)
+        if None in found:
+            number.update((u, -1) for u, facts in zip(new, found, strict=True) if facts is None)
+            new, found = ([x for x, facts in zip(xs, found, strict=True) if facts is not None] for xs in (new, found))
+        number.update(zip(new, range(first, first + len(new)), strict=True))
+        self.facts += found
+        self.groups += [facts.groups for facts in found]
+        return list(map(number.__getitem__, units))
 
     def add(self, docs: list[tuple[int | None, str | None]]) -> None:
         units = [(_UNITS.split(t) if self.tokenizers.by_unit else [t]) if t else [] for _, t in docs]
-        self._register(list(chain.from_iterable(units)))
+        numbers, low = self._register(list(chain.from_iterable(units))), 0
         for (doc_id, text), mine in zip(docs, units, strict=True):
             self.chars += len(text or "")
-            found = list(map(self.number.get, mine))
-            if None in found:  # a unit can't be aligned by itself: ask the whole text
-                self._register([text])
-                found = [self.number[text]] if text in self.number else []
-            if not found:
-                self.docs.append((doc_id, 0, 0, 0, 0, "", b""))
-                continue
-            n_a, n_b, n_groups, groups, links = zip(*map(self.facts.__getitem__, found), strict=True)
-            digest = hashlib.sha256(";".join(groups).encode()).hexdigest()
-            self.docs.append((doc_id, sum(n_a), sum(n_b), sum(n_groups), sum(map(len, links)) // 8, digest, np.array(found, "<i4").tobytes()))
+            found, low = numbers[low : low + len(mine)], low + len(mine)
+            if -1 in found:  # a unit can't be aligned by itself: ask the whole text
+                found = [k for k in self._register([text]) if k >= 0]
+            digest = hashlib.sha256(";".join(map(self.groups.__getitem__, found)).encode()).hexdigest() if found else ""
+            self.docs.append((doc_id, digest, np.array(found, "<i4")))
 
     def row(self, block: int) -> pa.RecordBatch:
         """One row: documents, links of each unit as indexes into the block's pairs, and how often each pair occurs."""
-        times = np.bincount(np.frombuffer(b"".join(d[6] for d in self.docs), "<i4"), minlength=len(self.facts))
+        used = np.concatenate([d[2] for d in self.docs])
+        times = np.bincount(used, minlength=len(self.facts))
         sizes = np.fromiter((len(f.links) // 8 for f in self.facts), np.int64, len(self.facts))
+        ends = np.cumsum([len(d[2]) for d in self.docs])
+        counts = [np.fromiter((f[k] for f in self.facts), np.int64, len(self.facts)) for k in range(3)]
+        of_docs = [np.diff(np.concatenate([[0], np.cumsum(x[used])])[ends], prepend=0) for x in (*counts, sizes)]
         links = np.frombuffer(b"".join(f.links for f in self.facts), "<i8")
         pairs, at = np.unique(links, return_inverse=True)
         counts = np.bincount(at, weights=np.repeat(times, sizes), minlength=len(pairs)).astype(np.int64)
-        doc = list(zip(*self.docs, strict=True))
+        doc = [[d[0] for d in self.docs], *of_docs, [d[1] for d in self.docs], [d[2].tobytes() for d in self.docs]]
         columns = [
             pa.array([block], pa.int64()),
-            *(pa.array([list(doc[k])], pa.list_(kind)) for k, kind in enumerate([pa.int64()] * 5 + [pa.string(), pa.binary()])),
+            *(pa.array([x], pa.list_(kind)) for x, kind in zip(doc, [pa.int64()] * 5 + [pa.string(), pa.binary()], strict=True)),
             pa.array([sizes.astype("<i4").tobytes()], pa.binary()),
             pa.array([at.astype("<i4").tobytes()], pa.binary()),
             pa.ListArray.from_arrays(pa.array([0, len(pairs)], pa.int32()), pa.StructArray.from_arrays([pa.array(pairs, pa.int64()), pa.array(counts, pa.int64())], ["pair", "n"])),

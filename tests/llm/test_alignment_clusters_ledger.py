@@ -229,6 +229,26 @@ def test_labels():
     assert alignment.groups_of(b"ba.=.=") == [(2, 2), (1, 1)]
 
 
+def test_few_odd_units_do_not_part_the_others():
+    """Units that end in white space, or that can't be aligned, are asked by themselves; the rest stays together."""
+    both, calls = alignment.Pair(), []
+
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def __getattr__(self, name):
+            calls.append(name)
+            return getattr(self.tokenizer, name)
+
+    units = [f"word{k}" for k in range(2000)]
+    units[7], units[900] = "line\n", "a▁b"
+    alone = [both.align([u])[0] for u in units]
+    both.a = Counted(both.a)
+    assert both.align(units) == alone and [k for k, x in enumerate(alone) if x is None] == [900]
+    assert len(calls) < 150
+
+
 # ---------------------------------------------------------------- quality ledger
 
 
