@@ -6,8 +6,8 @@ labels counted within a span say how many tokens of A and of B make one group. W
 one A token and one B token share, so labels are also the links.
 
 Neither tokenizer joins what a space separates, so a text is aligned unit by unit (a word with the space before it), and
-each unit once a block. A block is a bounded run of documents: one row with its units, links and
-documents as indexes. Pair counts are summed over blocks by key, each pair's count goes back to the
+each unit once a block. A block is a bounded run of documents: a row a document with its units as indexes, and the units'
+links as indexes in rows of ``PART`` entries, so that no row takes more than a document or a part does. Pair counts are summed over blocks by key, each pair's count goes back to the
 blocks that hold it, and each document adds up those of its units. Pairs are shuffled once a block, never
 once a document, and no table of pairs is broadcast; only the highest count of each B id is, of which there are as many as B has ids.
 
@@ -27,6 +27,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,11 +36,13 @@ from hushframe.llm.common import make_importable, stored, table
 A_FILE = "byte_bpe_50k.json"
 B_FILE = "piece_bpe_32k.model"
 #: A block ends when its texts reach so many characters.
-BLOCK_CHARS = 8_000_000
-#: Bytes of blocks that are written, and read, at once.
-ROW_GROUP = 16 * 1024 * 1024
-#: Of aligned units, a worker keeps those of the last so many, and of as many before them, from block to block.
-MAX_UNITS = 200_000
+BLOCK_CHARS = 4_000_000
+#: Entries of a block's units, links and pairs in a row. Rows of megabytes fill the JVM's heap, as each copy of one takes whole regions of it.
+PART = 25_000
+#: Documents of a block that are handed to Spark at once.
+DOCS = 500
+#: Of aligned units, a worker keeps those of the last so many, and of as many before them, from block to block of a task.
+MAX_UNITS = 100_000
 #: Documents are aligned together until their texts reach so many characters.
 TOGETHER = 200_000
 NONE, A_END, B_END, BOTH = b".", b"a", b"b", b"="
@@ -185,6 +188,10 @@ class Pair:
         if len(self.young) > most:
             self.old, self.young = self.young, {}
 
+    def forget(self) -> None:
+        """Forgets all units: a worker that waits for its next task holds none."""
+        self.old, self.young = {}, {}
+
 
 def _joined(known: pa.Array, at: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The entries of ``known`` at these places one after another, and where each starts, the end last."""
@@ -245,33 +252,39 @@ class _Block:
             digest = hashlib.sha256(";".join(map(self.groups.__getitem__, found)).encode()).hexdigest() if found else ""
             self.docs.append((doc_id, digest, np.array(found, "<i4")))
 
-    def row(self, block: int) -> pa.RecordBatch:
-        """One row: documents, links of each unit as indexes into the block's pairs, and how often each pair occurs."""
+    def rows(self, block: int) -> Iterator[pa.RecordBatch]:
+        """A row a document; then links of each unit as indexes into the block's pairs, and how often each pair occurs, in parts."""
         used = np.concatenate([d[2] for d in self.docs])
         times = np.bincount(used, minlength=len(self.facts))
         sizes = np.fromiter((len(f.links) // 8 for f in self.facts), np.int64, len(self.facts))
         ends = np.cumsum([len(d[2]) for d in self.docs])
         counts = [np.fromiter((f[k] for f in self.facts), np.int64, len(self.facts)) for k in range(3)]
         of_docs = [np.diff(np.concatenate([[0], np.cumsum(x[used])])[ends], prepend=0) for x in (*counts, sizes)]
+        for low in range(0, len(self.docs), DOCS):
+            docs, these = self.docs[low : low + DOCS], slice(low, low + DOCS)
+            yield _batch(block, len(docs), doc_id=[d[0] for d in docs], n_a=of_docs[0][these], n_b=of_docs[1][these], n_groups=of_docs[2][these], n_links=of_docs[3][these], digest=[d[1] for d in docs], units=[d[2].tobytes() for d in docs])
         links = np.frombuffer(b"".join(f.links for f in self.facts), "<i8")
         pairs, at = np.unique(links, return_inverse=True)
         counts = np.bincount(at, weights=np.repeat(times, sizes), minlength=len(pairs)).astype(np.int64)
-        doc = [[d[0] for d in self.docs], *of_docs, [d[1] for d in self.docs], [d[2].tobytes() for d in self.docs]]
-        columns = [
-            pa.array([block], pa.int64()),
-            *(pa.array([x], pa.list_(kind)) for x, kind in zip(doc, [pa.int64()] * 5 + [pa.string(), pa.binary()], strict=True)),
-            pa.array([sizes.astype("<i4").tobytes()], pa.binary()),
-            pa.array([at.astype("<i4").tobytes()], pa.binary()),
-            pa.ListArray.from_arrays(pa.array([0, len(pairs)], pa.int32()), pa.StructArray.from_arrays([pa.array(pairs, pa.int64()), pa.array(counts, pa.int64())], ["pair", "n"])),
-        ]
-        return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _BLOCK.split(", ")[:11]])
+        for low in range(0, max(len(sizes), len(at)), PART):  # there are no more pairs than links
+            these = slice(low, low + PART)
+            both = pa.StructArray.from_arrays([pa.array(pairs[these], pa.int64()), pa.array(counts[these], pa.int64())], ["pair", "n"])
+            yield _batch(block, 1, at=[low], unit_links=[sizes[these].astype("<i4").tobytes()], link_pairs=[at[these].astype("<i4").tobytes()], pairs=pa.ListArray.from_arrays(pa.array([0, len(both)], pa.int32()), both))
+
+
+_BLOCK = {"block": pa.int64(), "doc_id": pa.int64(), **dict.fromkeys(("n_a", "n_b", "n_groups", "n_links"), pa.int64()), "digest": pa.string(), "units": pa.binary(), "at": pa.int64(), "unit_links": pa.binary(), "link_pairs": pa.binary(), "pairs": pa.list_(pa.struct([("pair", pa.int64()), ("n", pa.int64())]))}
+_BLOCK_SQL = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, digest string, units binary, at long, unit_links binary, link_pairs binary, pairs array<struct<pair: long, n: long>>"
 
 
-_BLOCK = "block long, doc_ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, digests array<string>, units array<binary>, unit_links binary, link_pairs binary, pairs array<struct<pair: long, n: long>>"
+def _batch(block: int, rows: int, **columns) -> pa.RecordBatch:
+    """Rows of a block, with nulls in the columns that aren't given."""
+    columns["block"] = [block] * rows
+    made = [pa.nulls(rows, kind) if (x := columns.get(name)) is None else x if isinstance(x, pa.Array) else pa.array(x, kind) for name, kind in _BLOCK.items()]
+    return pa.RecordBatch.from_arrays(made, list(_BLOCK))
 
 
 def blocks(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, block_chars: int = BLOCK_CHARS, max_units: int = MAX_UNITS) -> DataFrame:
-    """Aligned documents, a block a row."""
+    """Aligned documents, block by block."""
     make_importable(docs.sparkSession)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,18 +302,18 @@ def blocks(docs: DataFrame, a_path: str | None = None, b_path: str | None = None
                 block.add(waiting)
                 waiting, chars = [], 0
                 if block.chars >= block_chars:
-                    yield block.row(number)
+                    yield from block.rows(number)
                     number += 1
                     tokenizers.grow_old(max_units)
                     block = _Block(tokenizers)
         if waiting:
             block.add(waiting)
         if block.docs:
-            yield block.row(number)
-        tokenizers.grow_old(max_units)
+            yield from block.rows(number)
+        tokenizers.forget()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(gather, _BLOCK)
+    return rows.mapInArrow(gather, _BLOCK_SQL)
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
@@ -315,28 +328,28 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
 
 def aligned_documents(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """A row a document: ``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256``."""
-    aligned = stored(docs.sparkSession, blocks(docs, a_path, b_path, block_chars), "aligned", ROW_GROUP)
-    asked = aligned.select("block", F.posexplode("pairs.pair").alias("at", "pair"))
-    answers = asked.join(pair_counts(aligned), "pair").select(F.col("block").alias("of"), "at", "count", "best")
+    aligned = stored(docs.sparkSession, blocks(docs, a_path, b_path, block_chars), "aligned")
+    asked = aligned.select("block", F.col("at").alias("first"), F.posexplode("pairs.pair").alias("after", "pair"))
+    answers = asked.join(pair_counts(aligned), "pair").select(F.col("block").alias("of"), (F.col("first") + F.col("after")).alias("at"), "count", "best")
 
-    def add_up(row: pa.Table, found: pa.Table) -> pa.Table:
+    def add_up(rows: pa.Table, found: pa.Table) -> pa.Table:
         """One block and its pairs' answers: all that a task holds at a time."""
-        row = row.combine_chunks()
-        one = lambda name: row.column(name)[0]
+        parts, rows = rows.filter(rows.column("at").is_valid()).sort_by("at"), rows.filter(rows.column("at").is_null())
+        whole = lambda of, name: np.frombuffer(b"".join(of.column(name).to_pylist()), "<i4")
         at = found.column("at").to_numpy()
         counts, best = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
         counts[at], best[at] = found.column("count").to_numpy(), found.column("best").to_numpy()
-        links, sizes = np.frombuffer(one("link_pairs").as_py(), "<i4"), np.frombuffer(one("unit_links").as_py(), "<i4")
+        links, sizes = whole(parts, "link_pairs"), whole(parts, "unit_links")
         unit = np.repeat(np.arange(len(sizes)), sizes)
         per_count, per_best = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
         np.add.at(per_count, unit, counts[links])
         np.add.at(per_best, unit, best[links])
-        used = [np.frombuffer(x.as_py(), "<i4") for x in one("units").values]
-        bests, totals = ([int(per[x].sum()) for x in used] for per in (per_best, per_count))
-        same = [one(name).values for name in ("doc_ids", "n_a", "n_b", "n_groups", "n_links")]
-        return pa.Table.from_arrays([*same, pa.array(bests, pa.int64()), pa.array(totals, pa.int64()), one("digests").values], _RESULT)
+        used, ends = whole(rows, "units"), np.cumsum(pc.binary_length(rows.column("units")).to_numpy()) // 4
+        bests, totals = (np.diff(np.concatenate([[0], np.cumsum(per[used])])[ends], prepend=0) for per in (per_best, per_count))
+        same = [rows.column(name) for name in ("doc_id", "n_a", "n_b", "n_groups", "n_links")]
+        return pa.Table.from_arrays([*same, pa.array(bests, pa.int64()), pa.array(totals, pa.int64()), rows.column("digest")], _RESULT)
 
-    # A block at a time, however many of them a partition has: neither they nor their answers become one batch or one row.
+    # A block at a time, however many of them a partition has: neither they nor their answers become one batch.
     met = aligned.drop("pairs").groupBy("block").cogroup(answers.groupBy("of"))
     return met.applyInArrow(add_up, ", ".join(f"{n} {'string' if n == 'groups_sha256' else 'long'}" for n in _RESULT))
 

@@ -331,3 +331,15 @@ def test_alignment_adds_up_a_block_at_a_time(spark):
     assert "FlatMapCoGroupsInArrow" in plan
     whole = {tuple(r) for r in alignment.aligned_documents(docs.repartition(3)).collect()}
     assert {tuple(r) for r in few.collect()} == whole and len(whole) == 62
+
+
+def test_alignment_rows_stay_small(spark):
+    """A block's units are spread over rows: none of them grows with the block; nor does a worker keep units when its task is over."""
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefgh"), rng.integers(4, 12))) for _ in range(40_000)]
+    docs = spark.createDataFrame([(k, " ".join(words[k * 400 : k * 400 + 500])) for k in range(100)] + [(None, None), (7, "")], "doc_id long, text string")
+    sizes = alignment.blocks(docs.repartition(1)).selectExpr("count(distinct block)", "max(length(unit_links))", "max(length(link_pairs))", "max(size(pairs))", "count(link_pairs)").first()
+    assert sizes[0] == 1 and max(sizes[1:3]) == 100_000 and sizes[3] <= 25_000 and sizes[4] > 2
+    same(*([tuple(r) for r in alignment.aligned_documents(docs.repartition(n), block_chars=c).collect()] for n, c in ((1, 8_000_000), (3, 20_000))))
+    kept = spark.sparkContext.parallelize([0], 1).mapPartitions(lambda _: [len(p.young) + len(p.old) for p in alignment._pairs.values()]).collect()
+    assert not any(kept)
