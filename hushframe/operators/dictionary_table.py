@@ -7,18 +7,19 @@ nor a task holds more, and nothing is broadcast or shuffled but the entries them
 
 from __future__ import annotations
 
-import heapq
 import posixpath
 import uuid
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.functions.entry_index import EntryIndex
 from hushframe.functions.categories import SPANS
-from hushframe.operators.arrow import listed_structs, parts_of
+from hushframe.functions.dictionary import CONFIDENCE
+from hushframe.functions.entry_index import EntryIndex
+from hushframe.operators.arrow import parts_of
 from hushframe.operators.storage import shared_folder, stored
 
 #: Characters of entries in a shard.
@@ -27,7 +28,7 @@ SHARD_CHARS = 1_000_000
 HELD_CHARS = 400_000_000
 #: Bytes of text that a task goes over at a time.
 TOGETHER_CHARS = 1_000_000
-_FIELDS = ("text", "category", "start", "end", "confidence")
+_SPANS = pa.list_(pa.struct([("text", pa.string()), ("category", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("confidence", pa.float64())]))
 
 _held: tuple[tuple[str, ...], EntryIndex] | None = None
 
@@ -59,14 +60,24 @@ class StoredDictionary:
         self.uris = uris
         self.groups = [tuple(uris[k : k + n]) for k in range(0, len(uris), n)]
 
-    def find(self, texts: list[str | None]) -> list[list[tuple]]:
+    def spans(self, texts: list[str | None]) -> pa.ListArray:
         """Spans of each text, in order of the entries, then of place."""
-        parts: list[list[list]] = [[] for _ in texts]
-        for uris in self.groups:
-            for k, found in enumerate(_index(uris).find(texts)):
-                if found:
-                    parts[k].append(found)
-        return [[s for _, s in heapq.merge(*p, key=lambda x: (x[0], x[1][2]))] for p in parts]
+        found = [_index(uris).found(texts) for uris in self.groups]
+        if not found:
+            return pa.array([[] for _ in texts], _SPANS)
+        text_of, ranks, starts, ends = (np.concatenate([getattr(f, name) for f in found]) for name in ("text_of", "ranks", "starts", "ends"))
+        values, categories = (pa.concat_arrays([getattr(f, name) for f in found]) for name in ("values", "categories"))
+        if len(found) > 1:
+            order = np.lexsort((starts, ranks, text_of))
+            text_of, starts, ends = text_of[order], starts[order], ends[order]
+            values, categories = values.take(pa.array(order)), categories.take(pa.array(order))
+        columns = [values, categories, pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(np.full(len(starts), CONFIDENCE))]
+        offsets = np.searchsorted(text_of, np.arange(len(texts) + 1))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(_SPANS.value_type)))
+
+    def find(self, texts: list[str | None]) -> list[list[tuple]]:
+        """The same as tuples."""
+        return [[tuple(s.values()) for s in spans] for spans in self.spans(texts).to_pylist()]
 
 
 def stored_dictionary(entries: DataFrame, categories: Sequence[str] | None = None, shard_chars: int = SHARD_CHARS) -> StoredDictionary:
@@ -104,6 +115,6 @@ def dictionary_column(text: Column | str, dictionary: StoredDictionary) -> Colum
         # A task's texts in stretches, as what is found takes far more than they do.
         for batch in batches:
             for texts in parts_of(batch, chars=TOGETHER_CHARS):
-                yield listed_structs(dictionary.find(texts.to_pylist()), _FIELDS, (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float64()))
+                yield dictionary.spans(texts.to_pylist())
 
     return run(text)

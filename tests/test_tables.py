@@ -152,3 +152,34 @@ def test_spans_are_found_once_beside_a_shuffled_allowlist(spark):
     allowed = spark.createDataFrame([("v1",), ("v2",)], "value string")
     kept = span_tables.without_allowed(spans, allowed, broadcast_bytes=0).collect()
     assert sorted(r["id"] for r in kept) == [k for k in range(60) if k % 5 not in (1, 2)] and asked.value == 60
+
+
+def test_a_text_of_entries_costs_little_a_find():
+    """Every word is an entry: finds are worked out together; one by one, this took 5.9 s."""
+    import re
+    import time
+
+    from hushframe.functions.entry_index import EntryIndex
+
+    rng = np.random.default_rng(6)
+    words = [f"w{k}é_" if k % 5 == 0 else f"w{k}" for k in range(4000)]
+    texts = [" ".join(words[k] + "!x"[k % 7 == 0] * (k % 3) for k in rng.integers(0, 4000, 2000).tolist()) for _ in range(100)] + [None, ""]
+    n = len(words)
+    made = EntryIndex(words, ["T"] * n, [True] * n, [True] * n, [False] * n, list(range(n)))
+    made.find(texts[:1])
+    began = time.process_time()
+    found = made.found(texts)
+    assert time.process_time() - began < 2
+    known = {w: k for k, w in enumerate(words)}
+    expected = [sorted((known[m[0]], (m[0], "T", m.start(), m.end(), 0.9)) for m in re.finditer(r"\w+", t or "") if m[0] in known) for t in texts]
+    assert len(found.starts) == sum(map(len, expected)) > 150_000 and made.find(texts) == expected
+
+
+def test_equal_ranks_and_entries_that_overlap_themselves():
+    """Order among equal ranks is by start, then as entries come; what is passed over hides what overlaps it."""
+    from hushframe.functions.entry_index import EntryIndex
+
+    rows = [("a-a", "X", True, True, False, 1), ("a", "Y", True, True, False, 1), ("a", "Z", False, False, True, 1), ("aa", "X", False, True, False, 0)]
+    found = EntryIndex(*zip(*rows, strict=True)).find(["xa-a-a", "aaaaa"])
+    assert [(r, *s[1:4]) for r, s in found[0]] == [(1, "Z", 1, 2), (1, "Z", 3, 4), (1, "Y", 3, 4), (1, "Z", 5, 6), (1, "Y", 5, 6)]
+    assert [(r, *s[1:4]) for r, s in found[1]] == [(0, "X", 0, 2), (0, "X", 2, 4), *((1, "Z", k, k + 1) for k in range(5))]
